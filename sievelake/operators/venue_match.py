@@ -63,7 +63,7 @@ def _guarded(candidates: DataFrame) -> DataFrame:
         (F.col("cont") >= fixed.SANITY_CONTAINMENT) & (F.size(venues.content_tokens(title)) >= 3)
     )
     passes = F.col("exempt") | sane | (backward & (F.col("back") >= fixed.SANITY_CONTAINMENT))
-    two = lambda c: F.format_number(c, "0.00")
+    two = lambda c: F.format_number(c, 2)
     note = F.concat(F.col("label"), F.lit(":'"), title, F.lit("'(sim="), two(F.col("sim")),
                     F.lit("/cont="), two(F.col("cont")), F.lit(")"))
     back_note = F.concat(F.lit("core_acronym:'"), title, F.lit("'(back_cont="), two(F.col("back")), F.lit(")"))
@@ -338,7 +338,7 @@ def suspect_priorities(suspects: DataFrame, a: Lists, b: Lists) -> DataFrame:
     )
     side = F.when(F.col("alt.alt_adopted"), "採用側").otherwise("除外側")
     text = F.concat(F.col("alt.alt_title"), F.lit(" ["), F.col("alt.alt_source"), F.lit(" "), F.col("alt.alt_rank"),
-                    F.lit("] sim="), F.format_number(F.col("alt.alt_similarity"), "0.00"), F.lit(" ("), side, F.lit(")"))
+                    F.lit("] sim="), F.format_number(F.col("alt.alt_similarity"), 2), F.lit(" ("), side, F.lit(")"))
     return rows.join(turned, ids, "left").withColumn(
         "priority",
         F.when(F.col("alt").isNotNull(), "P1").when(F.col("written_similarity") < 0.55, "P2").otherwise("P3"),

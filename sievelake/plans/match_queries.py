@@ -255,7 +255,7 @@ def _(t):
 def _(t):
     """Nearest list-A key for every normalised part topic, at both thresholds in use."""
     a = cut(ranking.list_a(part_list_a(t))["keys"])
-    norm = venues.normalize_venue(F.concat("topic", F.lit(" computing system")))
+    norm = venues.normalize_venue(F.concat("topic", F.lit(" sytem")))
     names = cut(_named(t).select(norm.alias("norm")).distinct())
     late = venue_match.fuzzy_best(names, a).withColumn("rule", F.lit("pruned 0.82"))
     early = venue_match.fuzzy_best(names, a, fixed.FUZZY_VENUE_EARLY, length_rule=False).withColumn("rule", F.lit("unpruned 0.85"))
