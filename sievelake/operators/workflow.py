@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions import labels
+from sievelake.functions import fixed_values as fixed
+from sievelake.functions import identifiers as ids
+from sievelake.functions import labels, screening
+from sievelake.functions.text import strip, try_number
+from sievelake.operators.overlap import enrich_abstracts
+from sievelake.operators.skew import first_per_key, global_rank
 
 
 def unique_file_names(titles: DataFrame, limit: int = 90) -> DataFrame:
@@ -20,3 +25,126 @@ def unique_file_names(titles: DataFrame, limit: int = 90) -> DataFrame:
     name = F.when(F.col("owner") == F.col("record_id"), F.concat("base", F.lit(".pdf"))).otherwise(
         F.concat(shorter, F.lit(" ("), "record_id", F.lit(").pdf")))
     return joined.select("record_id", name.alias("file_name"))
+
+
+# --- who reads what ----------------------------------------------------------------------------
+
+def assign_pairs(records: DataFrame, bucket: Column, pairs=fixed.REVIEWER_PAIRS) -> DataFrame:
+    """Adds pair, reviewers and extractor: ids in order go round the pairs, and inside a pair
+    the two reviewers take turns as extractor. Group sizes differ by at most one and the
+    order of the input does not matter. `bucket` must rise with the id (see global_rank).
+    """
+    ranked = global_rank(records, "record_id", bucket)
+    n = len(pairs)
+    options = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    pair = F.get(options, (F.col("rank") % n).cast("int"))
+    turn = F.floor(F.col("rank") / n) % 2
+    return ranked.withColumn("reviewer_a", pair["a"]).withColumn("reviewer_b", pair["b"]).withColumn(
+        "pair", F.concat("reviewer_a", F.lit("×"), "reviewer_b")).withColumn(
+        "extractor", F.when(turn == 0, F.col("reviewer_a")).otherwise(F.col("reviewer_b"))).drop("rank")
+
+
+def build_assignment(records: DataFrame, cache: DataFrame, groups) -> DataFrame:
+    """One row per record key with everything a screening sheet shows.
+
+    `records` has (ord, source, title, abstract, doi, venue, year, rank); the first row of
+    a key counts. Abstracts missing from the record come from the cache.
+    """
+    keyed = records.withColumn("key", ids.record_key(F.col("doi"), F.col("title")))
+    columns = ["ord", "source", "title", "abstract", "doi", "venue", "year", "rank"]
+    firsts = first_per_key(keyed, ["key"], F.col("ord"), columns).withColumn("doi", ids.norm_doi(F.col("doi")))
+    enriched = enrich_abstracts(firsts, cache)
+    key = F.col("key")
+    calibration = ids.is_calibration(key)
+    return enriched.select(
+        ids.record_id(key).alias("record_id"), (ids.block_of(key) + 1).alias("block"),
+        F.when(calibration, "Y").otherwise("N").alias("calibration"),
+        F.lit(fixed.LEAD_REVIEWER).alias("reviewer_a"),
+        F.when(calibration, "all").otherwise(ids.second_reviewer(key)).alias("reviewer_b"),
+        "key", strip(F.col("title")).alias("title"), "abstract", "abstract_source", "doi", "source", "venue", "year", "rank",
+        screening.group_count(F.col("title"), F.col("abstract"), groups).cast("bigint").alias("kw_groups"),
+        F.when(F.col("abstract") != "", "Y").otherwise("N").alias("has_abstract"),
+    )
+
+
+def first_sheets(assignment: DataFrame) -> DataFrame:
+    """Adds `reviewer`: the lead reads everything, the others the calibration set."""
+    everyone = F.array(*[F.lit(r) for r in fixed.REVIEWERS])
+    readers = F.when(F.col("calibration") == "Y", everyone).otherwise(F.array(F.lit(fixed.LEAD_REVIEWER)))
+    return assignment.withColumn("reviewer", F.explode(readers))
+
+
+def reading_order(sheet: DataFrame) -> DataFrame:
+    """Most concept groups first, then the newest, then by id."""
+    year = F.coalesce(try_number(F.col("year"), "int"), F.lit(0))
+    return sheet.orderBy("reviewer", F.desc("kw_groups"), F.desc(year), "record_id")
+
+
+def second_sheets(assignment: DataFrame, lead: DataFrame) -> DataFrame:
+    """(reviewer, record_id, ...) for what the lead excluded or left unsure outside calibration.
+
+    While the lead has blanks the sheet stays empty. The lead's decisions are not shown.
+    """
+    decision = F.lower(strip(F.col("decision")))
+    blanks = lead.agg(F.count_if(decision == "").alias("n"))
+    judged = lead.select("record_id", decision.alias("d"))
+    rows = assignment.where("calibration <> 'Y'").join(judged, "record_id").where("d <> 'include'")
+    return rows.where(blanks.scalar() == 0).withColumn("reviewer", ids.second_reviewer(F.col("key"))).drop("d")
+
+
+def calibration_supplement(assignment: DataFrame, delivered: DataFrame,
+                           reviewers: list[str] = fixed.SECOND_REVIEWERS) -> DataFrame:
+    """(reviewer, record_id): calibration records that a reviewer's sheet does not have yet."""
+    wanted = assignment.where("calibration = 'Y'").withColumn(
+        "reviewer", F.explode(F.array(*[F.lit(r) for r in reviewers])))
+    return wanted.join(delivered.select("reviewer", "record_id"), ["reviewer", "record_id"], "left_anti")
+
+
+def workload(assignment: DataFrame, by: list[str]) -> DataFrame:
+    """Records per reviewer and other columns; a record counts for each of its reviewers."""
+    readers = F.array("reviewer_a", "reviewer_b")
+    return assignment.withColumn("reviewer", F.explode(readers)).groupBy("reviewer", *by).agg(F.count("*").alias("n"))
+
+
+def fingerprints(sheet: DataFrame, group: list[str], order: str, limit: int = 100_000) -> DataFrame:
+    """`count:hash` of a sheet's ids in order, the hash being seven characters of SHA-1.
+
+    The hash needs all ids of a sheet in a row. A sheet is what one person reads, so its
+    size is checked: a group above the limit makes the job fail before ids are collected.
+    """
+    sizes = sheet.groupBy(*group).agg(F.count("*").alias("n"))
+    checked = sizes.select(*group, F.when(F.col("n") <= limit, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"a sheet has more than {limit} records"))).alias("n"))
+    rows = sheet.join(checked, group)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("record_id").alias("r"))))
+    return rows.where("n > 0").groupBy(*group, "n").agg(
+        F.array_join(F.transform(listed, lambda e: e["r"]), "\n").alias("ids")
+    ).select(*group, F.concat(F.col("n").cast("string"), F.lit(":"), F.substring(F.sha1("ids"), 1, 7)).alias("fingerprint"))
+
+
+def contamination(examples: DataFrame, targets: DataFrame, key: str = "record_id") -> DataFrame:
+    """Example records that are also targets; must be empty."""
+    return examples.join(targets.select(key).distinct(), key, "left_semi")
+
+
+def union_branches(database: DataFrame, citation: DataFrame) -> DataFrame:
+    """Both branches under one schema; columns one lacks are blank there."""
+    both = database.withColumn("branch", F.lit("database")).unionByName(
+        citation.withColumn("branch", F.lit("snowballing")), allowMissingColumns=True)
+    return both.na.fill("")
+
+
+def stage_attribution(records: DataFrame, memberships: list[tuple[DataFrame, Column, str]]) -> DataFrame:
+    """Adds `stage` and `note`: the first membership table that has the record names its stage.
+
+    A membership is (table keyed by ord, note column, stage name).
+    """
+    rows, stages, notes = records, [], []
+    for place, (table, note, name) in enumerate(memberships):
+        flagged = table.select("ord", note.alias(f"_n{place}"), F.lit(True).alias(f"_m{place}"))
+        rows = rows.join(flagged, "ord", "left")
+        stages.append(F.when(F.col(f"_m{place}"), F.lit(name)))
+        notes.append(F.when(F.col(f"_m{place}"), F.coalesce(F.col(f"_n{place}"), F.lit(""))))
+    marks = [f"_{k}{i}" for i in range(len(memberships)) for k in "mn"]
+    return rows.withColumn("stage", F.coalesce(*stages, F.lit("?"))).withColumn(
+        "note", F.coalesce(*notes, F.lit(""))).drop(*marks)

@@ -5,6 +5,8 @@ from sievelake.plans import dedup_queries  # noqa: F401
 from sievelake.plans import match_queries  # noqa: F401
 from sievelake.plans import gold_queries  # noqa: F401
 from sievelake.plans import funnel_queries  # noqa: F401
+from sievelake.plans import overlap_queries  # noqa: F401
+from sievelake.plans import report_queries  # noqa: F401
 from sievelake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
