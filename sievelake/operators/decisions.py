@@ -168,7 +168,8 @@ def check_fulltext(sheet: DataFrame, assignment: DataFrame, extraction=fixed.EXT
             checks.append(issue(mine & (value(name) != "") & ~number & ~value(name).isin(*fixed.MISSING_TOKENS), "error", "not a number", name))
         if kind in VOCABULARY_KINDS:
             tokens = split_multi(F.col(name)) if kind == "multi" else F.array(value(name))
-            bad = F.exists(tokens, lambda t, a=allowed: ~t.isin(*a))
+            known_tokens = F.array(*[F.lit(v) for v in allowed])
+            bad = F.size(F.array_except(tokens, known_tokens)) > 0
             checks.append(issue(mine & (value(name) != "") & bad, "error", "not in vocabulary", name))
     filled = reduce(lambda a, b: a | b, [value(n) != "" for n in extraction])
     checks.append(issue(decided & (F.col("_extractor") != F.col("reviewer")) & filled, "warning", "extraction by the other reviewer"))
