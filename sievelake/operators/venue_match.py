@@ -5,7 +5,7 @@ Names are resolved once per distinct (venue, issn); callers join the answer back
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import fixed_values as fixed
@@ -80,11 +80,9 @@ def fuzzy_best(names: DataFrame, keys: DataFrame, threshold: float = fixed.FUZZY
 
     `keys` has (key, first_place, ...).
     """
-    pairs = simjoin.ratio_pairs(names.select("norm"), keys.select("key"), threshold, length_rule)
-    placed = pairs.join(keys.select(F.col("key").alias("r"), "first_place"), "r")
-    return placed.groupBy(F.col("l").alias("norm")).agg(
-        F.max_by(F.struct(F.col("r").alias("key"), "score"), F.struct("score", -F.col("first_place"))).alias("best")
-    ).select("norm", "best.key", "best.score")
+    best = simjoin.top_by_ratio(names.select("norm"), keys.select("key", "first_place"), threshold, 1,
+                                F.asc("first_place"), length_rule)
+    return best.select(F.col("l").alias("norm"), F.col("r").alias("key"), "score")
 
 
 def resolve_venues(names: DataFrame, a: Lists, b: Lists,
@@ -210,12 +208,8 @@ def nearest_entries(names: DataFrame, keys: DataFrame, cutoff: float, candidates
     `names` is a report's top-N list. Equal ratios prefer the later key in text order,
     equal edit similarities the better ratio.
     """
-    pairs = simjoin.ratio_pairs(names.select("norm"), keys.select("key"), cutoff,
-                                length_rule=False, swap=True)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l").orderBy(F.desc("score"), F.desc("r"))
-    top = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= candidates)
+    top = simjoin.top_by_ratio(names.select("norm"), keys.select("key"), cutoff, candidates, F.desc("r"),
+                               length_rule=False, swap=True)
     scored = top.withColumn("similarity", similarity.edit_similarity(F.col("l"), F.col("r")))
     return scored.where("similarity > 0").groupBy(F.col("l").alias("norm")).agg(
         F.max_by(F.struct(F.col("r").alias("key"), "similarity"), F.struct("similarity", -F.col("n"))).alias("b")
@@ -307,17 +301,13 @@ def suspect_priorities(suspects: DataFrame, a: Lists, b: Lists) -> DataFrame:
     P1: one of the five nearest entries of a list is similar and would turn the decision;
     P2: otherwise, and the names as written differ a lot; P3: the rest.
     """
-    from pyspark.sql import Window
-
     rows = cut(suspects.withColumn(
         "written_similarity", similarity.raw_similarity(F.col("venue"), F.col("matched_venue"))))
     norms = rows.where("norm <> ''").select("norm").distinct()
-    order = Window.partitionBy("l").orderBy(F.desc("score"), F.desc("r"))
     options = None
     for place, (keys, cutoff) in enumerate(((a["keys"], 0.7), (b["keys"], 0.75))):
-        near = simjoin.ratio_pairs(norms, keys.select("key"), cutoff, length_rule=False, swap=True)
-        few = near.withColumn("n", F.row_number().over(order)).where("n <= 5").select(
-            F.col("l").alias("norm"), F.col("r").alias("key"), (F.lit(10 * place) + F.col("n")).alias("n"))
+        near = simjoin.top_by_ratio(norms, keys.select("key"), cutoff, 5, F.desc("r"), length_rule=False, swap=True)
+        few = near.select(F.col("l").alias("norm"), F.col("r").alias("key"), (F.lit(10 * place) + F.col("n")).alias("n"))
         options = few if options is None else options.unionByName(few)
     # A key that list A has too stands for the entry of list A.
     options = (
@@ -376,8 +366,6 @@ def collisions(space: DataFrame, records: DataFrame) -> DataFrame:
     decide differently, the entry that wins today, the number of affected records and
     their three most frequent venue names. The entries themselves are `keyspace` rows.
     """
-    from pyspark.sql import Window
-
     entry = space.groupBy("key", "source", "title").agg(
         F.min("place").alias("place"), F.max("place").alias("last_place"),
         F.min_by("rank", "place").alias("rank"), F.max_by("rank", "place").alias("last_rank"),

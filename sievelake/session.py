@@ -55,3 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/sievelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_work(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread rows over all shuffle partitions before work that is costly per row.
+
+    Adaptive execution sizes partitions by bytes and would put few, small but slow rows
+    into one task; an explicit number of partitions is left alone.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns)
