@@ -14,7 +14,7 @@ from sievelake.functions.text import strip
 from sievelake.operators import simjoin
 from sievelake.operators.ranking import issn_list
 from sievelake.operators.skew import spread_join
-from sievelake.session import cut
+from sievelake.session import cut, spread_work
 
 Lists = dict[str, DataFrame]
 
@@ -26,9 +26,10 @@ CORE_ACRONYM, CORE_FUZZY = 80, 90
 
 def _features(names: DataFrame) -> DataFrame:
     venue = F.col("venue")
+    spellings = names.select(
+        F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("issn", F.lit("")).alias("issn")).distinct()
     return (
-        names.select(F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("issn", F.lit("")).alias("issn"))
-        .distinct()
+        spread_work(spellings, "venue", "issn")
         .withColumn("norm", venues.normalize_venue(venue))
         .withColumn("low", F.lower(strip(venue)))
         .withColumn("short", venues.is_short_key(F.col("norm")))
@@ -54,7 +55,7 @@ def _guarded(candidates: DataFrame) -> DataFrame:
     """Adds `passes` and, for failures, `note`."""
     venue, title = F.col("venue"), F.col("title")
     similarity_ = F.when(~F.col("exempt"), similarity.raw_similarity(venue, title))
-    scored = candidates.withColumn("sim", similarity_).withColumn(
+    scored = spread_work(candidates, "venue", "title").withColumn("sim", similarity_).withColumn(
         "cont", F.when(~F.col("exempt"), venues.containment(title, venue))
     )
     backward = F.col("stage") == "core_acronym"

@@ -104,12 +104,17 @@ def read_ranking_b(spark: SparkSession, path: str) -> DataFrame:
 
 # --- text formats ----------------------------------------------------------------------------------
 
+def file_name() -> Column:
+    """Plain name of the file a row was read from (the metadata column is URL-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def whole_files(spark: SparkSession, path: str, limit: int = MAX_FILE) -> DataFrame:
     """(file, value): one row per file; a file above the limit makes the job fail."""
     size = F.col("_metadata.file_size")
     rows = spark.read.option("wholetext", True).text(path)
     return rows.select(
-        F.col("_metadata.file_name").alias("file"),
+        file_name().alias("file"),
         F.when(size <= limit, F.col("value")).otherwise(F.raise_error(F.lit("file too large to read whole"))).alias("value"))
 
 
@@ -146,7 +151,7 @@ def merge_bibtex(entries: DataFrame) -> DataFrame:
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
     """Lines of RIS files with their place: (file, part, n, value)."""
     return spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        file_name().alias("file"), F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("n"), "value")
 
 
