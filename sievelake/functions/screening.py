@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import fixed_values as fixed
 from sievelake.functions.text import hits, strip
 
+MARK = "\u0001"
 Groups = list[tuple[str, str]]
 Categories = list[tuple[str, list[str]]]
 
@@ -18,22 +19,33 @@ def joined_text(title: Column, abstract: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit("")))
 
 
+def listed(*names: Column) -> Column:
+    """The non-NULL names as an array, in order; `concat_ws` keeps it in generated code."""
+    joined = F.concat_ws(MARK, *names)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, MARK))
+
+
 def missing_groups(text: Column, groups: Groups = fixed.CONCEPT_GROUPS) -> Column:
     """Names of the concept groups the text does not hit, in order."""
-    return F.array_compact(F.array(*[F.when(~hits(text, p), F.lit(name)) for name, p in groups]))
+    return listed(*[F.when(~hits(text, p), F.lit(name)) for name, p in groups])
+
 
+def with_filter_verdict(rows: DataFrame, groups: Groups = fixed.CONCEPT_GROUPS) -> DataFrame:
+    """Adds `verdict`, `reason` and `missing` from title and abstract.
 
-def filter_verdict(title: Column, abstract: Column, groups: Groups = fixed.CONCEPT_GROUPS) -> Column:
-    """struct(verdict, reason): hold without an abstract, pass when all groups hit, else fail."""
-    body = strip(abstract)
-    missing = missing_groups(joined_text(title, body), groups)
-    verdict = F.when(body == "", "hold").when(F.size(missing) == 0, "pass").otherwise("fail")
+    hold without an abstract, pass when all groups hit, else fail. The text is put
+    together once, in a step of its own.
+    """
+    body = F.col("_body")
+    staged = rows.withColumn("_body", strip(F.col("abstract"))).withColumn(
+        "_text", joined_text(F.col("title"), body)).withColumn("missing", missing_groups(F.col("_text"), groups))
+    complete = F.size("missing") == 0
+    verdict = F.when(body == "", "hold").when(complete, "pass").otherwise("fail")
     reason = (
-        F.when(body == "", fixed.HOLD_REASON)
-        .when(F.size(missing) == 0, "")
-        .otherwise(F.concat(F.lit(fixed.FAIL_PREFIX), F.array_join(missing, " / ")))
+        F.when(body == "", fixed.HOLD_REASON).when(complete, "")
+        .otherwise(F.concat(F.lit(fixed.FAIL_PREFIX), F.array_join("missing", " / ")))
     )
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"))
+    return staged.withColumn("verdict", verdict).withColumn("reason", reason).drop("_body", "_text")
 
 
 def group_flags(title: Column, abstract: Column, groups: Groups = fixed.CONCEPT_GROUPS) -> list[Column]:
@@ -60,28 +72,28 @@ def required_start(pattern: str) -> str:
 
 def hits_lowered(text: Column, pattern: str) -> Column:
     """As `hits`, for lower-case text: the regular expression runs only on texts that
-    contain the literal start of the pattern, a much cheaper test."""
+    contain the literal start of the pattern, a much cheaper test, and tries its word
+    boundary only where that start stands."""
     start = required_start(pattern)
-    return text.contains(start) & hits(text, pattern) if start else hits(text, pattern)
+    if not start:
+        return hits(text, pattern)
+    return text.contains(start) & hits(text, f"(?={start}){pattern}")
 
 
 def keyword_hits(text: Column, categories: Categories = fixed.EXCLUSION_CATEGORIES) -> Column:
     """Every `category::pattern` that hits a lower-case text, in list order."""
-    return F.array_compact(F.array(*[
+    return listed(*[
         F.when(hits_lowered(text, p), F.lit(f"{name}::{p}"))
         for name, patterns in categories for p in patterns
-    ]))
-
-
-def hit_categories(keywords: Column) -> Column:
-    return F.array_distinct(F.transform(keywords, lambda k: F.substring_index(k, "::", 1)))
+    ])
 
 
-def keyword_verdict(title: Column, abstract: Column,
-                    categories: Categories = fixed.EXCLUSION_CATEGORIES) -> Column:
-    """struct(categories, keywords) as arrays; both empty for a record that stays."""
-    keywords = keyword_hits(F.lower(joined_text(title, abstract)), categories)
-    return F.struct(hit_categories(keywords).alias("categories"), keywords.alias("keywords"))
+def with_keywords(rows: DataFrame, categories: Categories = fixed.EXCLUSION_CATEGORIES) -> DataFrame:
+    """Adds the arrays `kw_keywords` and `kw_categories`; both empty for a record that stays."""
+    lowered = F.lower(joined_text(F.col("title"), F.col("abstract")))
+    staged = rows.withColumn("_text", lowered).withColumn("kw_keywords", keyword_hits(F.col("_text"), categories))
+    names = F.transform("kw_keywords", lambda k: F.substring_index(k, "::", 1))
+    return staged.withColumn("kw_categories", F.array_distinct(names)).drop("_text")
 
 
 def term_matches(text: Column, pattern: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import identifiers as ids
 from sievelake.functions import screening
 from sievelake.functions.text import strip
+from sievelake.operators.skew import spread_join
 
 UNAVAILABLE = "取得不可"
 
@@ -72,8 +73,8 @@ def citation_branch(found: DataFrame, exclusions) -> DataFrame:
     rows = rows.withColumn("record_key", ids.record_key(F.col("doi"), F.col("title")))
     new = (F.col("in_corpus") == "N") & (F.col("title") != "")
     firsts = rows.where(new).groupBy("record_key").agg(F.min("ord").alias("_first"))
-    joined = rows.join(firsts, "record_key", "left")
-    hit = F.size(screening.keyword_hits(F.lower(screening.joined_text(F.col("title"), F.col("abstract"))), exclusions)) > 0
+    joined = screening.with_keywords(spread_join(rows, firsts, ["record_key"], "left", "ord"), exclusions)
+    hit = F.size("kw_keywords") > 0
     outcome = (
         F.when(F.col("in_corpus") != "N", "known")
         .when(F.col("title") == "", "no title")
@@ -81,4 +82,4 @@ def citation_branch(found: DataFrame, exclusions) -> DataFrame:
         .when(hit, "keyword")
         .otherwise("to screening")
     )
-    return joined.withColumn("outcome", outcome).drop("_first")
+    return joined.withColumn("outcome", outcome).drop("_first", "kw_keywords", "kw_categories")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions.identifiers import norm_title
-from sievelake.session import cut
+from sievelake.session import cut, spread_work
 
 TITLE_PHRASE, TITLE_WORDS, FIRST_PAGE_DOI = "タイトル一致", "タイトル語の一致", "1ページ目の DOI"
 
@@ -40,16 +40,23 @@ def titles_in_documents(documents: DataFrame, records: DataFrame, share: float =
         "record_id", F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int"))).alias("w")
     ).select("record_id", "w.word")
     pairs = doc_words.join(prefix, "word").select("doc_id", "record_id").distinct()
-    checked = pairs.join(wanted, "record_id").join(texts, "doc_id")
+    # Which of the title's words (repeats counted) the document holds, by key.
+    weights = wanted.select("record_id", F.size("words").alias("total"), F.explode("words").alias("word")).groupBy(
+        "record_id", "total", "word").agg(F.count("*").alias("weight"))
+    held = (
+        pairs.join(weights, "record_id").join(doc_words, ["doc_id", "word"])
+        .groupBy("doc_id", "record_id", "total").agg(F.sum("weight").alias("held"))
+        .where(F.col("held") / F.col("total") >= share).select("doc_id", "record_id")
+    )
+    checked = spread_work(
+        held.join(wanted, "record_id").join(texts.withColumn("tokens", F.split("t", " ")), "doc_id"), "doc_id", "record_id")
     space = F.lit(" ")
     phrase = (F.length("title") >= 20) & F.contains(F.concat(space, "t", space), F.concat(space, "title", space))
-    tokens, words = F.split("t", " "), F.col("words")
-    need = F.array_distinct(words)
-    held = F.size(F.filter(words, lambda w: F.array_contains(tokens, w))) / F.size(words)
-    span = F.size(words) + 5
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - span + 1))
-    near = F.exists(starts, lambda i: F.size(F.array_intersect(need, F.slice(tokens, i, span))) / F.size(need) >= share)
-    level = F.when(phrase, 1).when((F.size(words) >= 5) & (held >= share), F.when(near, 2))
+    span = F.size("words") + 5
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - span + 1))
+    need = F.array_distinct("words")
+    near = F.exists(starts, lambda i: F.size(F.array_intersect(need, F.slice("tokens", i, span))) / F.size(need) >= share)
+    level = F.when(phrase, 1).when(F.size("words") >= 5, F.when(near, 2))
     by_title = checked.select("doc_id", "record_id", level.alias("level")).where("level IS NOT NULL")
 
     # A DOI inside the text is a prefix of some run that starts with "10.".

@@ -15,14 +15,13 @@ def unpivot(row: DataFrame, columns: list[str], name: str, value: str) -> DataFr
     return row.selectExpr(f"stack({len(columns)}, {pairs}) AS ({name}, {value})")
 
 
-def keyword_report(text: Column, rows: DataFrame, categories) -> DataFrame:
+def keyword_report(rows: DataFrame, categories) -> DataFrame:
     """(category, pattern, hits) for every pattern, those without a hit included.
 
     Only the hits of the texts are counted; the pattern list is joined to the counts.
     """
-    found = screening.keyword_hits(text, categories)
     names = [(c, p) for c, patterns in categories for p in patterns]
-    counted = rows.select(found.alias("found")).select(F.explode("found").alias("hit")).groupBy("hit").agg(F.count("*").alias("hits"))
+    counted = screening.with_keywords(rows, categories).select(F.explode("kw_keywords").alias("hit")).groupBy("hit").agg(F.count("*").alias("hits"))
     spark = rows.sparkSession
     listed = spark.createDataFrame(
         [(i, c, p, f"{c}::{p}") for i, (c, p) in enumerate(names)], "place int, category string, pattern string, hit string")

@@ -11,6 +11,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 class Tables:
     """The given tables, read on first use as attributes."""
 
@@ -18,7 +21,13 @@ class Tables:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        rows = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        # A text table in fewer splits than cores would leave cores idle under the text
+        # work; large tables have many splits and are never moved.
+        cores = self._spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores)
+        return rows
 
 
 def query(name: str, sql: str | None = None):

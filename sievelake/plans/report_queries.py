@@ -21,8 +21,7 @@ BIG = "bigint"
   p(category, pattern) AS (VALUES {', '.join(f'({string_sql(c)}, {string_sql(x)})' for c, ps in TOPIC_EXCLUSIONS for x in ps)})
   SELECT category, pattern, (SELECT count(*) FROM h WHERE h.hit = category || '::' || pattern) AS hits FROM p""")
 def _(t):
-    text = F.lower(screening.joined_text(F.col("title"), F.col("abstract")))
-    return reports.keyword_report(text, records(t), TOPIC_EXCLUSIONS)
+    return reports.keyword_report(records(t).select("title", "abstract"), TOPIC_EXCLUSIONS)
 
 
 @query("keyword_overlap", f"""WITH {RECORDS_SQL}, c AS (SELECT {categories_sql(HAYSTACK, TOPIC_EXCLUSIONS)} AS cats FROM records),
@@ -31,8 +30,8 @@ def _(t):
   UNION ALL SELECT 'in several', count(*) FILTER (WHERE len(cats) > 1) FROM x
   UNION ALL SELECT 'surplus', sum(len(cats) - 1)::BIGINT FROM x UNION ALL SELECT 'excluded', count(*) FROM x""")
 def _(t):
-    v = screening.keyword_verdict(F.col("title"), F.col("abstract"), TOPIC_EXCLUSIONS)
-    return reports.category_overlap(v["categories"], records(t), [n for n, _ in TOPIC_EXCLUSIONS])
+    rows = screening.with_keywords(records(t).select("title", "abstract"), TOPIC_EXCLUSIONS)
+    return reports.category_overlap(F.col("kw_categories"), rows, [n for n, _ in TOPIC_EXCLUSIONS])
 
 
 @query("top_values", """WITH c AS (SELECT p_name AS value, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),

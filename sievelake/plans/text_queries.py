@@ -396,10 +396,8 @@ VERDICT_SQL = f"""verdicts AS (
 
 @query("concept_filter", f"WITH {RECORDS_SQL}, {VERDICT_SQL} SELECT ord, verdict, reason FROM verdicts")
 def _(t):
-    rows = records(t).select(
-        "ord", screening.filter_verdict(F.col("title"), F.col("abstract"), TOPIC_GROUPS).alias("v")
-    )
-    return rows.select("ord", "v.verdict", "v.reason")
+    rows = records(t).select("ord", "title", "abstract")
+    return screening.with_filter_verdict(rows, TOPIC_GROUPS).select("ord", "verdict", "reason")
 
 
 @query("concept_filter_standard", f"""WITH {RECORDS_SQL}
@@ -407,15 +405,14 @@ def _(t):
     WHEN {' AND '.join(hits_sql("title || ' ' || abstract", p) for _, p in fixed.CONCEPT_GROUPS)} THEN 'pass' ELSE 'fail' END AS verdict
   FROM records""")
 def _(t):
-    rows = records(t).select("ord", screening.filter_verdict(F.col("title"), F.col("abstract")).alias("v"))
-    return rows.select("ord", "v.verdict")
+    return screening.with_filter_verdict(records(t).select("ord", "title", "abstract")).select("ord", "verdict")
 
 
 @query("missing_group_counts", f"""WITH {RECORDS_SQL}, {VERDICT_SQL}
   SELECT unnest(missing) AS concept, count(*) AS n FROM verdicts WHERE verdict = 'fail' GROUP BY 1""")
 def _(t):
-    rows = records(t).where(strip(F.col("abstract")) != "").select(F.explode(screening.missing_groups(
-        screening.joined_text(F.col("title"), strip(F.col("abstract"))), TOPIC_GROUPS)).alias("concept"))
+    judged = screening.with_filter_verdict(records(t).select("title", "abstract"), TOPIC_GROUPS)
+    rows = judged.where("verdict = 'fail'").select(F.explode("missing").alias("concept"))
     return rows.groupBy("concept").agg(F.count("*").alias("n"))
 
 
@@ -450,9 +447,9 @@ def categories_sql(text: str, categories) -> str:
 
 
 def keyword_rows(t, categories):
-    v = screening.keyword_verdict(F.col("title"), F.col("abstract"), categories)
-    return records(t).select("ord", "source", v.alias("v")).select(
-        "ord", "source", "v.categories", "v.keywords")
+    rows = screening.with_keywords(records(t).select("ord", "title", "abstract"), categories)
+    return rows.select("ord", F.array_join("kw_categories", " | ").alias("categories"),
+                       F.array_join("kw_keywords", " | ").alias("keywords"))
 
 
 HAYSTACK = "lower(title || chr(32) || abstract)"
@@ -462,16 +459,14 @@ HAYSTACK = "lower(title || chr(32) || abstract)"
   SELECT ord, array_to_string({categories_sql(HAYSTACK, TOPIC_EXCLUSIONS)}, ' | ') AS categories,
     array_to_string({keywords_sql(HAYSTACK, TOPIC_EXCLUSIONS)}, ' | ') AS keywords FROM records""")
 def _(t):
-    return keyword_rows(t, TOPIC_EXCLUSIONS).select(
-        "ord", F.array_join("categories", " | ").alias("categories"), F.array_join("keywords", " | ").alias("keywords"))
+    return keyword_rows(t, TOPIC_EXCLUSIONS)
 
 
 @query("keyword_exclusion_standard", f"""WITH {RECORDS_SQL}
   SELECT ord, array_to_string({categories_sql(HAYSTACK, fixed.EXCLUSION_CATEGORIES)}, ' | ') AS categories,
     array_to_string({keywords_sql(HAYSTACK, fixed.EXCLUSION_CATEGORIES)}, ' | ') AS keywords FROM records""")
 def _(t):
-    return keyword_rows(t, fixed.EXCLUSION_CATEGORIES).select(
-        "ord", F.array_join("categories", " | ").alias("categories"), F.array_join("keywords", " | ").alias("keywords"))
+    return keyword_rows(t, fixed.EXCLUSION_CATEGORIES)
 
 
 @query("term_matches", f"""WITH w AS (
