@@ -18,13 +18,15 @@ def unpivot(row: DataFrame, columns: list[str], name: str, value: str) -> DataFr
 def keyword_report(rows: DataFrame, categories) -> DataFrame:
     """(category, pattern, hits) for every pattern, those without a hit included.
 
-    Only the hits of the texts are counted; the pattern list is joined to the counts.
+    Equal sets of hits are counted before they are taken apart, so what is exploded does
+    not grow with the texts; the pattern list is joined to the counts.
     """
     names = [(c, p) for c, patterns in categories for p in patterns]
-    counted = screening.with_keywords(rows, categories).select(F.explode("kw_keywords").alias("hit")).groupBy("hit").agg(F.count("*").alias("hits"))
-    spark = rows.sparkSession
-    listed = spark.createDataFrame(
-        [(i, c, p, f"{c}::{p}") for i, (c, p) in enumerate(names)], "place int, category string, pattern string, hit string")
+    sets = screening.with_keywords(rows, categories).groupBy("kw_keywords").agg(F.count("*").alias("n"))
+    counted = sets.select("n", F.explode("kw_keywords").alias("hit")).groupBy("hit").agg(F.sum("n").alias("hits"))
+    lines = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern"), F.lit(f"{c}::{p}").alias("hit")) for c, p in names])
+    listed = rows.sparkSession.range(1).select(F.inline(lines))
     return listed.join(counted, "hit", "left").select(
         "category", "pattern", F.coalesce("hits", F.lit(0)).alias("hits"))
 

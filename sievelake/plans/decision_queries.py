@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
 from sievelake.operators import agreement, decisions, workflow
-from sievelake.plans.records import KEYED_SQL, RECORDS_SQL, TOPIC_TERMS, keyed_records, md5_modulo_sql, records, string_sql, strip_sql
+from sievelake.plans.records import KEYED_SQL, RECORDS_SQL, TOPIC_TERMS, keyed_records, md5_modulo_sql, records, string_sql
 from sievelake.plans.registry import query
-from sievelake.plans.report_queries import RATERS_SQL, kappa_sql, rounded
+from sievelake.plans.report_queries import kappa_sql, rounded
 from sievelake.plans.text_queries import ANSWERS_SQL, part_answers
 from sievelake.sources import readers, sinks
 from sievelake.functions import screening
@@ -295,7 +295,6 @@ def _(t):
 
 def full_final(t):
     assignment, sheet = full_text(t)
-    pairs = decisions.paired_rows(assignment, sheet, ["decision"])
     size = F.col("p_size")
     entered = t.part.join(
         assignment.join(sheet.select("record_id", "reviewer", F.col("decision").alias("da")).withColumnRenamed("reviewer", "reviewer_a"), ["record_id", "reviewer_a"])
@@ -304,7 +303,6 @@ def full_final(t):
     worklist = entered.select(
         F.col("p_partkey").alias("record_id"), F.when(size % 3 == 0, "Include").when(size % 3 == 1, "Exclude").otherwise("").alias("final_decision"),
         F.when((size % 3 == 1) & (size % 2 == 0), fixed.EXCLUDE_REASONS[5]).otherwise("").alias("final_reason"), F.lit("").alias("consensus_note"))
-    del pairs
     return decisions.fulltext_final(assignment, sheet, worklist), assignment, sheet
 
 
@@ -415,18 +413,13 @@ def _(t):
     return ris_rows(t).select("ord", F.md5("value").alias("value_md5"))
 
 
-@query("ris_keys", f"""WITH {RECORDS_SQL} SELECT ord, CASE WHEN doi <> '' THEN doi WHEN trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) <> ''
+@query("ris_keys", f"""WITH {RECORDS_SQL} SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS record, CASE WHEN doi <> '' THEN doi WHEN trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) <> ''
     THEN 'T:' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) END AS record_key FROM records""")
 def _(t):
     """The RIS lines of every record, read back per source file."""
     rows = ris_rows(t).select("ord", "source", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    lines = rows.select(F.col("source").alias("file"), F.lit(0).cast("bigint").alias("part"), (F.col("ord") * 20 + F.col("line")).alias("n"), "value", "ord")
-    keyed = readers.ris_keys(lines.drop("ord"), chunk=1000)
-    ends = lines.where(F.col("value").startswith("ER")).select("file", "ord")
-    from pyspark.sql import Window
-
-    numbered = ends.withColumn("record", F.row_number().over(Window.partitionBy("file").orderBy("ord")).cast("bigint") - 1)
-    return numbered.join(keyed, ["file", "record"]).select("ord", "record_key")
+    lines = rows.select(F.col("source").alias("file"), F.lit(0).cast("bigint").alias("part"), (F.col("ord") * 20 + F.col("line")).alias("n"), "value")
+    return readers.ris_keys(lines, chunk=1000).select("file", "record", "record_key")
 
 
 @query("articles_mapped", f"""WITH {RECORDS_SQL} SELECT ord, md5(title) AS title_md5, source AS venue, year, doi, url, lang = 'en' AS is_conference, source || '; ' || lang AS authors FROM records""")

@@ -7,7 +7,6 @@ paged texts.
 
 from pyspark.sql import functions as F
 
-from sievelake.functions import identifiers as ids
 from sievelake.operators import documents, gold, quotes
 from sievelake.plans.dedup_queries import GREEDY_SQL
 from sievelake.plans.records import RECORDS_SQL, norm_title_sql, records

@@ -275,7 +275,7 @@ def _(t):
     CASE WHEN (k // 3) % 2 = 0 THEN CASE k % 3 WHEN 2 THEN 'r2' ELSE 'r1' END ELSE CASE k % 3 WHEN 0 THEN 'r2' ELSE 'r3' END END AS extractor FROM r""")
 def _(t):
     rows = keyed_records(t).select("record_id").distinct()
-    return workflow.assign_pairs(rows, F.substring("record_id", 1, 4)).select("record_id", "pair", "extractor")
+    return workflow.assign_pairs(rows, F.substring("record_id", 1, 6)).select("record_id", "pair", "extractor")
 
 
 @query("pair_workload", f"""WITH {RECORDS_SQL}, {KEYED_SQL}, i AS (SELECT DISTINCT record_id FROM keyed),
@@ -283,7 +283,7 @@ def _(t):
   SELECT pair, reviewer, count(*) AS n FROM (SELECT pair, unnest(string_split(pair, '×')) AS reviewer FROM r) GROUP BY ALL""")
 def _(t):
     rows = keyed_records(t).select("record_id").distinct()
-    return workflow.workload(workflow.assign_pairs(rows, F.substring("record_id", 1, 4)), ["pair"])
+    return workflow.workload(workflow.assign_pairs(rows, F.substring("record_id", 1, 6)), ["pair"])
 
 
 @query("supplement", f"""WITH {RECORDS_SQL}, {KEYED_SQL}, k AS (SELECT DISTINCT record_id, record_key FROM keyed),
@@ -308,7 +308,7 @@ def _(t):
 
 @query("global_ranks", """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders""")
 def _(t):
-    return skew.global_rank(t.orders.select("o_orderkey"), "o_orderkey", F.floor(F.col("o_orderkey") / 1000))
+    return skew.global_rank(t.orders.select("o_orderkey"), "o_orderkey", F.floor(F.col("o_orderkey") / 1_000_000))
 
 
 @query("record_breaking", """SELECT event_id, user_id, value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY event_id
@@ -341,7 +341,7 @@ def _(t):
     sheet = cut(assignment(t).select("record_id", "kw_groups", F.col("year").cast("int").alias("y")))
     order = F.concat((9 - F.col("kw_groups")).cast("string"), F.lpad((9999 - F.col("y")).cast("string"), 4, "0"), "record_id")
     keyed = sheet.withColumn("order", order)
-    return skew.global_rank(keyed, "order", F.substring("order", 1, 8)).select(
+    return skew.global_rank(keyed, "order", F.substring("order", 1, 10)).select(
         "record_id", "kw_groups", (F.col("rank") + 1).alias("place"))
 
 

@@ -412,8 +412,8 @@ def _(t):
   SELECT unnest(missing) AS concept, count(*) AS n FROM verdicts WHERE verdict = 'fail' GROUP BY 1""")
 def _(t):
     judged = screening.with_filter_verdict(records(t).select("title", "abstract"), TOPIC_GROUPS)
-    rows = judged.where("verdict = 'fail'").select(F.explode("missing").alias("concept"))
-    return rows.groupBy("concept").agg(F.count("*").alias("n"))
+    sets = judged.groupBy("verdict", "missing").agg(F.count("*").alias("n")).where("verdict = 'fail'")
+    return sets.select("n", F.explode("missing").alias("concept")).groupBy("concept").agg(F.sum("n").alias("n"))
 
 
 @query("concept_flags", f"""WITH {RECORDS_SQL}, f AS (
