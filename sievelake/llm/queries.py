@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import quality_rules
-from sievelake.llm.common import table
+from sievelake.llm import chat, html_text, language, mixing, ordering, packing, quality_rules, tokens, url_filter, vector_graph
+from sievelake.llm.common import WORD, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,79 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.judged(table(spark, folder, "documents").select("doc_id", "text"))
     wanted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return rows.select("doc_id", *[F.col("quality")[c].alias(c) for c in wanted])
+
+
+#: The rule table of the url query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+OP9_SQL = r"""
+WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+    ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT row_number() OVER () AS r, page_id, instr(url, '://') AS p, url FROM pages),
+h AS (SELECT r, page_id, CASE WHEN p > 0 THEN substring(url, p + 3) ELSE '' END AS rest FROM u),
+s AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+m AS (SELECT s.r, rules.host || rules.path AS rule, rules.verdict,
+             row_number() OVER (PARTITION BY s.r ORDER BY length(rules.host) + length(rules.path) DESC, length(rules.host) DESC) AS k
+      FROM s JOIN rules ON (s.host = rules.host OR ends_with(s.host, '.' || rules.host)) AND starts_with(s.path, rules.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m ON m.r = s.r AND m.k = 1
+"""
+
+
+@query("op9_url_filters", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return mixing.taken(docs).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = tokens.pieces(docs, tokens.vocabulary(), length=1024, end_id=2, with_ids=False)
+    return packing.packed(rows, size=1024).withColumnRenamed("key", "doc_id")
+
+
+@query("op1_training_order")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_folder(spark, "order")
+    ordering.written(table(spark, folder, "documents").select("doc_id", "text"), out, tokens.vocabulary())
+    rows = ordering.read(spark, out)
+    used = F.expr("substring(ids, 1, 2 * n)")  # without the padding
+    return rows.select("doc_id", "piece", "start", "n", "slot", "shard", "position", F.crc32(used).alias("ids_crc32"))
+
+
+@query("op2_vector_graph")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fitted(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    rows = language.predicted(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", language.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                       F.col("language.score").alias("score"))
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = html_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_chat_formatting")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digested(chat.formatted(rows.unionByName(more), tokens.vocabulary()))
