@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import chat, html_text, language, mixing, ordering, packing, quality_rules, tokens, url_filter, vector_graph
+from sievelake.llm import chat, html_text, language, mixing, ordering, packing, quality_rules, shingle_join, tokens, url_filter, vector_graph
 from sievelake.llm.common import WORD, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digested(chat.formatted(rows.unionByName(more), tokens.vocabulary()))
+
+
+@query("op5_shingle_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shingle_join.linked(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=90)
+    return rows.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
