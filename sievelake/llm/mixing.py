@@ -148,6 +148,7 @@ def repeated(docs: DataFrame, size: str, source: str = "source", key: str = "doc
     row = fresh("row", docs)
     own = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     listed, plan, _ = mixed(own, size, source, key, row=row, **options)
+    epoch = fresh("epoch", docs)
     times = plan.groupBy("row", "epoch").agg(F.sum("length").alias("n")).join(listed.select("row", "size"), "row").where(
-        "2 * n >= size").select(F.col("row").alias(row), "epoch")
-    return own.join(times, row).drop(row, "epoch")
+        "2 * n >= size").select(F.col("row").alias(row), F.col("epoch").alias(epoch))
+    return own.join(times, row).drop(row, epoch)

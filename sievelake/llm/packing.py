@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import cut
+from sievelake.llm.common import cut, fresh
 
 #: Pieces that one task packs together.
 BLOCK = 32_768
@@ -131,17 +131,19 @@ def _pack(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
 
 
 def packed(pieces: DataFrame, size: int, block: int = BLOCK, rounds: int = 2) -> DataFrame:
-    """`pieces`, which need a bigint `length` of 1 to `size`, with `sequence_id` and `offset`.
+    """`pieces`, which need a bigint `length` of 1 to `size`, with `sequence_id` and `offset` (columns of
+    these names are replaced).
 
     Every row is placed once; a sequence's pieces lie one after the other from 0. A piece as long
     as a sequence is one by itself. The bound of memory is `block` rows a task, whatever the
     lengths; equal rows, ties and an empty table are ordinary cases. Keep only small columns
     (digests, not ids) in `pieces`; sequence ids join the rest.
     """
-    rows = cut(pieces.withColumn("piece_row", F.monotonically_increasing_id()))
+    own = fresh("row", pieces)
+    rows = cut(pieces.drop("offset", "sequence_id").withColumn(own, F.monotonically_increasing_id()))
     full = rows.where(F.col("length") >= size).withColumn("offset", F.lit(0).cast("long")).withColumn(
-        "sequence_id", -1 - F.col("piece_row"))
-    short = rows.where(F.col("length") < size).select("piece_row", "length")
+        "sequence_id", -1 - F.col(own))
+    short = rows.where(F.col("length") < size).select(F.col(own).alias("piece_row"), "length")
     blocks = max(1, -(-short.count() // block))
     state = short.withColumn("bin", F.lit(-1).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn(
         "block", F.lit(0).cast("long")).withColumn("to", F.pmod(F.xxhash64("piece_row"), F.lit(blocks)))
@@ -169,5 +171,5 @@ def packed(pieces: DataFrame, size: int, block: int = BLOCK, rounds: int = 2) ->
     for more in done[1:]:
         places = places.unionByName(more)
     # Blocks, bins and rounds are small numbers, and so is what tells their sequences apart.
-    places = places.select("piece_row", "offset", ((F.col("block") * F.lit(1 << 32) + F.col("bin")) * rounds + F.col("turn")).alias("sequence_id"))
-    return rows.join(places, "piece_row").unionByName(full).drop("piece_row")
+    places = places.select(F.col("piece_row").alias(own), "offset", ((F.col("block") * F.lit(1 << 32) + F.col("bin")) * rounds + F.col("turn")).alias("sequence_id"))
+    return rows.join(places, own).unionByName(full).drop(own)

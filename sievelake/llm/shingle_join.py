@@ -385,8 +385,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90,
-           row: str | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(key[, row], n_shingles, component_id) for every row of `docs`.
+           row: str | None = None, bucket: int = BUCKET, group: bool = False) -> DataFrame:
+    """(key[, row], n_shingles, component_id[, group]) for every row of `docs`; `row` names a column
+    of numbers to know rows by, and `group` adds the component's own number (null for an empty set).
 
     Words are runs of characters other than the six ASCII white-space characters, A-Z lower-cased.
     A text's set holds its distinct runs of `words` words; a text with fewer words is one shingle;
@@ -401,22 +402,24 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     kept = [F.col(f"`{row}`").alias("row")] if row else []
     own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), *kept, F.col(f"`{text}`").cast("string").alias("text"))
 
+    more = len(kept)
+
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _batches(batch):
-                sets = shingle_sets(part.column(len(kept) + 1).to_pylist(), words)
-                columns = [*part.columns[:len(kept) + 1], pa.array([len(s) for s in sets], pa.int64()),
+                sets = shingle_sets(part.column(more + 1).to_pylist(), words)
+                columns = [*part.columns[:more + 1], pa.array([len(s) for s in sets], pa.int64()),
                            pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", *["row"] * len(kept), "n_shingles", "id"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", *["row"] * more, "n_shingles", "id"])
 
-    rows = cut(own.mapInArrow(known, "key long, " + "row long, " * len(kept) + "n_shingles long, id long"))
+    rows = cut(own.mapInArrow(known, "key long, " + "row long, " * more + "n_shingles long, id long"))
     classes = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("least"))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     sets = _candidates(own, words, percent, total, bucket)
     found = components(_links(sets, percent)).withColumnRenamed("node", "id")
     grouped = cut(classes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("id", "component_id")
+    named = grouped.join(least, "root").select("id", "component_id", F.col("root").alias("group"))
     out = rows.where("id IS NOT NULL").join(named, "id").unionByName(
-        rows.where("id IS NULL").withColumn("component_id", F.col("key")))
-    return out.drop("id")
+        rows.where("id IS NULL").withColumn("component_id", F.col("key")).withColumn("group", F.lit(None).cast("long")))
+    return out.drop("id", *[] if group else ["group"])
