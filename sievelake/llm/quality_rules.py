@@ -71,7 +71,7 @@ METHOD_RULES = (
     Rule("word_length", "word_chars", low=2, high=12, base="n_words"),
     Rule("symbols", "n_symbols", high=10, base="n_words", scale=100),
     Rule("stop_words", "n_stop_words", low=2, base="n_words", scale=100),
-    Rule("repeated_lines", "n_dup_lines", high=30, base="n_lines", scale=100),
+    Rule("repeated_lines", "n_dup_lines", high=50, base="n_lines", scale=100),
     Rule("bullet_lines", "n_bullet_lines", high=90, base="n_lines", scale=100),
     Rule("open_lines", "n_open_lines", high=30, base="n_lines", scale=100),
 )

@@ -45,7 +45,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 100 * n_symbols <= 10 * n_words
-       AND 100 * n_stop >= 2 * n_words AND 100 * n_dup_lines <= 30 * n_lines AND 100 * n_bullet <= 90 * n_lines
+       AND 100 * n_stop >= 2 * n_words AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_bullet <= 90 * n_lines
        AND 100 * n_open <= 30 * n_lines AS kept
 FROM b
 """.replace("'STOP'", "'" + " ".join(quality_rules.STOP_WORDS) + "'")
