@@ -31,6 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ASIDE = frozenset("nav aside footer form head button select option datalist dialog menu template svg math object audio video canvas "
                   "fieldset figcaption".split()) - {"figcaption"}
 MAIN = frozenset(("article", "main"))
+#: Elements that are parts of a text rather than holders of several.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr tbody thead table pre blockquote figure figcaption center".split())
 #: Parts of class names and ids of places that hold no article text, and of page heads.
 SIGNS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner "
                   "cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup nav navbar "
@@ -57,6 +59,7 @@ class Block:
     aside: bool
     inside: int  # number of the article or main element around it, 0 for none
     heading: bool
+    holder: int  # number of the element around it that is not itself a part of a text
 
 
 @dataclass(frozen=True)
@@ -97,9 +100,10 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    # Open elements other than inline ones: (name, no article text from here on, article's number).
-    open_tags: list[tuple[str, bool, int]] = []
-    links = articles = 0
+    # Open elements other than inline ones: (name, no article text from here on, article's number, holder's number).
+    top = ("", False, 0, 0)
+    open_tags: list[tuple[str, bool, int, int]] = []
+    links = articles = holders = 0
     heading = False
 
     def put(piece: str) -> None:
@@ -115,8 +119,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, aside, inside = open_tags[-1] if open_tags else ("", False, 0)
-                found.append(Block(text, linked, aside, inside, heading))
+                _, aside, inside, holder = open_tags[-1] if open_tags else top
+                found.append(Block(text, linked, aside, inside, heading, holder))
             parts, linked = [], 0
 
     at = 0
@@ -158,17 +162,19 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         heading = name[0] == "h" and name[1:].isdigit()
-        _, aside, inside = open_tags[-1] if open_tags else ("", False, 0)
         if name == "p" and open_tags and open_tags[-1][0] == "p":  # one paragraph ends another
             open_tags.pop()
-            _, aside, inside = open_tags[-1] if open_tags else ("", False, 0)
+        _, aside, inside, holder = open_tags[-1] if open_tags else top
         own, head = _signs(m["attrs"]) if m["attrs"] and name not in ("html", "body") else (False, False)
         aside |= own or name in ASIDE or (head or name == "header") and not inside
         if name in MAIN and not aside:
             articles += 1
             inside = articles
+        if name not in PARTS:
+            holders += 1
+            holder = holders
         if not m["attrs"].endswith("/") or name not in ("svg", "math"):
-            open_tags.append((name, aside, inside))
+            open_tags.append((name, aside, inside, holder))
     close()
     return found
 
@@ -193,24 +199,31 @@ def labels(blocks: list[Block], limits: Limits = Limits()) -> list[bool]:
 
     An open block takes the label of its decided neighbours when both agree, and when they do
     not that of the nearer one (the one after it for a heading or a tie). Neighbours are looked for
-    in the same article element, or outside all of them; without any, blocks of an article
-    element stay and others go.
+    in the element around the block, and if it has none, in the same article element or outside
+    all of them; without any, blocks of an article element stay and others go.
     """
     in_article = any(b.inside and not b.aside for b in blocks)
     first = [_first_pass(b, in_article, limits) for b in blocks]
     out = list(first)
     n = len(blocks)
-    before, after = [-1] * n, [-1] * n
-    for steps, memo in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last: dict[int, int] = {}
-        for i in steps:
-            memo[i] = last.get(blocks[i].inside, -1)
-            # Inside an article, what is set off there (an advert, a form) says nothing about the text around it.
-            if first[i] is not None and not (blocks[i].inside and first[i] is False):
-                last[blocks[i].inside] = i
+
+    def neighbours(group) -> tuple[list[int], list[int]]:
+        before, after = [-1] * n, [-1] * n
+        for steps, memo in ((range(n), before), (range(n - 1, -1, -1), after)):
+            last: dict[int, int] = {}
+            for i in steps:
+                memo[i] = last.get(group(blocks[i]), -1)
+                # Inside an article, what is set off there (an advert, a form) says nothing about the text around it.
+                if first[i] is not None and not (blocks[i].inside and first[i] is False):
+                    last[group(blocks[i])] = i
+        return before, after
+
+    close, wide = neighbours(lambda b: b.holder), neighbours(lambda b: b.inside)
     for i, b in enumerate(blocks):
         if first[i] is None:
-            a, z = before[i], after[i]
+            a, z = close[0][i], close[1][i]
+            if a < 0 and z < 0:
+                a, z = wide[0][i], wide[1][i]
             if a < 0 and z < 0:
                 out[i] = bool(b.inside)
             elif a < 0 or z < 0:

@@ -272,7 +272,8 @@ def _candidates(docs: DataFrame, words: int, percent: int, total: int, bucket: i
     """The sets that may have a partner: (id, size, most, tokens, df)."""
     bits = (max(1, -(-total // bucket)) - 1).bit_length()
     shift = np.uint64(64 - bits - _low(bits))
-    smallest = next(n for n in range(1, 102) if _least(n, percent) < n or n == 101)  # below it only equal sets are linked
+    # Smaller sets can have no larger partner, and of equal size only equal sets are linked then.
+    smallest = next((n for n in range(1, 101) if n * 100 // percent > n), 1 << 62)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
