@@ -27,7 +27,8 @@ def listed(*names: Column) -> Column:
 
 def missing_groups(text: Column, groups: Groups = fixed.CONCEPT_GROUPS) -> Column:
     """Names of the concept groups the text does not hit, in order."""
-    return listed(*[F.when(~hits(text, p), F.lit(name)) for name, p in groups])
+    places = listed(*[F.when(~hits(text, p), F.lit(str(i))) for i, (_, p) in enumerate(groups)])
+    return _at(places, [name for name, _ in groups])
 
 
 def with_filter_verdict(rows: DataFrame, groups: Groups = fixed.CONCEPT_GROUPS) -> DataFrame:
@@ -60,10 +61,33 @@ def group_count(title: Column, abstract: Column, groups: Groups = fixed.CONCEPT_
     return sum((hits(text, p).cast("int") for _, p in groups), F.lit(0))
 
 
+def _has_alternatives(pattern: str) -> bool:
+    """Whether a `|` stands outside all groups, classes, quotations and escapes."""
+    depth, at, in_class = 0, 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            if pattern.startswith("\\Q", at):
+                end = pattern.find("\\E", at)
+                at = len(pattern) if end < 0 else end
+            at += 2
+            continue
+        if c == "[":
+            in_class += 1
+        elif c == "]" and in_class:
+            in_class -= 1
+        elif not in_class:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and depth == 0:
+                return True
+        at += 1
+    return False
+
+
 def required_start(pattern: str) -> str:
     """The literal text every match of a pattern starts with, '' when there is none."""
     body = pattern.removeprefix(r"\b")
-    if "|" in re.sub(r"\(.*\)", "", body):
+    if _has_alternatives(body):
         return ""
     literal = re.match(r"[a-z0-9 ]*", body).group()
     following = body[len(literal):len(literal) + 1]
@@ -80,20 +104,30 @@ def hits_lowered(text: Column, pattern: str) -> Column:
     return text.contains(start) & hits(text, f"(?={start}){pattern}")
 
 
+def _places(text: Column, categories: Categories) -> Column:
+    """Places (as text) of the patterns that hit, in the order of the list."""
+    patterns = [p for _, ps in categories for p in ps]
+    return listed(*[F.when(hits_lowered(text, p), F.lit(str(i))) for i, p in enumerate(patterns)])
+
+
+def _at(places: Column, values: list[str]) -> Column:
+    """The values that stand at those places."""
+    known = F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.transform(places, lambda i: F.get(known, i.cast("int")))
+
+
 def keyword_hits(text: Column, categories: Categories = fixed.EXCLUSION_CATEGORIES) -> Column:
     """Every `category::pattern` that hits a lower-case text, in list order."""
-    return listed(*[
-        F.when(hits_lowered(text, p), F.lit(f"{name}::{p}"))
-        for name, patterns in categories for p in patterns
-    ])
+    return _at(_places(text, categories), [f"{name}::{p}" for name, ps in categories for p in ps])
 
 
 def with_keywords(rows: DataFrame, categories: Categories = fixed.EXCLUSION_CATEGORIES) -> DataFrame:
     """Adds the arrays `kw_keywords` and `kw_categories`; both empty for a record that stays."""
     lowered = F.lower(joined_text(F.col("title"), F.col("abstract")))
-    staged = rows.withColumn("_text", lowered).withColumn("kw_keywords", keyword_hits(F.col("_text"), categories))
-    names = F.transform("kw_keywords", lambda k: F.substring_index(k, "::", 1))
-    return staged.withColumn("kw_categories", F.array_distinct(names)).drop("_text")
+    staged = rows.withColumn("_text", lowered).withColumn("_places", _places(F.col("_text"), categories))
+    keywords = _at(F.col("_places"), [f"{name}::{p}" for name, ps in categories for p in ps])
+    names = F.array_distinct(_at(F.col("_places"), [name for name, ps in categories for _ in ps]))
+    return staged.withColumn("kw_keywords", keywords).withColumn("kw_categories", names).drop("_text", "_places")
 
 
 def term_matches(text: Column, pattern: str) -> Column:
@@ -112,20 +146,20 @@ def below_and_old(metric: Column, year: Column, threshold: float, recent_from: i
     return (F.coalesce(metric, F.lit(0)) < threshold) & F.coalesce(year < recent_from, F.lit(False))
 
 
+def boolean_query(groups: list[list[str]], one) -> str:
+    """All groups, of each any term; `one` writes the forms of a term."""
+    return " AND ".join(f"({' OR '.join(form for term in terms for form in one(term))})" for terms in groups)
+
+
 def fielded_query(terms: list[list[str]] = fixed.CONCEPT_TERMS,
                   fields: tuple[str, ...] = ("Document Title", "Abstract")) -> str:
     """The concept groups as a query that names the field of every term."""
-    clauses = [
-        "(" + " OR ".join(f'"{field}":"{term}"' for term in group for field in fields) + ")"
-        for group in terms
-    ]
-    return " AND ".join(clauses)
+    return boolean_query(terms, lambda t: [f'"{name}":"{t}"' for name in fields])
 
 
 def scoped_query(terms: list[list[str]] = fixed.CONCEPT_TERMS, scope: str = "TITLE-ABS") -> str:
     """The concept groups as one scoped query."""
-    clauses = ["(" + " OR ".join(f'"{t}"' for t in group) + ")" for group in terms]
-    return f"{scope}({' AND '.join(clauses)})"
+    return f"{scope}({boolean_query(terms, lambda t: [chr(34) + t + chr(34)])})"
 
 
 def term_predicate(text: Column, terms: list[list[str]] = fixed.CONCEPT_TERMS) -> Column:

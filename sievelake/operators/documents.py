@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions.identifiers import norm_title
+from sievelake.functions.identifiers import norm_doi, norm_title
 from sievelake.session import cut, spread_work
 
 TITLE_PHRASE, TITLE_WORDS, FIRST_PAGE_DOI = "タイトル一致", "タイトル語の一致", "1ページ目の DOI"
@@ -59,12 +59,13 @@ def titles_in_documents(documents: DataFrame, records: DataFrame, share: float =
     level = F.when(phrase, 1).when(F.size("words") >= 5, F.when(near, 2))
     by_title = checked.select("doc_id", "record_id", level.alias("level")).where("level IS NOT NULL")
 
-    # A DOI inside the text is a prefix of some run that starts with "10.".
+    # A DOI inside the text is a prefix of some run that starts with "10.", as long as a wanted one.
+    known = cut(records.select("record_id", norm_doi(F.col("doi")).alias("doi")).where("doi <> ''"))
+    lengths = F.array(*[F.lit(r[0]) for r in known.select(F.length("doi")).distinct().collect()]).cast("array<int>")
     runs = documents.select("doc_id", F.explode(F.regexp_extract_all(
         F.lower("first_page"), F.lit(r"(?=(10\.\S+))"), 1)).alias("run"))
     heads = runs.select("doc_id", F.explode(F.transform(
-        F.sequence(F.lit(4), F.length("run")), lambda k: F.substring("run", F.lit(1), k))).alias("doi")).distinct()
-    known = records.select("record_id", F.lower("doi").alias("doi")).where("doi LIKE '10.%'")
+        F.filter(lengths, lambda n: n <= F.length("run")), lambda n: F.substring("run", F.lit(1), n))).alias("doi")).distinct()
     by_doi = heads.join(known, "doi").select("doc_id", "record_id", F.lit(3).alias("level"))
 
     best = by_title.unionByName(by_doi).groupBy("doc_id", "level").agg(

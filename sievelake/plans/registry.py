@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievelake.session import SPREAD_TEXT
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -22,12 +24,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         rows = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
-        # A text table in fewer splits than cores would leave cores idle under the text
-        # work; large tables have many splits and are never moved.
-        cores = self._spark.sparkContext.defaultParallelism
-        if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
-            return rows.repartition(cores)
-        return rows
+        # A local session with one small file per table asks for its text to be spread; elsewhere
+        # the splits of the files are the partitions.
+        spread = self._spark.conf.get(SPREAD_TEXT, None)
+        return rows.repartition(int(spread)) if spread and name in TEXT_TABLES else rows
 
 
 def query(name: str, sql: str | None = None):

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting of a session that has few, small files: text tables are dealt over so many partitions.
+SPREAD_TEXT = "sievelake.text.partitions"
+
+
 def local_session(cpus: str = "8", app: str = "sievelake") -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
     spark = (
@@ -19,6 +23,7 @@ def local_session(cpus: str = "8", app: str = "sievelake") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config(SPREAD_TEXT, cpus if cpus.isdigit() else "8")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -130,8 +130,9 @@ def bibtex_entries(files: DataFrame) -> DataFrame:
     An entry starts after a closing brace, a line break or at the beginning; the break
     may be missing. Text such as `@article{` inside a field does not start one.
     """
-    marked = F.regexp_replace("value", r"(?U)(\A|\}|\n)([ \t\r\n]*)@(?=\w+\{)", "$1$2\u0001@")
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: p.startswith("@"))
+    start = r"[ \t\r\n]*@\w+\{"
+    split = F.split("value", rf"(?U)(?:(?<=[}}\n])|\A)(?={start})")
+    parts = F.transform(F.filter(split, lambda p: p.rlike(rf"(?U)\A{start}")), lambda p: F.regexp_replace(p, r"\A[ \t\r\n]+", ""))
     entries = files.select("file", F.posexplode(parts).alias("place", "part"))
     body = F.concat(F.regexp_replace("part", r"(?U)\s+\z", ""), F.lit("\n"))
     head = r"(?U)^@(\w+)\{([^,]+),"
@@ -182,11 +183,11 @@ def ris_keys(lines: DataFrame, chunk: int = 10_000) -> DataFrame:
 
 def pages_of(files: DataFrame, id_column: str = "record_id") -> DataFrame:
     """(record_id, page, text) from texts with `[p.N]` lines (record_id, value)."""
-    marked = F.regexp_replace("value", r"(?m)^\[p\.(\d+)\]\s*$", "\u0001$1\u0002")
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: p.rlike("^\\d+\u0002"))
+    head = r"(?m)\A\[p\.(\d+)\]\s*$"
+    parts = F.filter(F.split("value", r"(?m)(?=^\[p\.\d+\]\s*$)"), lambda p: p.rlike(head))
     return files.select(id_column, F.explode(parts).alias("part")).select(
-        id_column, F.substring_index("part", "\u0002", 1).cast("int").alias("page"),
-        F.regexp_extract("part", "(?s)^\\d+\u0002(.*)", 1).alias("text"))
+        id_column, F.regexp_extract("part", head, 1).cast("int").alias("page"),
+        F.regexp_replace("part", head, "").alias("text"))
 
 
 # --- landed search results --------------------------------------------------------------------------
