@@ -92,12 +92,32 @@ def second_sheets(assignment: DataFrame, lead: DataFrame) -> DataFrame:
     return rows.where(blanks.scalar() == 0).withColumn("reviewer", ids.second_reviewer(F.col("key"))).drop("d")
 
 
-def calibration_supplement(assignment: DataFrame, delivered: DataFrame,
+def calibration_supplement(assignment: DataFrame, delivered: DataFrame, sheet: DataFrame | None = None,
                            reviewers: list[str] = fixed.SECOND_REVIEWERS) -> DataFrame:
-    """(reviewer, record_id): calibration records that a reviewer's sheet does not have yet."""
+    """(reviewer, record_id): calibration records that a reviewer's sheet does not have yet.
+
+    With `sheet`, the full sheet (record_id, ...), the rows are taken from it; the job fails when
+    it lacks a wanted record, rather than hand out an incomplete supplement.
+    """
     wanted = assignment.where("calibration = 'Y'").withColumn(
         "reviewer", F.explode(F.array(*[F.lit(r) for r in reviewers])))
-    return wanted.join(delivered.select("reviewer", "record_id"), ["reviewer", "record_id"], "left_anti")
+    added = wanted.join(delivered.select("reviewer", "record_id"), ["reviewer", "record_id"], "left_anti")
+    if sheet is None:
+        return added
+    rows = sheet.select("record_id", F.struct(*[F.col(c) for c in sheet.columns if c != "record_id"], F.lit(True).alias("there")).alias("row"))
+    missing = F.raise_error(F.concat(F.lit("not in the full sheet: "), F.col("record_id"))).cast("string")
+    found = added.select("reviewer", "record_id").join(rows, "record_id", "left").withColumn(
+        "record_id", F.when(F.col("row").isNotNull(), F.col("record_id")).otherwise(missing))
+    return found.select("reviewer", "record_id", "row.*").drop("there")
+
+
+def consensus_order(votes: DataFrame) -> DataFrame:
+    """(record_id, n_distinct, place): records by how many different votes they got, most first,
+    then by id. `votes` has (record_id, decision), a bounded number of votes a record."""
+    counted = votes.groupBy("record_id").agg(F.count_distinct("decision").alias("n_distinct"))
+    keyed = counted.withColumn("_order", F.concat(F.lpad((999 - F.col("n_distinct")).cast("string"), 3, "0"), "record_id"))
+    ranked = global_rank(keyed, "_order", F.substring("_order", 1, 6))
+    return ranked.select("record_id", "n_distinct", (F.col("rank") + 1).alias("place"))
 
 
 def workload(assignment: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from sievelake.plans import funnel_queries  # noqa: F401
 from sievelake.plans import overlap_queries  # noqa: F401
 from sievelake.plans import report_queries  # noqa: F401
 from sievelake.plans import decision_queries  # noqa: F401
+from sievelake.plans import intake_queries  # noqa: F401
 from sievelake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

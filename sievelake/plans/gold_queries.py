@@ -74,23 +74,28 @@ def _(t):
         "id", "stage", "method", "found_ord")
 
 
-@query("gold_stage_recall", f"""WITH RECURSIVE {GREEDY_SQL}, {GOLD_SQL}, {MATCH_SQL}
+NEAR_SQL = """titles AS (SELECT stage, c_title, min(ord) AS first_ord FROM held WHERE c_title <> '' GROUP BY ALL),
+  near AS (SELECT m.id, m.stage, t.c_title, t.first_ord, m.g_title, greatest(length(m.g_title), length(t.c_title)) AS n
+    FROM matches m JOIN titles t ON m.stage = t.stage AND abs(length(m.g_title) - length(t.c_title)) <=
+      floor(greatest(length(m.g_title), length(t.c_title)) * (1 - 0.9::DOUBLE)) WHERE m.method = 'NONE' AND m.g_title <> ''),
+  scored AS (SELECT *, levenshtein(g_title, c_title) AS d FROM near),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY id, stage ORDER BY 1 - d::DOUBLE / n DESC, first_ord) AS p
+    FROM scored WHERE d <= floor(n * (1 - 0.9::DOUBLE)))"""
+
+
+@query("gold_stage_recall", f"""WITH RECURSIVE {GREEDY_SQL}, {GOLD_SQL}, {MATCH_SQL}, {NEAR_SQL}
   SELECT stage, count(*) AS items, count(*) FILTER (WHERE method IN ('DOI', 'DOI(表記差)', 'TITLE')) AS survivors,
-    0::BIGINT AS fuzzy, count(*) FILTER (WHERE method = 'SUSPECT') AS suspects,
+    (SELECT count(DISTINCT p.id) FROM placed p WHERE p.stage = matches.stage) AS fuzzy, count(*) FILTER (WHERE method = 'SUSPECT') AS suspects,
     round(count(*) FILTER (WHERE method IN ('DOI', 'DOI(表記差)', 'TITLE')) / count(*), 6) AS recall
   FROM matches GROUP BY stage""")
 def _(t):
-    return gold.stage_recall(gold.match_stages(gold.in_scope(gold_items(t)), stage_corpus(t), ["step0", "step1"]))
+    corpus = stage_corpus(t)
+    matches = cut(gold.match_stages(gold.in_scope(gold_items(t)), corpus, ["step0", "step1"]))
+    return gold.stage_recall(gold.with_candidates(matches, corpus))
 
 
 @query("gold_fuzzy_titles", f"""WITH RECURSIVE {GREEDY_SQL}, {GOLD_SQL}, {MATCH_SQL},
-  titles AS (SELECT stage, c_title, min(ord) AS first_ord FROM held WHERE c_title <> '' GROUP BY ALL),
-  near AS (SELECT m.id, m.stage, t.c_title, t.first_ord, m.g_title, greatest(length(m.g_title), length(t.c_title)) AS n
-    FROM matches m JOIN titles t ON m.stage = t.stage AND abs(length(m.g_title) - length(t.c_title)) <=
-      floor(greatest(length(m.g_title), length(t.c_title)) * (1 - 0.9::DOUBLE)) WHERE m.method = 'NONE' AND m.g_title <> ''),
-  scored AS (SELECT *, levenshtein(g_title, c_title) AS d FROM near),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY id, stage ORDER BY 1 - d::DOUBLE / n DESC, first_ord) AS p
-    FROM scored WHERE d <= floor(n * (1 - 0.9::DOUBLE)))
+  {NEAR_SQL}
   SELECT id, stage, string_agg(c_title || ' (lev=' || printf('%.3f', 1 - d::DOUBLE / n) || ')', ' || ' ORDER BY p) AS candidates
   FROM placed WHERE p <= 3 GROUP BY id, stage""")
 def _(t):
@@ -151,6 +156,23 @@ def _(t):
     return gold.coverage(gold.in_scope(gold_items(t)), corpus)
 
 
+@query("gold_coverage_all", f"""WITH {RECORDS_SQL}, {GOLD_SQL}, asked AS (
+    SELECT id, lower(regexp_extract(doi, '10\\.\\d{{4,9}}/\\S+')) AS g_doi, {norm_title_sql('title')} AS g_title FROM gold WHERE scope <> 'background'),
+  held AS (SELECT ord, doi AS c_doi, {norm_title_sql('title')} AS c_title FROM records),
+  bd AS (SELECT DISTINCT c_doi FROM held WHERE c_doi <> ''),
+  bt AS (SELECT c_title, arg_max(c_doi, ord) AS found FROM held WHERE c_title <> '' GROUP BY ALL),
+  v AS (SELECT a.id, CASE WHEN bd.c_doi IS NOT NULL THEN 'HIT' WHEN bt.c_title IS NULL THEN 'MISS'
+    WHEN g_doi <> '' AND bt.found <> '' AND bt.found <> g_doi THEN 'SUSPECT' ELSE 'HIT' END AS verdict
+    FROM asked a LEFT JOIN bd ON bd.c_doi = a.g_doi LEFT JOIN bt ON bt.c_title = a.g_title)
+  SELECT verdict, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM v)::DOUBLE, 1) AS percent FROM v GROUP BY verdict""")
+def _(t):
+    """Gold items against all files together, and the share of each verdict."""
+    corpus = records(t).select(F.concat("source", F.lit(".csv")).alias("file"), F.lit("any").alias("provider"), "ord", "doi", "title")
+    verdicts = cut(gold.coverage(gold.in_scope(gold_items(t)), corpus, per_file=False))
+    total = verdicts.agg(F.count("*").alias("n"))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n")).withColumn("percent", F.round(F.col("n") * 100 / total.scalar(), 1))
+
+
 SHEET_SQL = """sheet AS (SELECT ord, 'R' || substr(md5(doi || title), 1, 9) AS record_id, doi, title,
     CASE WHEN lang = 'en' THEN 'database' ELSE 'snowballing' END AS source, CASE WHEN n_chars < 1500 THEN 'Y' ELSE 'N' END AS calibration,
     CASE WHEN abstract = '' THEN 'N' ELSE 'Y' END AS has_abstract FROM records WHERE source <> 'src7'),

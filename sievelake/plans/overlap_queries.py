@@ -222,14 +222,14 @@ def _(t):
 
 
 @query("citation_seeds", """WITH refs AS (SELECT p_partkey AS seed, ' ' || p_name AS title, 'https://doi.org/10.1234/' || p_partkey AS doi FROM part WHERE p_size < 40),
-  dropped AS (SELECT DISTINCT l_partkey AS seed FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
+  dropped AS (SELECT DISTINCT l_partkey AS seed FROM lineitem WHERE l_returnflag = 'R'),
   chosen AS (SELECT seed FROM dropped UNION SELECT p_partkey FROM part WHERE p_type = 'SMALL')
   SELECT seed, trim(title) AS title, '10.1234/' || seed AS doi FROM chosen JOIN refs USING (seed)""")
 def _(t):
     refs = t.part.where("p_size < 40").select(
         F.col("p_partkey").alias("seed"), F.concat(F.lit(" "), "p_name").alias("title"),
         F.concat(F.lit("https://doi.org/10.1234/"), F.col("p_partkey").cast("string")).alias("doi"))
-    dropped = t.lineitem.where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("seed")).distinct()
+    dropped = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("seed")).distinct()
     return citations.choose_seeds(dropped, refs, t.part.where("p_type = 'SMALL'").select(F.col("p_partkey").alias("seed")))
 
 

@@ -22,6 +22,7 @@ TOPIC_EXCLUSIONS = [
     ("Out of scope", [r"\bidiot\b", r"\bar\b", r"\bclown\w*\b", r"\bno such phrase\b"]),
     ("Not a study", [r"\btoken\b", r"\blicense\b", r"\bcopyright\b", r"\bpassword\b"]),
     ("Clinical", [r"\bpatients?\b", r"\bther\w+\b"]),
+    ("Two forms", [r"\bfat(?:ter)?\b|\bclown\b"]),
 ]
 TOPIC_TERMS = r"\b(fat(?:ter|ness)?|thin(?:ner|ness)?|ther\w*|clown)\b"
 
