@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.operators import documents, gold, quotes
 from sievelake.plans.dedup_queries import GREEDY_SQL
 from sievelake.plans.records import RECORDS_SQL, norm_title_sql, records
+from sievelake.plans import quote_sql as sql
 from sievelake.plans.registry import query
 from sievelake.operators import dedup
 from sievelake.session import cut
@@ -280,12 +281,12 @@ def turn_quotes(t):
         "record_id", F.col("q.field").alias("field"), F.col("q.page").cast("int").alias("page"), F.col("q.quote").alias("quote"))
 
 
-@query("quote_spans")
+@query("quote_spans", f"WITH {sql.QUOTES_SQL}, {sql.LOCATED_SQL} SELECT * FROM located")
 def _(t):
     return quotes.locate_quotes(turn_quotes(t), turn_pages(t))
 
 
-@query("quote_status_counts")
+@query("quote_status_counts", sql.STATUS_SQL)
 def _(t):
     asked = cut(turn_quotes(t))
     return quotes.verify_quotes(asked, turn_pages(t)).join(asked.select("quote_id", "field"), "quote_id").groupBy(
@@ -326,12 +327,12 @@ def run_agreement(t):
                                  asked.select("record_id", "field").distinct(), ["run1", "run2", "run3"])
 
 
-@query("span_agreement")
+@query("span_agreement", f"WITH {sql.AGREEMENT_SQL} SELECT record_id, field, round(jaccard, 6) AS jaccard, shared, empty_all FROM agreement")
 def _(t):
     return run_agreement(t).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("span_summary")
+@query("span_summary", sql.SUMMARY_SQL)
 def _(t):
     return quotes.field_summary(run_agreement(t))
 

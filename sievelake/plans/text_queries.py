@@ -12,6 +12,7 @@ from sievelake.plans.records import (
     KEYED_SQL, RECORDS_SQL, TOPIC_EXCLUSIONS, TOPIC_GROUPS, TOPIC_TERMS, hits_sql, keyed_records,
     md5_modulo_sql, norm_title_sql, records, string_sql, strip_sql,
 )
+from sievelake.plans.quote_sql import CANONICAL_SQL
 from sievelake.plans.registry import query
 
 BIG = "bigint"
@@ -275,7 +276,7 @@ def _(t):
                         F.round(similarity.levenshtein_similarity(a, b, 0.1), 9).alias("above_floor"))
 
 
-@query("canonical_text")
+@query("canonical_text", CANONICAL_SQL)
 def _(t):
     """Canonical forms of every conversation turn, as digests."""
     rows = t.conversations.select("conv_id", "turn", similarity.canonical_text(F.col("text")).alias("c"))
