@@ -85,3 +85,19 @@ AGREEMENT_SQL = f"""runs AS (
 SUMMARY_SQL = f"""WITH {AGREEMENT_SQL} SELECT field, count(*) AS records, count(*) FILTER (WHERE empty_all) AS empty, count(*) FILTER (WHERE shared) AS shared,
   round(count(*) FILTER (WHERE shared) / nullif(count(*) FILTER (WHERE NOT empty_all), 0)::DOUBLE, 2) AS shared_share,
   round(avg(jaccard) FILTER (WHERE NOT empty_all), 2) AS mean_jaccard FROM agreement GROUP BY field"""
+
+
+def ratio_sql(pairs: str) -> str:
+    """CTEs `scored` (id, ratio) for a table of distinct (id, a, b): the Ratcliff/Obershelp ratio.
+
+    The longest common block counts, the first one in `a` and then in `b` of those as long; then
+    the same to its left and to its right. For strings of fewer than 200 characters.
+    """
+    return f"""seg(id, a, b, k) AS (
+    SELECT id, a, b, 0::BIGINT FROM {pairs} UNION ALL
+    SELECT id, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]), unnest([k, 0]) FROM (
+      SELECT id, a, b, m.k AS k, -m.i AS i, instr(b, substr(a, -m.i, m.k)) AS j FROM (
+        SELECT id, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2),
+          lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN {{'k': k, 'i': -i}} END)))) AS m FROM seg WHERE a <> '' AND b <> '') WHERE m IS NOT NULL)),
+  scored AS (SELECT p.id, CASE WHEN length(p.a) + length(p.b) = 0 THEN 1.0 ELSE 2.0 * s.k::DOUBLE / (length(p.a) + length(p.b)) END AS ratio
+    FROM {pairs} p JOIN (SELECT id, sum(k) AS k FROM seg GROUP BY id) s USING (id))"""

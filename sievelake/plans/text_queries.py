@@ -12,7 +12,7 @@ from sievelake.plans.records import (
     KEYED_SQL, RECORDS_SQL, TOPIC_EXCLUSIONS, TOPIC_GROUPS, TOPIC_TERMS, hits_sql, keyed_records,
     md5_modulo_sql, norm_title_sql, records, string_sql, strip_sql,
 )
-from sievelake.plans.quote_sql import CANONICAL_SQL
+from sievelake.plans.quote_sql import CANONICAL_SQL, ratio_sql
 from sievelake.plans.registry import query
 
 BIG = "bigint"
@@ -249,7 +249,8 @@ def _(t):
                         F.round(venues.containment(F.col("title"), F.col("venue")), 9).alias("share"))
 
 
-@query("raw_similarity")
+@query("raw_similarity", f"""WITH RECURSIVE {VENUE_SQL}, pairs AS (SELECT DISTINCT venue AS id, lower(venue) AS a, {normalize_sql('venue')} AS b FROM venues),
+  {ratio_sql('pairs')} SELECT id AS venue, round(ratio, 6) AS ratio FROM scored""")
 def _(t):
     """Ratio of every distinct venue spelling to its own normal form."""
     venue = F.col("venue")
