@@ -29,13 +29,13 @@ from sievelake.llm.common import cut
 from sievelake.llm.components import components
 
 #: Shingles that one task compares, and that one task gathers before it hands them on.
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 #: Bytes of text that are hashed at a time.
 STRETCH = 1 << 21
 ROUNDS = 5
 #: Cost of verifying a candidate, in steps of the candidate search.
-VERIFY = 20
-EXTRA = (1, 2, 4, 8, 16)
+VERIFY = 4
+EXTRA = (1, 2, 4, 8)
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -315,14 +315,15 @@ def _candidates(docs: DataFrame, words: int, percent: int, total: int, bucket: i
     for _ in range(ROUNDS - 1):
         sets = _round(sets.mapInPandas(again, shape), percent, bits)
         before, left = left, sets.count()
-        if left > 0.98 * before:
+        if left > 0.9 * before:
             break
     return sets
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, size, most, extra): each set's rarest shingles, more of them where they are
-    frequent; `extra` says how many of them a partner must share."""
+    """(token, place, id, size, most, extra): each set's rarest shingles with their places in the order
+    of all its shingles (those of no use come first), more of them where they are frequent;
+    `extra` says how many of them a partner must share."""
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -332,14 +333,18 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 order = np.lexsort((tokens, df))
                 need = int(_least(r.size, percent))
                 met = np.cumsum(df[order] - 1)
-                lengths = [(x, len(tokens) - need + x) for x in EXTRA if x == 1 or x <= need]
-                extra, length = min(lengths, key=lambda c: met[c[1] - 1] * (1 + VERIFY / c[0]))
-                out.append(pd.DataFrame({"token": tokens[order[:length]].astype(np.int64), "id": r.id, "size": r.size,
-                                         "most": r.most, "extra": extra}))
+                # Candidates come up at about the first `early + extra` places (see `_links`), and of those
+                # met once so many are left with `extra` shingles shared.
+                early = r.size - int(-(-2 * r.size * percent // (100 + percent))) - (r.size - len(tokens))
+                cost = lambda x: met[min(max(early, 0) + x, len(met)) - 1] * (1 + VERIFY / x)
+                extra = min((x for x in EXTRA if x == 1 or x <= need), key=cost)
+                length = len(tokens) - need + extra
+                out.append(pd.DataFrame({"token": tokens[order[:length]].astype(np.int64), "place": r.size - len(tokens) + np.arange(length),
+                                         "id": r.id, "size": r.size, "most": r.most, "extra": extra}))
             if out:
                 yield pd.concat(out)
 
-    return sets.mapInPandas(choose, "token long, id long, size long, most long, extra int")
+    return sets.mapInPandas(choose, "token long, place int, id long, size long, most long, extra int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -378,10 +383,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         "token", F.col("h.root").alias("main"))
     rows = rows.join(largest, "token").withColumn("outside", F.col("root") != F.col("main"))
     a, b = rows.where("outside").alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & (
-        ~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))) & _fits("a", "b", percent))
+    extra = F.least("a.extra", "b.extra")
+    mixed = (F.col("a.root") != F.col("b.root")) & (~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))) & _fits("a", "b", percent)
+    # Before the k-th shingle that two linked sets share, all others are in one of them only: their
+    # places tell whether there are too many. The first `extra` shared ones pass.
+    total = F.col("a.size") + F.col("b.size")
+    apart = total - 2 * F.ceil(total * percent / (100 + percent) - F.lit(1e-9))
+    early = F.col("a.place") + F.col("b.place") <= apart + 2 * (extra - 1)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & mixed & early)
     pairs = pairs.groupBy(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).agg(
-        F.count("*").alias("n"), F.min(F.least("a.extra", "b.extra")).alias("extra")).where("n >= extra").select("a", "b")
+        F.count("*").alias("n"), F.min(extra).alias("extra")).where("n >= extra").select("a", "b")
     return near.unionByName(_verified(cut(pairs), sets, percent))
 
 
