@@ -130,7 +130,7 @@ def with_keywords(rows: DataFrame, categories: Categories = fixed.EXCLUSION_CATE
     return staged.withColumn("kw_keywords", keywords).withColumn("kw_categories", names).drop("_text", "_places")
 
 
-def term_matches(text: Column, pattern: str) -> Column:
+def term_matches(text: Column, pattern: str = fixed.SHAPE_TERMS) -> Column:
     """Distinct lower-cased matches of a pattern, sorted, `;` joined."""
     found = F.regexp_extract_all(F.lower(text), F.lit("(?iU)" + pattern), 0)
     return F.array_join(F.array_sort(F.array_distinct(found)), ";")

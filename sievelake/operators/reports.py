@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions import fixed_values as fixed
 from sievelake.functions import screening
 from sievelake.operators.skew import spread_join
 
@@ -80,7 +81,7 @@ def score_columns(text: Column, categories) -> list[Column]:
     return [F.lower(text).rlike("(?U)" + "|".join(patterns)).cast("int").alias(name) for name, patterns in categories]
 
 
-def score_distribution(rows: DataFrame, text: Column, categories) -> DataFrame:
+def score_distribution(rows: DataFrame, text: Column, categories=fixed.SCORE_CATEGORIES) -> DataFrame:
     """(figure, n): hits per category, records per score, records below the cut-offs."""
     names = [name for name, _ in categories]
     scored = rows.select(*score_columns(text, categories))

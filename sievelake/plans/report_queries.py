@@ -77,6 +77,22 @@ def _(t):
     return reports.score_distribution(t.documents, F.col("text"), SCORES)
 
 
+def score_figures_sql(c: str, categories) -> str:
+    """The figures of a score distribution, for any categories."""
+    hit = [f"({' OR '.join(hits_sql(c, p) for p in ps)})::INT" for _, ps in categories]
+    n = len(categories)
+    score = " + ".join(f"s{i}" for i in range(n))
+    hits = " UNION ALL ".join(f"SELECT 'hits {name}' AS figure, coalesce(sum(s{i}), 0)::BIGINT AS n FROM s" for i, (name, _) in enumerate(categories))
+    return f"""WITH s AS (SELECT {', '.join(f'{e} AS s{i}' for i, e in enumerate(hit))} FROM documents) {hits}
+  UNION ALL SELECT 'score ' || v, (SELECT count(*) FROM s WHERE {score} = v) FROM range({n + 1}) r(v)
+  UNION ALL SELECT 'below ' || v, (SELECT count(*) FROM s WHERE {score} < v) FROM range(1, {n}) r(v)"""
+
+
+@query("score_distribution_standard", score_figures_sql("lower(text)", fixed.SCORE_CATEGORIES))
+def _(t):
+    return reports.score_distribution(t.documents, F.col("text"))
+
+
 @query("verdict_cross_table", f"""WITH s AS (SELECT CASE WHEN n_chars < 1500 THEN 'low' ELSE 'kept' END AS verdict, {' + '.join(score_sql('lower(text)'))} AS s FROM documents)
   SELECT verdict, {', '.join(f'count(*) FILTER (WHERE s = {i}) AS score_{i}' for i in range(4))}, count(*) AS total FROM s GROUP BY verdict""")
 def _(t):
