@@ -62,7 +62,7 @@ def judged(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     Pass only the columns to keep: they travel with the row through one aggregate. A null url,
     or one without `://`, has an empty host and path, fits no rule and gets `default`.
 
-    A rule table of at most `broadcast_rows` rules is broadcast; a larger one is joined with
+    A rule table of at most `broadcast_rules` rules is broadcast; a larger one is joined with
     the frequent expressions (every `.com` page has the expression `com/`) spread over tasks.
     """
     table = prepared(rules)
