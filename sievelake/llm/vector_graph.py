@@ -62,26 +62,31 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, entry: int, points: np.n
 def pruned(vectors: np.ndarray, node: int, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """At most `degree` candidates: the nearest first, without those that a kept one stands before."""
     candidates = np.unique(candidates[(candidates >= 0) & (candidates != node)])
-    near = vectors[candidates]
-    far = ((near - vectors[node]) ** 2).sum(axis=1)
+    near = vectors[candidates] - vectors[node]
+    far = np.einsum("ij,ij->i", near, near)
     order = np.argsort(far, kind="stable")
     candidates, near, far = candidates[order], near[order], far[order]
+    # apart[i, j]: whether candidate j stays when i is kept.
+    apart = alpha * alpha * (far[:, None] + far[None, :] - 2 * (near @ near.T)) > far[None, :]
     alive, kept = np.ones(len(candidates), bool), []
     for k in range(len(candidates)):
         if alive[k]:
-            kept.append(candidates[k])
+            kept.append(k)
             if len(kept) == degree:
                 break
-            alive &= alpha * alpha * ((near - near[k]) ** 2).sum(axis=1) > far
-    return np.array(kept, np.int64)
+            alive &= apart[k]
+    return candidates[kept]
 
 
 def built(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 0,
           together: int = 256) -> tuple[np.ndarray, int]:
-    """Edges (node, degree; -1: none) and the entry node of a shard's graph."""
+    """Edges (a row of neighbours per node; -1: none) and the entry node of a shard's graph.
+
+    Edges back are added until a node has a quarter more than `degree`; then it is pruned again.
+    """
     n = len(vectors)
     entry = int(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    edges = np.full((n, degree), -1, np.int64)
+    edges = np.full((n, degree + degree // 4), -1, np.int64)
     if n == 1:
         return edges, entry
     order = np.random.default_rng(seed).permutation(n)
@@ -107,7 +112,7 @@ def built(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
                 back.setdefault(other, []).append(node)
         for other, sources in back.items():
             wanted = np.unique(np.r_[edges[other][edges[other] >= 0], sources])
-            if len(wanted) <= degree:
+            if len(wanted) <= edges.shape[1]:
                 edges[other, :len(wanted)] = wanted
             else:
                 link(other, wanted)
@@ -155,7 +160,11 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "entry": [entry], "codes": ["".join(pdf["code"])],
                              "vectors": [vectors.tobytes()], "edges": [edges.astype("<i4").tobytes()]})
 
-    graphs = cut(spread(nodes.join(shards, "dim"), F.col("shards"), "shard").select("dim", "shard", "code", "vector").groupBy("dim", "shard").applyInPandas(
+    # Building is costly per row: a given number of partitions is not made smaller for few bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread(nodes.join(shards, "dim"), F.col("shards"), "shard").select("dim", "shard", "code", "vector").repartition(
+        max(parts, 2 * (shards.agg(F.sum("shards")).first()[0] or 0)), "dim", "shard")
+    graphs = cut(dealt.groupBy("dim", "shard").applyInPandas(
         build, "dim int, shard long, entry long, codes string, vectors binary, edges binary"))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +189,6 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
                                     "code": [r.codes[64 * i:64 * i + 64] for i in node.tolist()]})
 
     # Every block of queries meets every shard once; the pairs are dealt anew as their work is even.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = graphs.join(asked, "dim").repartition(parts, "dim", "shard", "block")
     hits = met.mapInPandas(search, "query_id long, query binary, score double, code string")
     best = Window.partitionBy("query_id", "query").orderBy("score")
