@@ -149,11 +149,17 @@ def fitted(docs: DataFrame, text: str = "text", label: str = "lang", key: str =
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    labels = sorted(r[0] for r in usable.select("label").distinct().collect())
+    # Rows of a label with a low draw, some more than are wanted, and of these the lowest: a label that
+    # most rows have sends no more of them to one task than another.
+    sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(sizes)
     each = max(5, rows // len(labels))
+    shares = F.create_map(*[F.lit(x) for y in labels for x in (y, min(1.0, (4 * each + 100) / sizes[y]))])
+    low = usable.select("key", "label", F.xxhash64(F.lit(seed), "key").alias("draw")).where(
+        "key IS NOT NULL").where(F.col("draw") / 2.0**64 + 0.5 <= F.element_at(shares, F.col("label")))
     drawn = F.row_number().over(Window.partitionBy("label").orderBy("draw", "key"))
-    sample = usable.select("key", "label", F.xxhash64(F.lit(seed), "key").alias("draw")).withColumn("k", drawn).where(F.col("k") <= each)
-    sample = sample.where("key IS NOT NULL").groupBy("key").agg(F.min("k").alias("k"))  # at most `rows` keys
+    sample = low.distinct().withColumn("k", drawn).where(F.col("k") <= each)
+    sample = sample.groupBy("key").agg(F.min("k").alias("k"))  # at most `rows` keys
     chosen = usable.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.first("k").alias("k"), F.min("text").alias("text"))
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
