@@ -388,8 +388,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # Before the k-th shingle that two linked sets share, all others are in one of them only: their
     # places tell whether there are too many. The first `extra` shared ones pass.
     total = F.col("a.size") + F.col("b.size")
-    apart = total - 2 * F.ceil(total * percent / (100 + percent) - F.lit(1e-9))
-    early = F.col("a.place") + F.col("b.place") <= apart + 2 * (extra - 1)
+    need = F.ceil(total * percent / (100 + percent) - F.lit(1e-9))
+    early = (F.col("a.place") <= F.col("a.size") - need + extra - 1) & (F.col("b.place") <= F.col("b.size") - need + extra - 1) & (
+        F.col("a.place") + F.col("b.place") <= total - 2 * need + 2 * (extra - 1))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & mixed & early)
     pairs = pairs.groupBy(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).agg(
         F.count("*").alias("n"), F.min(extra).alias("extra")).where("n >= extra").select("a", "b")
