@@ -18,7 +18,7 @@ HEADLINE = [
     "keyword_report", "venue_resolution", "rank_notes", "key_collisions", "issn_lookup", "gold_matches",
     "gold_fuzzy_titles", "titles_in_documents", "quote_spans", "span_agreement", "citation_hop", "citation_fallback",
     "source_overlap", "export_completeness", "kappa_by_pair", "assignment", "pairs_assigned", "consensus_list",
-    "fulltext_final", "year_histogram", "global_ranks",
+    "fulltext_final", "year_histogram", "global_ranks", "unmatched_nearest",
 ]
 
 
