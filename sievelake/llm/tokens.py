@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: White space as SPLIT has it; Python's own \s has four control characters more.
+BLANK = re.compile(r"[^\S\x1c-\x1f]+")
+#: From about a million characters of one blank run on SPLIT overflows a stack; from this length on, runs are taken out of the text first.
+LONG_BLANK = 100_000
 #: The pattern that byte-level BPE vocabularies of this kind split texts with before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,6 +41,8 @@ def encoder(path: str):
     special tokens being added; the merges run in `tiktoken`, which is four times as fast.
 
     Special strings that stand in a text become their ids, as that library has it by default.
+    A blank run of any length is one piece of the split but for its last character, which
+    belongs to what follows; long ones are cut out there and merged without SPLIT.
     """
     import tiktoken
 
@@ -45,8 +52,29 @@ def encoder(path: str):
     letters = _letters()
     ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     made = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    unsplit = tiktoken.Encoding("unsplit", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
+
+    def around_blanks(text: str) -> list[int]:
+        ids: list[int] = []
+        for part in marks.split(text) if marks else [text]:
+            if part in special:
+                ids.append(special[part])
+                continue
+            at = 0
+            for m in BLANK.finditer(part):
+                if m.end() - m.start() >= LONG_BLANK:
+                    ids += made.encode_ordinary(part[at:m.start()])
+                    at = m.end() - (m.end() < len(part))
+                    ids += unsplit.encode_ordinary(part[m.start():at])
+            ids += made.encode_ordinary(part[at:])
+        return ids
 
     def encode(text: str) -> list[int]:
+        # A run of twice this step, or longer, holds one of these slices.
+        step = LONG_BLANK
+        if any(text[i:i + step].isspace() for i in range(0, len(text) - step + 1, step)):
+            return around_blanks(text)
         if any(s in text for s in special):
             return made.encode(text, allowed_special="all")
         return made.encode_ordinary(text)

@@ -32,6 +32,22 @@ def test_ids_equal_the_library(spark):
         assert [*encode(text), 2] == all_ids(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n\u3000"])
+def test_ids_of_very_long_blank_runs(blank):
+    run = blank * (1_100_000 // len(blank))
+    for text in (run, f"the{run}end", f"a{run}<|endoftext|>{run}.\n"):
+        assert [*tokens.encoder(PATH)(text), 2] == all_ids(text)
+
+
+def test_ids_around_cut_blanks(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG_BLANK", 5)
+    rng = random.Random(3)
+    parts = ["a", "b's", " ", "\n", "\t", "\u3000", "\x1c", "\x85", "\xa0", "1", ".", "<|endoftext|>", " " * 9, "\n" * 9, " \n" * 5]
+    encode, own = tokens.encoder(PATH), library()
+    for text in ("".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)):
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n,expected", [(0, [(0, 0)]), (10, [(0, 10)]), (11, [(0, 1), (1, 10)]), (20, [(0, 10), (10, 10)]), (25, [(0, 5), (5, 10), (15, 10)])])
 def test_cut_places(n, expected):
     assert tokens.cut_places(n, 10) == expected
