@@ -5,6 +5,10 @@ between). The first pass decides what a block says about itself: places that pag
 other things (menus, footers, adverts, forms, comments), its link density, and, outside an
 article element, its length and stop-word density. Short blocks and others without a clear sign
 stay open; the second pass gives them the label of their nearest decided neighbours.
+
+Class names and ids that have a sign as one of several words ("comments-area", "sidebar-right") often
+tell the layout or topic of what an article element is in, so they say nothing about an article
+element below them, unless the page has text in another one outside; nor does a form around one.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ SIGNS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor
 HEADS = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 LAYOUT = frozenset("with has no without".split())
+#: Names of topics and states that sites give to an article and to what it is in.
+TOPIC = re.compile(r"(?:category|tag)-|.*-(?:open|closed)$")
 
 TAG = re.compile(
     r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?/][^>]*>)",
@@ -60,6 +66,7 @@ class Block:
     inside: int  # number of the article or main element around it, 0 for none
     heading: bool
     holder: int  # number of the element around it that is not itself a part of a text
+    under: bool = False  # whether a name with a sign among its words stands above the article element around it
 
 
 @dataclass(frozen=True)
@@ -74,9 +81,10 @@ class Limits:
     heading_reach: int = 3
 
 
-def _signs(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes name a place without article text, or a head."""
-    aside = head = False
+def _signs(attrs: str, element: str = "") -> tuple[bool, bool, bool, bool, bool]:
+    """Whether the attributes name a place without article text, or a head; then the same of
+    names that have the sign as one of several words; then whether such a name tells no topic or state."""
+    aside = head = part = head_part = telling = False
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("hidden",) or name == "aria-hidden" and value.lower() == "true":
@@ -85,14 +93,19 @@ def _signs(attrs: str) -> tuple[bool, bool]:
             aside |= "display:none" in value.replace(" ", "").lower()
         elif name == "role":
             head |= value.lower() == "banner"
-            aside |= value.lower() in ROLES - {"banner"}
+            aside |= value.lower() in ROLES - {"banner"} and not value.lower() == element == "form"
         elif name in ("class", "id"):
             for one in value.split():
-                words = set(NAMES.findall(CAMEL.sub(" ", one).lower()))
+                words = set(NAMES.findall(CAMEL.sub(" ", one).lower())) - ({element} if element == "form" else set())
                 if not words & LAYOUT:
-                    aside |= bool(words & SIGNS)
-                    head |= bool(words & HEADS)
-    return aside, head
+                    if one.lower() in words:
+                        aside |= bool(words & SIGNS)
+                        head |= bool(words & HEADS)
+                    elif words & (SIGNS | HEADS):
+                        part |= bool(words & SIGNS)
+                        head_part |= bool(words & HEADS)
+                        telling |= not TOPIC.match(one.lower())
+    return aside, head, part, head_part, telling
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -100,9 +113,11 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    # Open elements other than inline ones: (name, no article text from here on, article's number, holder's number).
-    top = ("", False, 0, 0)
-    open_tags: list[tuple[str, bool, int, int]] = []
+    # Open elements other than inline ones: (name, no article text from here on, none but in an article element,
+    # whether a telling name is among the reasons, whether one stands above the article, its number, whether it is
+    # an article rather than a main element, holder's number).
+    top = ("", False, False, False, False, 0, False, 0)
+    open_tags: list[tuple[str, bool, bool, bool, bool, int, bool, int]] = []
     links = articles = holders = 0
     heading = False
 
@@ -119,8 +134,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, aside, inside, holder = open_tags[-1] if open_tags else top
-                found.append(Block(text, linked, aside, inside, heading, holder))
+                _, aside, weak, _, under, inside, _, holder = open_tags[-1] if open_tags else top
+                found.append(Block(text, linked, aside or weak, inside, heading, holder, under))
             parts, linked = [], 0
 
     at = 0
@@ -164,26 +179,40 @@ def blocks_of(page: str) -> list[Block]:
         heading = name[0] == "h" and name[1:].isdigit()
         if name == "p" and open_tags and open_tags[-1][0] == "p":  # one paragraph ends another
             open_tags.pop()
-        _, aside, inside, holder = open_tags[-1] if open_tags else top
-        own, head = _signs(m["attrs"]) if m["attrs"] and name not in ("html", "body") else (False, False)
-        aside |= own or name in ASIDE or (head or name == "header") and not inside
-        if name in MAIN and not aside:
-            articles += 1
-            inside = articles
+        _, aside, weak, told, under, inside, single, holder = open_tags[-1] if open_tags else top
+        own, head, part, head_part, telling = _signs(m["attrs"], name) if m["attrs"] and name not in ("html", "body") else (False,) * 5
+        aside |= own or name in ASIDE - {"form"} or (head or name == "header") and not inside
+        if name in MAIN:
+            if not aside:
+                articles += 1
+                inside, single = articles, single or name == "article"
+                under, weak, told = under or told, False, False
+        else:
+            part |= head_part and not inside
+            if single:  # in an article, what is set off so stays out with all it holds
+                aside |= part or name == "form"
+            else:
+                weak |= part or name == "form"
+                told |= part and telling
         if name not in PARTS:
             holders += 1
             holder = holders
         if not m["attrs"].endswith("/") or name not in ("svg", "math"):
-            open_tags.append((name, aside, inside, holder))
+            open_tags.append((name, aside, weak, told, under, inside, single, holder))
     close()
     return found
 
 
+def _mostly_links(b: Block, limits: Limits) -> bool:
+    return b.linked > limits.links * len("".join(b.text.split()))
+
+
 def _first_pass(b: Block, in_article: bool, limits: Limits) -> bool | None:
     """True: text of the article, False: not, None: open."""
-    letters = len("".join(b.text.split()))
-    if b.aside or in_article and not b.inside or b.linked > limits.links * letters:
+    if b.aside or in_article and not b.inside:
         return False
+    if _mostly_links(b, limits):
+        return None if b.inside else False
     words = [re.sub(r"[\W\d_]+", "", w).lower() for w in b.text.split()]
     stops = sum(w in STOPS for w in words) / len(words)
     if b.heading or len(words) < limits.short_words:
@@ -200,10 +229,13 @@ def labels(blocks: list[Block], limits: Limits = Limits()) -> list[bool]:
     An open block takes the label of its decided neighbours when both agree, and when they do
     not that of the nearer one (the one after it for a heading or a tie). Neighbours are looked for
     in the element around the block, and if it has none, in the same article element or outside
-    all of them; without any, blocks of an article element stay and others go.
+    all of them; without any, blocks of an article element stay and others go. A block of links
+    that is no heading stays in an article element only between blocks of it that stay.
     """
     in_article = any(b.inside and not b.aside for b in blocks)
     first = [_first_pass(b, in_article, limits) for b in blocks]
+    if any(x and b.inside and not b.under for x, b in zip(first, blocks)):
+        first = [False if b.under else x for x, b in zip(first, blocks)]
     out = list(first)
     n = len(blocks)
 
@@ -234,6 +266,15 @@ def labels(blocks: list[Block], limits: Limits = Limits()) -> list[bool]:
                 out[i] = first[z]
             else:
                 out[i] = first[z] if z - i <= i - a else first[a]
+    links = [bool(b.inside) and first[i] is None and not b.heading and _mostly_links(b, limits) for i, b in enumerate(blocks)]
+    span: dict[int, tuple[int, int]] = {}  # first and last block of an article that stay by themselves
+    for i, b in enumerate(blocks):
+        if b.inside and out[i] and not links[i]:
+            span[b.inside] = (span.get(b.inside, (i, i))[0], i)
+    for i, b in enumerate(blocks):
+        if links[i]:
+            begin, end = span.get(b.inside, (i, i))
+            out[i] = begin < i < end
     return [bool(x) for x in out]
 
 

@@ -62,6 +62,40 @@ def test_inside_a_block():
     assert main_text("<article>x<script>if (a</article>") == "x"
 
 
+def test_links_inside_an_article():
+    long = "The house of the river is a letter to the king and it is in the garden that we see."
+    head = '<article><h1><a href="/t">Title</a></h1>'
+    assert main_text(f"{head}<p>{long}</p><p><a href='/s'>See also the garden</a></p><ul><li><a>One</a></li><li><a>Two</a></li></ul><p>{long}</p></article>") == (
+        f"Title\n\n{long}\n\nSee also the garden\n\nOne\n\nTwo\n\n{long}")
+    assert main_text(f"{head}<p>{long}</p><ul><li><a>Next page</a></li></ul></article><p><a>{long}</a></p>") == f"Title\n\n{long}"
+    assert main_text(f"{head}</article>") == "Title"
+
+
+def test_names_of_topics_and_layouts_around_an_article():
+    long = "The house of the river is a letter to the king and it is in the garden that we see."
+    other = f"<p>{long} Other.</p>"
+    for names in ("post category-legal", "tag-search", "comments-open", "sidebar-right"):
+        assert main_text(f'<article class="{names}"><p>{long}</p></article>{other}') == long
+        assert main_text(f'<div class="{names}"><article><p>{long}</p></article></div>{other}') == long
+        assert main_text(f'<main><h1>A</h1><div class="{names}"><article><p>{long}</p></article></div></main>{other}') == f"A\n\n{long}"
+    twice = f'<div class="tag-search"><article><p>{long}</p></article></div>'
+    assert main_text(f"{twice}<article><p>{long}</p></article>") == f"{long}\n\n{long}"
+    for away in ('div class="comments"', 'div id="comments-area"', 'section class="related-posts"', "aside"):
+        end = away.split()[0]
+        aside = f"<{away}><article>{other}</article></{end}>"
+        assert main_text(f"<article><p>{long}</p></article>{aside}") == main_text(f"<article><p>{long}</p>{aside}</article>") == long
+        assert main_text(f"<main><p>{long}</p>{aside}</main>") == long
+    assert main_text(f'<article class="teaser">{other}</article><article><p>{long}</p></article>') == long
+
+
+def test_a_form_around_an_article():
+    long = "The house of the river is a letter to the king and it is in the garden that we see."
+    for form in ("<form>", '<form id="aspnetForm" role="form">', '<form id="form1" class="form">'):
+        assert main_text(f"{form}<p>{long} Form.</p><div><main><p>{long}</p><form><p>{long} Reply.</p></form></main></div></form>") == long
+        assert main_text(f"<article><p>{long}</p>{form}<article><p>{long}</p></article></form></article>") == long
+        assert main_text(f"<p>{long}</p>{form}<p>{long} Form.</p></form>") == long
+
+
 def test_rows(spark):
     html, want, _ = page(random.Random(1), "article")
     long = "<article>" + "<p>the end of it</p>" * 20000 + "</article>"
