@@ -50,7 +50,8 @@ def search(bin_of: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     The emptiest bin gives, bins that are at least as full take. A step moves tokens from the
     giver to a taker, which raises the sum of squared fills, so the search ends: a document is
     moved, or exchanged for one of the taker's, or two of the giver's for one of the taker's.
-    Of all steps the one that moves most tokens is taken. The number of bins never rises; the
+    Of all steps the one that moves most tokens is taken. Equal pieces are tried once, and as many
+    as fit are moved together, which is what single steps would come to. The number of bins never rises; the
     search stops when the takers have less room than the next giver holds.
     """
     bin_of = bin_of.copy()
@@ -69,10 +70,20 @@ def search(bin_of: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
         near = np.flatnonzero(taking[bin_of])
         near_length, near_bin = lengths[near], bin_of[near]
         while members[g]:
-            own = sorted(members[g], key=lambda i: lengths[i])
+            equal: dict[int, list[int]] = {}
+            for i in sorted(members[g], key=lambda i: lengths[i]):
+                equal.setdefault(int(lengths[i]), []).append(i)
             room = size - fill
-            gives = [(i,) for i in own] + [(a, b) for k, a in enumerate(own) for b in own[k + 1:]]
-            weights = [int(lengths[list(x)].sum()) for x in gives]
+            pairs: dict[int, tuple[int, int]] = {}
+            kinds = list(equal)
+            for k, a in enumerate(kinds):
+                if len(equal[a]) > 1:
+                    pairs.setdefault(2 * a, (equal[a][0], equal[a][1]))
+                for b in kinds[k + 1:]:
+                    pairs.setdefault(a + b, (equal[a][0], equal[b][0]))
+            gives = [(same[0],) for same in equal.values()] + list(pairs.values())
+            weights = kinds + list(pairs)
+            least = int(near_length.min()) if len(near) else size
             best, most = None, 0
             open_bins = np.flatnonzero(taking & (room > 0))
             for given, n in zip(gives, weights):
@@ -80,7 +91,7 @@ def search(bin_of: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
                     fits = open_bins[room[open_bins] >= n]
                     if len(fits):
                         best, most = (given, -1, int(fits[np.argmin(room[fits])])), n
-                if n <= most:
+                if n - least <= most:
                     continue
                 gain = n - near_length
                 ok = np.flatnonzero((gain > most) & (gain <= room[near_bin]))
@@ -90,10 +101,13 @@ def search(bin_of: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
             if best is None:
                 break
             given, k, t = best
-            for i in given:
-                members[g].remove(i)
-                members[t].append(i)
-                bin_of[i] = t
+            if k < 0:  # nothing but what equals it can be as good until it is used up or the taker full
+                given = tuple(equal[most][:int(room[t]) // most])
+                most *= len(given)
+            gone = set(given)
+            members[g] = [i for i in members[g] if i not in gone]
+            members[t].extend(given)
+            bin_of[list(given)] = t
             if k >= 0:
                 i = int(near[k])
                 members[t].remove(i)

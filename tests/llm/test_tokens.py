@@ -1,6 +1,7 @@
 """Token ids, packing and training order: against the public library, and as exact round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,13 @@ def test_search_never_needs_more_bins(draw):
         assert len(np.unique(packing.search(start, lengths, 100))) <= -(-lengths.sum() // 100) + 1
 
 
+def test_search_over_many_equal_pieces_ends():
+    bins, began = np.repeat(np.arange(4), 250), time.monotonic()
+    found = packing.search(bins, np.ones(1000, np.int64), 1024)
+    assert time.monotonic() - began < 5
+    assert np.bincount(found).max() <= 1024 and len(np.unique(found)) < 4
+
+
 def test_several_rounds_of_blocks(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(1, 100)) for i in range(3000)]
