@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_every_query_is_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_on_documents(spark):
