@@ -1,17 +1,23 @@
 """Jaccard similarity join of word n-grams with adaptive multi-match prefixes.
 
 1. Every text becomes its set of hashed shingles; texts with equal sets are one class.
-2. Shingles are dealt by value. A shingle is of use to a set only if a set of fitting size has it
+2. Of each set the shingles with the lowest hashes are dealt by value, as many as it may have beside
+   those it shares with a partner, and some more: linked sets have at least these some in common
+   there. A set of which too few are found in other sets of fitting size is done. So about a sixth
+   of all shingles are moved for the whole table, and all shingles of the few sets that are left.
+3. These are dealt whole. A shingle is of use to a set only if a set of fitting size has it
    too; a set whose useful shingles are too few for any partner is done. Each round of this
    narrows the sizes a set may be linked with, so that few sets go on, and exactly: no shingle
    that two linked sets share is ever dropped.
-3. The rest is ordered by frequency. A set's prefix holds its rarest shingles and is the longer the
+4. The rest is ordered by frequency. A set's prefix holds its rarest shingles and is the longer the
    more candidates it would meet: with l more shingles, partners must share l of the prefix.
-4. Groups of near copies would meet in all pairs. So every set is first compared with one hub of
+5. Groups of near copies would meet in all pairs. So every set is first compared with one hub of
    its prefix; what is linked then is one component, and only sets of different components
    become candidates. That gives the same components as all links.
 
-What the tasks hold is bounded by `BUCKET` shingles and by the sets of one input partition.
+A task holds `BUCKET` shingles, the ids of the sets of one input partition, and the holders of the most
+frequent shingle it is dealt (16 bytes each): one for every different set that has it, once per
+input partition; copies do not count.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ ROUNDS = 5
 #: Cost of verifying a candidate, in steps of the candidate search.
 VERIFY = 4
 EXTRA = (1, 2, 4, 8)
+#: A shingle in so many is dealt beyond those that a set need not share.
+SPARE = 16
+#: Keys of remaining sets that are broadcast; more are joined by key.
+WANTED = 1_000_000
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -158,6 +168,11 @@ def _least(n, percent: int):
     return -(-n * percent // 100)
 
 
+def _spare(n):
+    """How many shingles a set of n deals beyond those it may have alone; linked sets share the smaller's number."""
+    return 1 + n // SPARE
+
+
 def _batches(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -198,8 +213,9 @@ def _dealt(ids, sizes, most, owner, tokens, bits: int) -> Iterator[dict]:
         yield {"bucket": int(b)} | _row(ids[present], sizes[present], most[present], counts, tokens[own] & np.uint64((1 << _low(bits)) - 1))
 
 
-def _useful(pdf: pd.DataFrame, percent: int, homes: int) -> pd.DataFrame:
-    """Of one bucket: the shingles that a set of fitting size has too, by the sets' homes."""
+def _shared(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, ...]:
+    """Of one bucket: its sets (ids, sizes, largest partners), and the shingles that a set of fitting
+    size has too (value, owner, number of the shingle)."""
     parts = [_unrow(r) for r in pdf.itertuples()]
     ids, sizes, most = (np.concatenate([p[k] for p in parts]) for k in range(3))
     counts, tokens = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
@@ -221,7 +237,19 @@ def _useful(pdf: pd.DataFrame, percent: int, homes: int) -> pd.DataFrame:
     at = rank << 33
     found = np.searchsorted(at + n, at + most[owner], "right") - np.searchsorted(at + n, at + _least(n, percent), "left")
     kept = found - (most[owner] >= n) > 0
-    t, owner, rank = t[kept], owner[kept], rank[kept]
+    return ids, sizes, most, t[kept], owner[kept], rank[kept]
+
+
+def _counted(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of one bucket: how many shingles of each set a set of fitting size has too."""
+    ids, sizes, _, _, owner, _ = _shared(pdf, percent)
+    n = np.bincount(owner, minlength=len(ids))
+    return pd.DataFrame({"id": ids, "size": sizes, "n": n})[n > 0]
+
+
+def _useful(pdf: pd.DataFrame, percent: int, homes: int) -> pd.DataFrame:
+    """Of one bucket: the shingles that a set of fitting size has too, by the sets' homes."""
+    ids, sizes, most, t, owner, rank = _shared(pdf, percent)
     df = np.bincount(rank)[rank] if len(rank) else np.zeros(0, np.int64)
     home = ids.astype(np.uint64) % np.uint64(homes)
     rows = []
@@ -268,39 +296,66 @@ def _round(dealt: DataFrame, percent: int, bits: int) -> DataFrame:
     return cut(found.groupBy("home").applyInPandas(lambda pdf: _surviving(pdf, percent, bits), _SET))
 
 
-def _candidates(docs: DataFrame, words: int, percent: int, total: int, bucket: int) -> DataFrame:
-    """The sets that may have a partner: (id, size, most, tokens, df)."""
-    bits = (max(1, -(-total // bucket)) - 1).bit_length()
+def _bits(total: int, bucket: int) -> int:
+    return (max(1, -(-total // bucket)) - 1).bit_length()
+
+
+def _open(rows: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """Ids of the sets that may have a partner as far as their lowest shingles tell.
+
+    `rows` have (id, n_shingles, lowest): the lowest shingles, once or more per id. Bytes per shingle
+    do not grow with the number of buckets beyond those of one set's number and sizes.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("lowest")), F.lit(0))).first()[0] // 8
+    bits = _bits(total, bucket)
     shift = np.uint64(64 - bits - _low(bits))
-    # Smaller sets can have no larger partner, and of equal size only equal sets are linked then.
-    smallest = next((n for n in range(1, 101) if n * 100 // percent > n), 1 << 62)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held, count = [], 0
 
         def handed() -> pa.RecordBatch:
             ids, sizes = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-            owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-            tokens = np.concatenate([h[2] for h in held]) >> shift
-            rows = list(_dealt(ids, sizes, sizes * 100 // percent, owner, tokens, bits))
+            tokens = [np.frombuffer(h[2], "<u8") for h in held]
+            owner = np.repeat(np.arange(len(held)), [len(t) for t in tokens])
+            # Low hashes lie close together: mixed again they spread over all buckets.
+            found = list(_dealt(ids, sizes, sizes * 100 // percent, owner, _mix(np.concatenate(tokens)) >> shift, bits))
             held.clear()
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (
+            return pa.RecordBatch.from_pylist(found, pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in (
                 "ids", "sizes", "most", "counts", "low", "high", "df"))]))
 
         for batch in batches:
-            for part in _batches(batch):
-                for s in shingle_sets(part.column(0).to_pylist(), words):
-                    if len(s) >= smallest and (own := _class_of(s)) not in seen:
-                        seen.add(own)
-                        held.append((own, len(s), s))
-                        count += len(s)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                count += len(row[2]) // 8
                 if count >= bucket:
                     yield handed()
                     count = 0
         if held:
             yield handed()
 
+    dealt = rows.select("id", "n_shingles", "lowest").mapInArrow(deal, f"bucket int, {_FIELDS}")
+    counts = dealt.groupBy("bucket").applyInPandas(lambda pdf: _counted(pdf, percent), "id long, size long, n long")
+    least = F.ceil(F.col("size") * percent / 100 - F.lit(1e-9))
+    return counts.groupBy("id", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= 1 + F.floor(least / SPARE)).select("id", "size")
+
+
+def _candidates(texts: DataFrame, words: int, percent: int, total: int, bucket: int) -> DataFrame:
+    """Of the sets of `texts`, in all `total` shingles, those that may have a partner: (id, size, most, tokens, df)."""
+    bits = _bits(total, bucket)
+    shift = np.uint64(64 - bits - _low(bits))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _batches(batch):
+                sets = [(own, s) for s in shingle_sets(part.column(0).to_pylist(), words) if len(s)
+                        for own in [_class_of(s)] if not (own in seen or seen.add(own))]
+                sizes = [len(s) for _, s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own for own, _ in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([n * 100 // percent for n in sizes], pa.int64()),
+                     pa.array([(s >> shift).astype("<u8").tobytes() for _, s in sets], pa.binary()), pa.array([b""] * len(sets), pa.binary())],
+                    ["id", "size", "most", "tokens", "df"])
+
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
@@ -309,13 +364,12 @@ def _candidates(docs: DataFrame, words: int, percent: int, total: int, bucket: i
                 ids, sizes, most = (pdf[c].to_numpy() for c in ("id", "size", "most"))
                 yield pd.DataFrame(list(_dealt(ids, sizes, most, owner, np.concatenate(tokens).astype(np.uint64), bits)))
 
-    shape = f"bucket int, {_FIELDS}"
-    sets = _round(docs.select("text").mapInArrow(deal, shape), percent, bits)
-    left = sets.count()
-    for _ in range(ROUNDS - 1):
-        sets = _round(sets.mapInPandas(again, shape), percent, bits)
+    sets = texts.select("text").mapInArrow(whole, _SET)
+    left = None
+    for _ in range(ROUNDS):
+        sets = _round(sets.mapInPandas(again, f"bucket int, {_FIELDS}"), percent, bits)
         before, left = left, sets.count()
-        if left > 0.9 * before:
+        if before is not None and left > 0.9 * before:
             break
     return sets
 
@@ -371,7 +425,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     prefixes = cut(_prefixes(sets, percent))
     # One hub per shingle (the set with the most room for partners), one of these per set.
     rank = F.struct("most", "size", "id")
-    hubs = prefixes.groupBy("token").agg(F.max(rank).alias("h")).select("token", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.most").alias("hub_most"))
+    # Written, so that the join with a frequent shingle's rows can be split.
+    hubs = cut(prefixes.groupBy("token").agg(F.max(rank).alias("h")).select(
+        "token", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.most").alias("hub_most")))
     met = prefixes.join(hubs, "token").where("id <> hub and hub_size <= most and size <= hub_most").groupBy("id", "hub").agg(F.count("*").alias("n"))
     star = met.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("h")).select(F.col("id").alias("a"), F.col("h.hub").alias("b"))
     near = cut(_verified(star, sets, percent))
@@ -381,7 +437,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("h"), F.count("*").alias("roots")).where("roots > 1").select(
         "token", F.col("h.root").alias("main"))
-    rows = rows.join(largest, "token").withColumn("outside", F.col("root") != F.col("main"))
+    rows = cut(rows.join(cut(largest), "token").withColumn("outside", F.col("root") != F.col("main")))
     a, b = rows.where("outside").alias("a"), rows.alias("b")
     extra = F.least("a.extra", "b.extra")
     mixed = (F.col("a.root") != F.col("b.root")) & (~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))) & _fits("a", "b", percent)
@@ -417,18 +473,32 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     more = len(kept)
 
+    # Smaller sets can have no larger partner, and of equal size only equal sets are linked then.
+    smallest = next((n for n in range(1, 101) if n * 100 // percent > n), 1 << 62)
+
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in _batches(batch):
                 sets = shingle_sets(part.column(more + 1).to_pylist(), words)
-                columns = [*part.columns[:more + 1], pa.array([len(s) for s in sets], pa.int64()),
-                           pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", *["row"] * more, "n_shingles", "id"])
-
-    rows = cut(own.mapInArrow(known, "key long, " + "row long, " * more + "n_shingles long, id long"))
+                ids = [_class_of(s) if len(s) else None for s in sets]
+                # The lowest shingles once per task and set.
+                lowest = [s[:len(s) - _least(len(s), percent) + _spare(len(s))].astype("<u8").tobytes()
+                          if len(s) >= smallest and not (own in seen or seen.add(own)) else None for own, s in zip(ids, sets)]
+                columns = [*part.columns[:more + 1], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(lowest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", *["row"] * more, "n_shingles", "id", "lowest"])
+
+    all_ = cut(own.mapInArrow(known, "key long, " + "row long, " * more + "n_shingles long, id long, lowest binary"))
+    rows = all_.drop("lowest")
     classes = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("least"))
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    sets = _candidates(own, words, percent, total, bucket)
+    # One row of each set that is left, by its number or else its key (other rows of the key do no harm).
+    name = "row" if row else "key"
+    open_ = cut(_open(all_.where("lowest IS NOT NULL"), percent, bucket))
+    firsts = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(name).alias("wanted")).join(open_, "id")
+    total = open_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    wanted = cut(firsts.select("wanted").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    sets = _candidates(own.join(wanted, F.col(name).eqNullSafe(F.col("wanted")), "left_semi"), words, percent, total, bucket)
     found = components(_links(sets, percent)).withColumnRenamed("node", "id")
     grouped = cut(classes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
