@@ -35,7 +35,7 @@ from sievelake.llm.common import cut
 from sievelake.llm.components import components
 
 #: Shingles that one task compares, and that one task gathers before it hands them on.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 #: Bytes of text that are hashed at a time.
 STRETCH = 1 << 21
 ROUNDS = 5
@@ -240,11 +240,30 @@ def _shared(pdf: pd.DataFrame, percent: int) -> tuple[np.ndarray, ...]:
     return ids, sizes, most, t[kept], owner[kept], rank[kept]
 
 
-def _counted(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one bucket: how many shingles of each set a set of fitting size has too."""
+_COUNTS = "home int, ids binary, sizes binary, counts binary"
+
+
+def _counted(pdf: pd.DataFrame, percent: int, homes: int) -> pd.DataFrame:
+    """Of one bucket: how many shingles of each set a set of fitting size has too, by the sets' homes."""
     ids, sizes, _, _, owner, _ = _shared(pdf, percent)
     n = np.bincount(owner, minlength=len(ids))
-    return pd.DataFrame({"id": ids, "size": sizes, "n": n})[n > 0]
+    home = (ids.astype(np.uint64) % np.uint64(homes)).astype(np.int64)
+    rows = []
+    for h in np.unique(home[n > 0]):
+        own = (home == h) & (n > 0)
+        rows.append((int(h), ids[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes(), n[own].astype("<u4").tobytes()))
+    return pd.DataFrame(rows, columns=["home", "ids", "sizes", "counts"])
+
+
+def _enough(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of one home: the sets with as many shingles found as linked sets have in common."""
+    ids, sizes, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]).astype(np.int64)
+                     for c, t in (("ids", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+    ids, first, which = np.unique(ids, return_index=True, return_inverse=True)
+    found = np.bincount(which, weights=n)
+    sizes = sizes[first]
+    left = found >= _spare(_least(sizes, percent))
+    return pd.DataFrame({"id": ids[left], "size": sizes[left]})
 
 
 def _useful(pdf: pd.DataFrame, percent: int, homes: int) -> pd.DataFrame:
@@ -334,9 +353,8 @@ def _open(rows: DataFrame, percent: int, bucket: int) -> DataFrame:
             yield handed()
 
     dealt = rows.select("id", "n_shingles", "lowest").mapInArrow(deal, f"bucket int, {_FIELDS}")
-    counts = dealt.groupBy("bucket").applyInPandas(lambda pdf: _counted(pdf, percent), "id long, size long, n long")
-    least = F.ceil(F.col("size") * percent / 100 - F.lit(1e-9))
-    return counts.groupBy("id", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= 1 + F.floor(least / SPARE)).select("id", "size")
+    counts = dealt.groupBy("bucket").applyInPandas(lambda pdf: _counted(pdf, percent, 1 << bits), _COUNTS)
+    return counts.groupBy("home").applyInPandas(lambda pdf: _enough(pdf, percent), "id long, size long")
 
 
 def _candidates(texts: DataFrame, words: int, percent: int, total: int, bucket: int) -> DataFrame:
