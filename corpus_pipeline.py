@@ -14,6 +14,12 @@ from sievelake.llm.common import WORD, cut, fresh, table
 
 #: Below this probability a language is not believed, and the document goes.
 LANGUAGE_SCORE = 0.5
+#: Rows that go to Python at a time: texts are long, and several tasks share an executor's memory.
+ROWS_AT_ONCE = 1000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +34,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled documents that are not held out. Without any it can
     recognise nothing, and all documents stay.
     """
+    _short_batches(spark)
     model = language.fitted(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
     if model is None:
         return docs
@@ -41,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows one stays; documents without words are linked with nothing and stay.
     """
+    _short_batches(spark)
     row = fresh("row", docs)
     own = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     found = cut(shingle_join.linked(own, words=5, percent=80, row=row, group=True))
@@ -58,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), sequences of 1024 tokens."""
+    _short_batches(spark)
     rows = tokens.pieces(docs, tokens.vocabulary(), length=1024, end_id=2, with_ids=False)
     return packing.packed(rows, size=1024).withColumnRenamed("key", "doc_id")
 
