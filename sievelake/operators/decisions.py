@@ -353,6 +353,102 @@ def upsert(current: DataFrame, incoming: DataFrame, force: bool = False,
     return table, violations
 
 
+FULLTEXT_SCHEMA = (
+    "format string, version int, sheet string, saved_at string, fingerprint string, "
+    "entries map<string, struct<c: map<string, string>, reason: string, evidence: string, memo: string, ext: map<string, string>>>"
+)
+CELLS = "array<struct<field: string, value: string, rule: string>>"
+
+
+def _extraction_cell(name: Column, given: Column, extraction: dict) -> Column:
+    """(field, value, rule) of one extraction answer; a list, or text with `;`, for columns of several values."""
+    kinds = F.create_map(*[F.lit(x) for k, (_, kind, _) in extraction.items() for x in (k, kind)])
+    allowed = F.create_map(*[x for k, (_, _, values) in extraction.items() if values for x in (F.lit(k), F.array(*[F.lit(v) for v in values]))])
+    kind, vocabulary, text = kinds[name], allowed[name], strip(given)
+    parts = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.split(text, ";"))
+    tokens = F.filter(F.transform(parts, strip), lambda x: x != "")
+    number = text.rlike(r"^[0-9]+\z") | (text == fixed.MISSING_TOKENS[0])
+    rule = (
+        F.when(kind.isNull(), "unknown column")
+        .when(kind == "multi", F.when(F.size(F.array_except(tokens, vocabulary)) > 0, "not in vocabulary"))
+        .when(text == "", F.lit(None))
+        .when(kind.isin("vocab", "ynq") & ~F.array_contains(vocabulary, text), "not in vocabulary")
+        .when((kind == "int") & ~number, "not a number")
+    )
+    value = F.when(kind == "multi", F.array_join(tokens, "; ")).otherwise(text)
+    return F.struct(name.alias("field"), value.alias("value"), rule.alias("rule"))
+
+
+def parse_fulltext(files: DataFrame, sheet_id: Column, kind: str = "phase4-progress", newest_version: int = 1,
+                   extraction: dict = fixed.EXTRACTION, reasons: list[str] = fixed.EXCLUDE_REASONS) -> tuple[DataFrame, DataFrame]:
+    """(cells, violations) of full-text progress files (file, json).
+
+    An entry has the six criteria, a reason, evidence, a memo and extraction answers; each becomes a
+    cell (file, reviewer, record_id, field, value). A reason counts only where the criteria exclude
+    the record and it is not the one that follows from them; otherwise its cell is blank. A file
+    of another format, version or owner gives one violation (file, record_id, field, rule) and no cells.
+    """
+    parsed = cut(files.withColumn("sheet_id", sheet_id).withColumn("p", F.from_json("json", FULLTEXT_SCHEMA)))
+    p = F.col("p")
+    refused = (
+        F.when(F.coalesce(p["format"], F.lit("")) != kind, "format")
+        .when(F.coalesce(p["version"], F.lit(0)) > newest_version, "version")
+        .when(F.coalesce(p["sheet"], F.lit("")) != F.col("sheet_id"), "owner")
+    )
+    judged = parsed.withColumn("refused", refused)
+    entries = judged.where("refused IS NULL AND p.entries IS NOT NULL").select("file", F.col("p.sheet").alias("reviewer"), F.explode("p.entries").alias("record_id", "e"))
+    blank = lambda c: strip(F.coalesce(c, F.lit("")))
+    answers = {k: blank(F.col("e.c")[k]) for k in fixed.CRITERIA}
+    reason = blank(F.col("e.reason"))
+    own = (labels.expected_decision(list(answers.values())) == "Exclude") & (reason != labels.auto_reason(answers))
+    none = F.lit(None).cast("string")
+    cell = lambda field, value, rule=none: F.struct(F.lit(field).alias("field"), value.alias("value"), rule.alias("rule"))
+    fixed_cells = [cell(k, v, F.when((v != "") & ~v.isin(*fixed.CRITERION_ANSWERS), "answer")) for k, v in answers.items()]
+    fixed_cells += [cell("reason", F.when(own, reason).otherwise(""), F.when((reason != "") & ~reason.isin(*reasons), "unknown reason")),
+                    cell("evidence", blank(F.col("e.evidence"))), cell("memo", blank(F.col("e.memo")))]
+    given = F.coalesce(F.map_entries("e.ext"), F.array().cast("array<struct<key: string, value: string>>"))
+    more = F.transform(given, lambda x: _extraction_cell(x["key"], F.coalesce(x["value"], F.lit("")), extraction))
+    rows = cut(entries.select("file", "reviewer", "record_id", F.explode(F.concat(F.array(*fixed_cells).cast(CELLS), more.cast(CELLS))).alias("x")).select(
+        "file", "reviewer", "record_id", "x.*"))
+    violations = judged.where("refused IS NOT NULL").select("file", F.lit("").alias("record_id"), F.lit("").alias("field"), F.col("refused").alias("rule"))
+    return rows.where("rule IS NULL").drop("rule"), violations.unionByName(rows.where("rule IS NOT NULL").select("file", "record_id", "field", "rule"))
+
+
+def upsert_cells(sheet: DataFrame, cells: DataFrame, errors: DataFrame | None = None, force: bool = False,
+                 key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """(sheet, findings): the cells (record_id, field, value) written into a reviewer's sheet, all or none.
+
+    Findings (severity, record_id, field, rule): a record or column that the sheet does not have is
+    an error; a value that differs from one already there is a conflict, which `force` allows.
+    With an error, with rows in `errors`, or with a conflict and no force, the sheet comes back
+    unchanged. A blank reason leaves the sheet's own alone (a warning), as do blanks for blanks.
+    """
+    fields = [c for c in sheet.columns if c != key]
+    there = sheet.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields])
+    now = there.unpivot(key, fields, "field", "old").withColumn("old", strip(F.col("old")))
+    joined = cut(cells.select(key, "field", "value").join(now, [key, "field"], "left"))
+    known = joined.where("old IS NULL").select(key, "field").join(sheet.select(key, F.lit(True).alias("there")), key, "left")
+    strange = known.select(F.lit("error").alias("severity"), key, F.when(F.col("there"), F.col("field")).otherwise("").alias("field"),
+                           F.when(F.col("there"), "unknown column").otherwise("foreign record").alias("rule")).distinct()
+    kept = (F.col("field") == "reason") & (F.col("value") == "")
+    severity = (
+        F.when(kept, F.when(F.col("old") != "", "warning"))
+        .when((F.col("old") != "") & (F.col("old") != F.col("value")), "conflict")
+    )
+    rule = F.when(kept, "reason kept").otherwise("other value there")
+    differing = joined.where("old IS NOT NULL").select(severity.alias("severity"), key, "field", rule.alias("rule")).where("severity IS NOT NULL")
+    findings = cut(strange.unionByName(differing))
+    stops = findings.agg(F.count_if((F.col("severity") == "error") | ((F.col("severity") == "conflict") & F.lit(not force))).alias("n")).scalar()
+    clean = stops == 0
+    if errors is not None:
+        clean = clean & (errors.agg(F.count("*").alias("n")).scalar() == 0)
+    written = joined.where(F.col("old").isNotNull() & ~kept & ((F.col("value") != "") | (F.col("old") != ""))).where(clean)
+    by_record = written.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_new"))
+    table = sheet.join(by_record, key, "left").select(
+        *[F.coalesce(F.col("_new")[c], F.col(c).cast("string")).alias(c) if c in fields else F.col(c) for c in sheet.columns])
+    return table, findings
+
+
 def append_marked(table: DataFrame, additions: DataFrame, marker: str) -> DataFrame:
     """Appends rows whose marker the table does not have yet; doing it twice changes nothing."""
     return table.unionByName(additions.join(table.select(marker).distinct(), marker, "left_anti"), allowMissingColumns=True)

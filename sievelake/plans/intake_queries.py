@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import labels
 from sievelake.operators import workflow
-from sievelake.plans.records import RECORDS_SQL, TOPIC_EXCLUSIONS
+from sievelake.plans.records import RECORDS_SQL, TOPIC_EXCLUSIONS, norm_title_sql
 from sievelake.plans.registry import query
 from sievelake.plans.text_queries import HAYSTACK, categories_sql, keyword_rows, keywords_sql
 from sievelake.session import shared_folder
 from sievelake.sources import readers, sinks
+from sievelake.streaming import inbox
 
 
 def _folder(t, name: str) -> str:
@@ -95,3 +96,74 @@ def _(t):
 def _(t):
     rows = keyword_rows(t, TOPIC_EXCLUSIONS).where("categories <> ''")
     return rows.select("ord", labels.keyword_drop_reason(F.col("categories"), F.col("keywords")).alias("reason"))
+
+
+# --- the inbox: every document is a file that is looked at several times ---------------------------
+
+START = "2026-01-01 00:00:00"
+#: Per document its states in the order in which they settle: number, text, size, second of the second equal look.
+STATES_SQL = """states AS (
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, length(text) // 2) ELSE text END AS text,
+      CASE WHEN doc_id % 3 = 0 THEN length(text) // 2 ELSE length(text) END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size,
+      doc_id % 40 * 60 + CASE WHEN doc_id % 7 = 0 THEN 40 ELSE 20 END AS settled FROM documents
+    UNION ALL SELECT doc_id, text, length(text) + 1000000, 3620 + doc_id % 40 * 60 FROM documents WHERE doc_id % 3 = 0)"""
+
+
+def document_looks(t):
+    """`LOOK` rows with `second`: a third of the documents come in halves first, a seventh grows between two looks."""
+    whole = F.char_length("text")
+    half = F.col("doc_id") % 3 == 0
+    size = F.when(half, F.floor(whole / 2)).otherwise(whole).cast("long")
+    minute = F.col("doc_id") % 40 * 60
+    part = F.when(half, F.expr("left(text, cast(floor(char_length(text) / 2) AS int))")).otherwise(F.col("text"))
+    look = lambda second, n, text: F.struct(second.cast("long").alias("second"), n.cast("long").alias("size"), text.alias("text"))
+    grows = F.col("doc_id") % 7 == 0
+    early = [look(minute, size, part), look(minute + 20, size + grows.cast("int"), part)]
+    more = F.when(grows, F.array(look(minute + 40, size + 1, part))).otherwise(F.array().cast("array<struct<second: bigint, size: bigint, text: string>>"))
+    late = F.when(half, F.array(*[look(3600 + k + minute, whole + 1000000, F.col("text")) for k in (0, 20)])).otherwise(
+        F.array().cast("array<struct<second: bigint, size: bigint, text: string>>"))
+    rows = t.documents.select("doc_id", F.explode(F.concat(F.array(*early), more, late)).alias("l"))
+    at = lambda s: F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + s)
+    return rows.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("l.size").alias("size"),
+                       at(F.lit(0)).alias("modified"), at(F.col("l.second")).alias("seen_at"), F.col("l.text").alias("text"),
+                       F.col("l.text").alias("first_page"), F.col("l.second").alias("second"))
+
+
+@query("inbox_verdicts", f"""WITH RECURSIVE {STATES_SQL},
+  d AS (SELECT doc_id, size, settled, {norm_title_sql("regexp_replace(text, '-' || chr(10) || '([a-z])', '\\1', 'g')")} AS t FROM states),
+  docs AS (SELECT *, string_split(t, ' ') AS toks FROM d),
+  wanted AS (SELECT item_id, string_split({norm_title_sql('text')}, ' ') AS w, {norm_title_sql('text')} AS title FROM benchmark),
+  pairs AS (SELECT d.doc_id, d.size, d.settled, w.item_id, d.toks, w.w, length(w.title) >= 20 AND contains(' ' || d.t || ' ', ' ' || w.title || ' ') AS phrase,
+      len(list_filter(w.w, lambda x: list_contains(d.toks, x)))::DOUBLE / len(w.w) AS share FROM docs d CROSS JOIN wanted w),
+  level AS (SELECT doc_id, size, settled, item_id, CASE WHEN phrase THEN 1 WHEN len(w) >= 5 AND
+      len(list_filter(range(1, greatest(1, len(toks) - (len(w) + 5) + 1) + 1),
+        lambda i: len(list_intersect(list_distinct(w), toks[i:i + len(w) + 4]))::DOUBLE / len(list_distinct(w)) >= 0.9::DOUBLE)) > 0
+      THEN 2 END AS level FROM pairs WHERE phrase OR share >= 0.9::DOUBLE),
+  fits AS (SELECT doc_id, size, settled, list(item_id * 10 + level) AS found, row_number() OVER (ORDER BY settled, 'f' || doc_id || '.txt') AS k
+    FROM level WHERE level IS NOT NULL GROUP BY doc_id, size, settled),
+  -- One file after the other; what an earlier one took is closed.
+  turns AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS item, 0::BIGINT AS level, 0::BIGINT AS n
+    UNION ALL SELECT k, CASE WHEN len(best) = 1 THEN list_append(taken, best[1]) ELSE taken END, CASE WHEN len(best) = 1 THEN best[1] END, lv, len(best)
+    FROM (SELECT k, taken, lv, list_transform(list_filter(open, lambda x: x % 10 = lv), lambda x: x // 10) AS best
+      FROM (SELECT k, taken, open, coalesce(list_min(list_transform(open, lambda x: x % 10)), 0)::BIGINT AS lv
+        FROM (SELECT f.k, t.taken, list_filter(f.found, lambda x: NOT list_contains(t.taken, x // 10)) AS open FROM turns t JOIN fits f ON f.k = t.k + 1))))
+  SELECT 'f' || s.doc_id || '.txt' AS path, s.size::BIGINT AS size, s.settled::BIGINT AS second, t.item AS record_id,
+    CASE WHEN coalesce(t.n, 0) = 0 THEN '該当なし' WHEN t.n > 1 THEN '候補が複数' WHEN t.level = 1 THEN 'タイトル一致' ELSE 'タイトル語の一致' END AS how,
+    coalesce(t.n, 0)::BIGINT AS candidates
+  FROM states s LEFT JOIN fits f ON f.doc_id = s.doc_id AND f.size = s.size AND f.settled = s.settled LEFT JOIN turns t ON t.k = f.k""")
+def _(t):
+    """Documents land as looks in three goes, each read as a stream; the verdicts on what has settled."""
+    spark = t.documents.sparkSession
+    folder, verdicts, checkpoint = (_folder(t, name) for name in ("looks", "verdicts", "inbox"))
+    records = t.benchmark.select(F.col("item_id").cast("string").alias("record_id"), F.col("text").alias("title"),
+                                 F.concat(F.lit("10.5555/"), F.md5("text")).alias("doi"), F.lit("missing").alias("status"))
+    looks = document_looks(t)
+    tick = spark.range(1).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("size"), F.to_timestamp(F.lit(START)).alias("modified"),
+                                 F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + 90000).alias("seen_at"), F.lit("").alias("text"),
+                                 F.lit("").alias("first_page"), F.lit(90000).cast("long").alias("second"))
+    for low, high in ((0, 1200), (1200, 3700), (3700, 1 << 40)):
+        rows = looks.unionByName(tick).where((F.col("second") >= low) & (F.col("second") < high)).drop("second")
+        rows.write.mode("append").json(folder)
+        inbox.watch_inbox(spark, folder, records, verdicts, checkpoint).awaitTermination()
+    second = F.unix_timestamp("settled_at") - F.unix_timestamp(F.lit(START))
+    return inbox.verdicts_so_far(spark, verdicts).select("path", "size", second.alias("second"), F.col("record_id").cast("long").alias("record_id"), "how", "candidates")

@@ -1,58 +1,163 @@
-"""Documents that arrive in a folder are matched to the records still waiting for one."""
+"""Documents that arrive in a folder are matched to the records still waiting for one.
+
+A folder is polled: every look at a file is a row with its size, time of change and text. A
+stream with state per path waits until a file looks the same twice in a row, and hands it on
+once; a file that changes is handed on again when it has settled anew. Looks are taken in the
+order of their time, up to the watermark, by timers: how they are dealt to batches makes no
+difference as long as none is later than `LATE`.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from sievelake.operators.documents import HOW, NO_RECORD, SEVERAL, claimed, record_candidates
+from sievelake.session import cut
+
+#: A look at a file. A look with an empty path tells the time only: a poll that found nothing.
+LOOK = "path string, size long, modified timestamp, seen_at timestamp, text string, first_page string"
+SETTLED = "path string, size long, modified timestamp, settled_at timestamp, text string, first_page string"
+#: A look may arrive so much later than others; later ones are left out.
+LATE = "10 seconds"
+VERDICTS = "path string, size long, modified timestamp, settled_at timestamp, record_id string, how string, candidates long, batch int"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Settling(StatefulProcessor):
+    """Hands a file on when two looks in a row have the same size and time of change.
+
+    State per path: the looks ahead of the watermark, the last look behind it, and the look that
+    was handed on last. Texts of looks behind the watermark are not kept.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._ahead = handle.getListState("ahead", "size long, modified timestamp, seen_at timestamp, text string, first_page string")
+        self._last = handle.getValueState("last", "size long, modified timestamp")
+        self._given = handle.getValueState("given", "size long, modified timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = set()
+        for looks in rows:
+            for r in looks.itertuples(index=False):
+                self._ahead.appendValue((int(r.size), r.modified.to_pydatetime(), r.seen_at.to_pydatetime(), r.text, r.first_page))
+                times.add(int(r.seen_at.timestamp() * 1000))
+        for t in times:
+            self._handle.registerTimer(t)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        looks = sorted(self._ahead.get(), key=lambda r: (r[2], r[0], r[1]))
+        behind = [r for r in looks if int(r[2].timestamp() * 1000) <= now]
+        out = []
+        last = self._last.get() if self._last.exists() else None
+        given = self._given.get() if self._given.exists() else None
+        for r in behind:
+            same = (r[0], r[1])
+            if last is not None and tuple(last) == same and (given is None or tuple(given) != same):
+                out.append((key[0], r[0], r[1], r[2], r[3], r[4]))
+                given = same
+            last = same
+        if behind:
+            self._last.update(last)
+            if given is not None:
+                self._given.update(tuple(given))
+            ahead = looks[len(behind):]
+            if ahead:
+                self._ahead.put(ahead)
+            else:
+                self._ahead.clear()
+        yield pd.DataFrame(out, columns=["path", "size", "modified", "settled_at", "text", "first_page"])
 
-from sievelake.operators.documents import titles_in_documents
+    def close(self) -> None:
+        pass
 
-SCHEMA = "doc_id string, text string, first_page string"
 
+def settled_files(looks: DataFrame, late: str = LATE) -> DataFrame:
+    """`SETTLED` rows of a stream of `LOOK` rows: every file once per state in which it settled.
 
-def open_records(records: DataFrame, matched: DataFrame) -> DataFrame:
+    `settled_at` is the time of the second of the two looks.
+    """
+    known = looks.withWatermark("seen_at", late).where("path <> '' OR seen_at IS NOT NULL")
+    return known.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=Settling(), outputStructType=SETTLED, outputMode="Append", timeMode="EventTime").where("path <> ''")
+
+
+def open_records(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Records (record_id, title, doi, status) that have no document yet."""
     waiting = records.where(F.col("status") != "ok")
-    return waiting.join(matched.where("record_id IS NOT NULL").select("record_id"), "record_id", "left_anti")
+    return waiting.join(verdicts.where("record_id IS NOT NULL").select("record_id"), "record_id", "left_anti")
 
 
-def settle(batch: DataFrame, records: DataFrame, matched: DataFrame) -> DataFrame:
-    """Verdicts of one batch: the record a document belongs to, or why it is left.
+def judged_files(settled: DataFrame, records: DataFrame, share: float = 0.9) -> DataFrame:
+    """Verdicts on settled files, in the order of (settled_at, path), over records that are open.
 
-    When several documents of a batch name the same record the first by id gets it; the
-    others are left with a reason and come back only when their file changes.
+    A record goes to the first file that fits it alone; later files no longer see it. What fits
+    none is left with its reason and comes back only when it changes.
     """
-    verdicts = titles_in_documents(batch, open_records(records, matched))
-    first = verdicts.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min("doc_id").alias("first_doc"))
-    joined = verdicts.join(first, "record_id", "left")
-    taken = F.col("record_id").isNull() | (F.col("first_doc") == F.col("doc_id"))
-    return joined.select(
-        "doc_id", F.when(taken, F.col("record_id")).alias("record_id"),
-        F.when(taken, F.col("how")).otherwise("取得済み").alias("how"), "candidates")
+    place = F.struct("settled_at", "path", "size", "modified")
+    files = settled.withColumn("doc_id", F.sha2(F.concat_ws("\u0000", "path", F.col("size").cast("string"), F.col("modified").cast("string"), F.col("settled_at").cast("string")), 256))
+    found = record_candidates(files.select("doc_id", "text", "first_page"), records, share)
+    verdicts = claimed(found.join(files.select("doc_id", place.alias("place")), "doc_id"))
+    return files.select("doc_id", "path", "size", "modified", "settled_at").join(verdicts, "doc_id", "left").select(
+        "path", "size", "modified", "settled_at", "record_id", F.coalesce("how", F.lit(NO_RECORD)).alias("how"),
+        F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
+def verdicts_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """`VERDICTS` written so far; an empty table before the first."""
+    try:
+        return spark.read.schema(VERDICTS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERDICTS)
 
 
-def watch_inbox(spark: SparkSession, inbox: str, records: DataFrame, matched_path: str, checkpoint: str) -> StreamingQuery:
-    """Processes the files (JSON lines of SCHEMA) that have arrived, then stops.
+def watch_inbox(spark: SparkSession, looks: str, records: DataFrame, verdicts: str, checkpoint: str, late: str = LATE,
+                files_per_batch: int | None = None) -> StreamingQuery:
+    """Judges what the looks (JSON lines of `LOOK` in the folder) say has settled, then stops.
 
-    The checkpoint remembers the files seen, so a file is judged once; a changed file has
-    to arrive under a new name. Verdicts are appended with their batch number, and a batch
-    that is repeated after a failure replaces its own verdicts.
+    Verdicts are written per batch; a batch that is repeated after a failure replaces its own.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        try:
-            matched = session.read.parquet(matched_path).where(F.col("batch") != batch_id)
-        except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            matched = session.createDataFrame([], "doc_id string, record_id string")
-        verdicts = settle(batch, records, matched.select("doc_id", "record_id"))
-        verdicts.write.mode("overwrite").parquet(f"{matched_path}/batch={batch_id}")
-
-    return (
-        spark.readStream.schema(SCHEMA).json(inbox)
-        .writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+        before = verdicts_so_far(session, verdicts).where(F.col("batch") != number)
+        settled = cut(batch)
+        if settled.isEmpty():
+            return
+        judged = judged_files(settled, open_records(records, before))
+        judged.write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+
+    reader = spark.readStream.schema(LOOK)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    old = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # the store that holds lists and timers; read when the query starts
+    try:
+        return (
+            settled_files(reader.json(looks), late).writeStream.foreachBatch(handle).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(STORE, old) if old is not None else spark.conf.unset(STORE)
+
+
+def left_files(verdicts: DataFrame) -> DataFrame:
+    """(path, how): files whose latest state fits no record."""
+    last = verdicts.groupBy("path").agg(F.max_by(F.struct("record_id", "how"), "settled_at").alias("v"))
+    return last.where("v.record_id IS NULL").select("path", "v.how")
+
+
+__all__ = ["HOW", "LATE", "LOOK", "NO_RECORD", "SETTLED", "SEVERAL", "judged_files", "left_files", "open_records", "settled_files",
+           "verdicts_so_far", "watch_inbox"]

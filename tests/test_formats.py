@@ -1,10 +1,7 @@
-import json
-
 import pytest
 
 from sievelake.operators import agreement, workflow
 from sievelake.sources import readers, sinks
-from sievelake.streaming import inbox
 
 
 def test_exports_are_united(spark, tmp_path):
@@ -73,25 +70,6 @@ def test_sinks_guard_what_is_there(spark, tmp_path):
         "TY  - CONF", "TI  - T x", "T2  - V", "PY  - 2020", "AU  - A", "ER  - ", ""]
 
 
-def test_inbox_matches_files_as_they_arrive(spark, tmp_path):
-    box, out, mark = tmp_path / "inbox", tmp_path / "out", tmp_path / "mark"
-    box.mkdir()
-    records = spark.createDataFrame(
-        [("R1", "A study of very small avatars", "10.1/one", "missing"), ("R2", "Completely other title of a paper", "", "missing"),
-         ("R3", "Done already and not wanted", "", "ok")], "record_id string, title string, doi string, status string")
-
-    def arrive(name, *texts):
-        (box / name).write_text("\n".join(json.dumps({"doc_id": f"{name}-{i}", "text": t, "first_page": t}) for i, t in enumerate(texts)))
-        inbox.watch_inbox(spark, str(box), records, str(out), str(mark)).awaitTermination(120)
-
-    arrive("a.json", "intro. A Study of Very Small Avatars, 2020", "nothing to see")
-    arrive("b.json", "again a study of very small avatars", "with a completely OTHER title of a paper.", "done already and not wanted")
-    got = {r.doc_id: (r.record_id, r.how) for r in spark.read.parquet(str(out)).collect()}
-    assert got["a.json-0"][0] == "R1" and got["a.json-1"] == (None, "該当なし")
-    assert got["b.json-0"] == (None, "該当なし")  # R1 has its document by now
-    assert got["b.json-1"][0] == "R2" and got["b.json-2"][0] is None
-
-
 def test_kappa_limits(spark):
     rows = [("flat", "x", "x")] * 4 + [("constant", "x", v) for v in "xyxy"] + [("equal", v, v) for v in "xyxy"]
     got = {r.k: r.kappa for r in agreement.cohen_kappa(spark.createDataFrame(rows, "k string, a string, b string"), ["k"]).collect()}
