@@ -38,41 +38,52 @@ def _features(names: DataFrame) -> DataFrame:
     )
 
 
-def _probe(features: DataFrame, keys: Column, table: DataFrame, source: str, stage: str, label: str,
-           first_place: int, exempt: bool = False) -> DataFrame:
-    """Candidates of one stage: `keys` is an array of keys, tried in order."""
-    asked = features.select("venue", "issn", "low", F.posexplode(keys).alias("pos", "key"))
-    return asked.join(table.select("key", "entry"), "key").select(
-        "venue", "issn", "low",
-        (F.lit(first_place) + F.col("pos")).alias("place"),
-        F.lit(source).alias("source"), F.lit(stage).alias("stage"), F.lit(label).alias("label"),
-        F.col("entry.title").alias("title"), F.col("entry.acronym").alias("entry_acronym"),
-        F.col("entry.rank").alias("rank"), F.lit(exempt).alias("exempt"),
-    )
+# What tells candidates of a stage apart: the table asked, its list, stage and note, and whether it needs no guard.
+CANDIDATE = ["venue", "issn", "low", "place", "pos", "source", "stage", "label", "title", "entry_acronym", "rank", "exempt"]
+
+
+def _asked(kind: str, keys: Column, source: str, stage: str, label: str, first_place: int, exempt: bool = False) -> Column:
+    """The questions of one stage: `keys` is an array of keys, tried in order."""
+    apart = stage != "sjr_issn"  # of several ISSNs the first that is known counts, in one place
+    return F.transform(keys, lambda k, n: F.struct(
+        F.lit(kind).alias("kind"), k.alias("key"), (F.lit(first_place) + (n if apart else F.lit(0))).alias("place"), n.alias("pos"),
+        F.lit(source).alias("source"), F.lit(stage).alias("stage"), F.lit(label).alias("label"), F.lit(exempt).alias("exempt")))
+
+
+def key_table(a: Lists, b: Lists) -> DataFrame:
+    """(kind, key, title, entry_acronym, rank): the keys of both lists that exact stages ask for, in one table."""
+    parts = [rows.select(F.lit(kind).alias("kind"), "key", F.col("entry.title").alias("title"),
+                         F.col("entry.acronym").alias("entry_acronym"), F.col("entry.rank").alias("rank"))
+             for kind, rows in (("a", a["keys"]), ("a typed", a["typed"]), ("b", b["keys"]), ("b typed", b["typed"]), ("b issn", b["issn"]))]
+    table = parts[0]
+    for more in parts[1:]:
+        table = table.unionByName(more)
+    return table
 
 
 def _guarded(candidates: DataFrame) -> DataFrame:
-    """Adds `passes` and, for failures, `note`."""
+    """Adds `passes` and, for failures, `note`.
+
+    Containment is asked first; the string ratio only of candidates that it does not decide.
+    """
     venue, title = F.col("venue"), F.col("title")
-    similarity_ = F.when(~F.col("exempt"), similarity.raw_similarity(venue, title))
-    scored = spread_work(candidates, "venue", "title").withColumn("sim", similarity_).withColumn(
-        "cont", F.when(~F.col("exempt"), venues.containment(title, venue))
-    )
     backward = F.col("stage") == "core_acronym"
-    scored = scored.withColumn("back", F.when(backward, venues.containment(venue, title)))
-    sane = (F.col("sim") >= fixed.SANITY_SIMILARITY) | (
-        (F.col("cont") >= fixed.SANITY_CONTAINMENT) & (F.size(venues.content_tokens(title)) >= 3)
-    )
-    passes = F.col("exempt") | sane | (backward & (F.col("back") >= fixed.SANITY_CONTAINMENT))
+    words = spread_work(candidates, "venue", "title").withColumn(
+        "cont", F.when(~F.col("exempt"), venues.containment(title, venue))
+    ).withColumn("back", F.when(backward, venues.containment(venue, title)))
+    held = (F.col("cont") >= fixed.SANITY_CONTAINMENT) & (F.size(venues.content_tokens(title)) >= 3)
+    known = F.col("exempt") | held | (backward & (F.col("back") >= fixed.SANITY_CONTAINMENT))
+    judged = cut(words.withColumn("known", F.coalesce(known, F.lit(False))))
+    rest = judged.where("NOT known").withColumn("sim", similarity.raw_similarity(venue, title))
+    passes = F.col("sim") >= fixed.SANITY_SIMILARITY
     two = lambda c: F.format_number(c, 2)
     note = F.concat(F.col("label"), F.lit(":'"), title, F.lit("'(sim="), two(F.col("sim")),
                     F.lit("/cont="), two(F.col("cont")), F.lit(")"))
     back_note = F.concat(F.lit("core_acronym:'"), title, F.lit("'(back_cont="), two(F.col("back")), F.lit(")"))
     notes = F.when(backward, F.array(note, back_note)).otherwise(F.array(note))
-    return scored.select(
-        "venue", "issn", "place", "source", "stage", "title", "rank",
-        passes.alias("passes"), F.when(~passes, notes).alias("notes"),
-    )
+    columns = ["venue", "issn", "place", "pos", "source", "stage", "title", "rank"]
+    sure = judged.where("known").select(*columns, F.lit(True).alias("passes"), F.lit(None).cast("array<string>").alias("notes"))
+    return sure.unionByName(rest.select(*columns, passes.alias("passes"), F.when(~passes, notes).alias("notes")))
 
 
 def fuzzy_best(names: DataFrame, keys: DataFrame, threshold: float = fixed.FUZZY_VENUE,
@@ -109,31 +120,29 @@ def resolve_venues(names: DataFrame, a: Lists, b: Lists,
         (F.col("entry_acronym") != "") & (F.col("low") == F.lower(strip(F.col("entry_acronym"))))
     )
     low = one(F.col("low"))
-    candidates = [
-        _probe(features, low, a["keys"], "CORE", "core_exact_raw", "", CORE_RAW, True).where(raw_is_title),
-        _probe(features, typed, a["typed"], "CORE", "core_exact_typed", "core_typed", CORE_TYPED),
-        _probe(features, plain, a["keys"], "CORE", "core_exact_norm", "core_norm", CORE_NORM),
-        _probe(features, low, b["keys"], "SJR", "sjr_exact_raw", "", SJR_RAW, True).where(raw_is_title),
-        _probe(features, typed, b["typed"], "SJR", "sjr_exact_typed", "sjr_typed", SJR_TYPED),
-        _probe(features, plain, b["keys"], "SJR", "sjr_exact_norm", "sjr_norm", SJR_NORM),
-        _probe(features, acronyms, a["keys"], "CORE", "core_acronym", "core_acronym", CORE_ACRONYM),
-    ]
-    by_issn = _probe(features, issn_list(F.col("issn")), b["issn"], "SJR", "sjr_issn", "", 0, True)
-    first_issn = by_issn.groupBy("venue", "issn", "low").agg(
-        F.min_by(F.struct("source", "stage", "label", "title", "entry_acronym", "rank", "exempt"), "place").alias("c")
-    ).select("venue", "issn", "low", F.lit(SJR_ISSN).alias("place"), "c.*")
-    everything = first_issn.select(candidates[0].columns)
-    for more in candidates:
-        everything = everything.unionByName(more)
+    questions = F.concat(
+        _asked("a", low, "CORE", "core_exact_raw", "", CORE_RAW, True),
+        _asked("a typed", typed, "CORE", "core_exact_typed", "core_typed", CORE_TYPED),
+        _asked("a", plain, "CORE", "core_exact_norm", "core_norm", CORE_NORM),
+        _asked("b issn", issn_list(F.col("issn")), "SJR", "sjr_issn", "", SJR_ISSN, True),
+        _asked("b", low, "SJR", "sjr_exact_raw", "", SJR_RAW, True),
+        _asked("b typed", typed, "SJR", "sjr_exact_typed", "sjr_typed", SJR_TYPED),
+        _asked("b", plain, "SJR", "sjr_exact_norm", "sjr_norm", SJR_NORM),
+        _asked("a", acronyms, "CORE", "core_acronym", "core_acronym", CORE_ACRONYM),
+    )
+    asked = features.select("venue", "issn", "low", F.explode(questions).alias("q")).select("venue", "issn", "low", "q.*")
+    raw = F.col("stage").isin("core_exact_raw", "sjr_exact_raw")
+    everything = asked.join(key_table(a, b), ["kind", "key"]).where(~raw | F.coalesce(raw_is_title, F.lit(False))).select(*CANDIDATE)
     judged = cut(_guarded(everything))
     choice = F.struct("source", "title", "rank", "stage")
-    winners = judged.where("passes").groupBy("venue", "issn").agg(F.min_by(choice, "place").alias("w"))
+    order = F.struct("place", "pos")
+    winners = judged.where("passes").select("venue", "issn").distinct()
 
     open_names = features.join(winners.select("venue", "issn"), ["venue", "issn"], "left_anti")
     hopeful = open_names.where(long_key)
     best = fuzzy_best(hopeful.select("norm").distinct(), a["keys"], fuzzy_threshold)
     near = hopeful.join(best.select("norm", "key"), "norm").join(a["keys"], "key").select(
-        "venue", "issn", "low", F.lit(CORE_FUZZY).alias("place"), F.lit("CORE").alias("source"),
+        "venue", "issn", "low", F.lit(CORE_FUZZY).alias("place"), F.lit(0).alias("pos"), F.lit("CORE").alias("source"),
         F.lit("core_fuzzy").alias("stage"), F.lit("core_fuzzy").alias("label"),
         F.col("entry.title").alias("title"), F.col("entry.acronym").alias("entry_acronym"),
         F.col("entry.rank").alias("rank"), F.lit(False).alias("exempt"),
@@ -142,7 +151,7 @@ def resolve_venues(names: DataFrame, a: Lists, b: Lists,
     all_judged = cut(judged.unionByName(judged_near))
     # At most three winners' fields and, per name, one entry per stage: small by construction.
     outcome = all_judged.groupBy("venue", "issn").agg(
-        F.min_by(choice, F.when(F.col("passes"), F.col("place"))).alias("w"),
+        F.min_by(choice, F.when(F.col("passes"), order)).alias("w"),
         F.bool_or("passes").alias("matched"),
         F.array_sort(F.collect_list(F.when(~F.col("passes"), F.struct("place", "notes")))).alias("failed"),
     )
@@ -247,11 +256,11 @@ def unmatched_report(unmatched: DataFrame, a: Lists, b: Lists, top: int = 50,
     ).withColumn("q2_neighbour", F.coalesce(close_b & (F.col("sjr_rank") == "Q2"), F.lit(False)))
 
 
-def classify_matches(matches: DataFrame, a: Lists, b: Lists) -> DataFrame:
+def classify_matches(matches: DataFrame, a: Lists, b: Lists, watched: tuple[str, ...] = fixed.WATCHED_VENUE_WORDS) -> DataFrame:
     """Re-derives, per distinct match, the stage by which its venue would match today.
 
     `matches` has (venue, issn, matched_venue, source, rank, included, n). Adds `stage`,
-    `similarity` and `suspect`.
+    `similarity` and `suspect`; a venue with a `watched` word is always suspect.
     """
     rows = matches.withColumn("norm", venues.normalize_venue(F.col("venue"))).withColumn(
         "low", F.lower(strip(F.col("venue")))).withColumn("acronym", venues.trailing_acronym(F.col("venue")))
@@ -291,8 +300,10 @@ def classify_matches(matches: DataFrame, a: Lists, b: Lists) -> DataFrame:
     both = on_a.select(columns).unionByName(on_b.select(columns))
     suspect = (
         ((F.col("stage") == "fuzzy") & (F.col("similarity") <= fixed.SUSPECT_SIMILARITY))
-        | F.col("stage").isin("acronym", "none") | F.lower("venue").contains("presence")
+        | F.col("stage").isin("acronym", "none")
     )
+    for word in watched:
+        suspect = suspect | F.lower("venue").contains(word)
     return both.withColumn("suspect", suspect)
 
 
@@ -336,6 +347,27 @@ def suspect_priorities(suspects: DataFrame, a: Lists, b: Lists) -> DataFrame:
     ).withColumn("alternative", F.coalesce(F.when(F.col("alt").isNotNull(), text), F.lit(""))).drop("alt")
 
 
+def priority_counts(judged: DataFrame) -> DataFrame:
+    """(priority, venues, records): how many suspect matches of each priority, and how many records they hold."""
+    return judged.groupBy("priority").agg(F.count("*").alias("venues"), F.sum("n").alias("records"))
+
+
+def acronym_checklist(matches: DataFrame, acronyms: list[str] = fixed.ACRONYM_CHECKLIST) -> DataFrame:
+    """(acronym, stage, venues, records): by which stages venues matched that name an acronym.
+
+    An acronym is named in parentheses, as a word between blanks, or before a year of this century.
+    One that no venue names has one row without a stage.
+    """
+    venue = F.col("venue")
+    named = lambda x: (
+        venue.contains(f"({x})") | F.concat(F.lit(" "), venue, F.lit(" ")).contains(f" {x} ") | F.upper(venue).contains(f"{x} 20"))
+    hits = F.array_compact(F.array(*[F.when(named(x), F.lit(x)) for x in acronyms]))
+    found = matches.select(F.explode(hits).alias("acronym"), "stage", "n").groupBy("acronym", "stage").agg(
+        F.count("*").alias("venues"), F.sum("n").alias("records"))
+    listed = matches.sparkSession.createDataFrame([(x,) for x in acronyms], "acronym string")
+    return listed.join(found, "acronym", "left").na.fill({"venues": 0, "records": 0})
+
+
 def keyspace(a_rows: DataFrame, b_rows: DataFrame) -> DataFrame:
     """(key, source, kind, title, rank, place): every key of both lists, collisions kept.
 

@@ -362,6 +362,81 @@ def _(t):
         forced.select(F.lit("forced").alias("part"), "record_id", "decision"))
 
 
+LABEL_CRITERIA = {"P": "p_size < 5", "I_hmd": "p_type = 'SMALL'", "I_scale": "p_size > 48", "C": "p_retailprice < 905", "O": "p_size = 30", "S": "p_type = 'PROMO' AND p_size < 25"}
+#: Per part its answers and what an entry of a full-text progress file says of it.
+ENTRIES_SQL = f"""answers AS (SELECT p_partkey, p_size, p_name, 'F' || p_partkey // 50 AS file, p_partkey // 50 % 10 AS kind,
+    {', '.join(f"CASE WHEN {c} THEN 'N' WHEN p_partkey % 41 = 0 THEN '?' ELSE 'Y' END AS {k}" for k, c in LABEL_CRITERIA.items())} FROM part),
+  entries AS (SELECT *, CASE WHEN p_size % 4 = 0 THEN '{fixed.EXCLUDE_REASONS[5]}' ELSE '' END AS given,
+    CASE {' '.join(f"WHEN {k} = 'N' THEN '{r}'" for k, r in fixed.REASON_OF_CRITERION)} ELSE '' END AS auto FROM answers),
+  said AS (SELECT *, CASE WHEN auto <> '' AND given <> auto THEN given ELSE '' END AS reason,
+    CASE WHEN p_partkey % 97 = 0 THEN 'many' WHEN p_size % 5 = 0 THEN '{fixed.MISSING_TOKENS[0]}' ELSE p_size::VARCHAR END AS n_total,
+    CASE WHEN p_partkey % 89 = 0 THEN 'IPD; elsewhere' ELSE 'IPD; 環境' END AS scale_target FROM entries WHERE kind < 8)"""
+
+
+def fulltext_files(t, sound: bool = False):
+    """(file, json) of full-text progress, 50 parts a file; some files and cells are refused unless `sound`."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    answers = F.create_map(*[x for k, c in LABEL_CRITERIA.items() for x in (
+        F.lit(k), F.when(F.expr(c), "N").when(key % 41 == 0, "?").otherwise(" Y "))])
+    bad = (lambda c: F.lit(False)) if sound else (lambda c: c)
+    listed = F.to_json(F.array(F.lit("IPD"), F.when(bad(key % 89 == 0), "elsewhere").otherwise("環境")))
+    ext = F.create_map(
+        F.lit("n_total"), F.when(bad(key % 97 == 0), "many").when(size % 5 == 0, fixed.MISSING_TOKENS[0]).otherwise(size.cast("string")),
+        F.lit("scale_target"), F.when(key % 2 == 0, listed).otherwise(F.concat(F.lit("IPD; "), F.when(bad(key % 89 == 0), "elsewhere").otherwise("環境"))))
+    ext = F.when(bad(key % 101 == 0), F.map_concat(ext, F.create_map(F.lit("colour"), F.lit("red")))).otherwise(ext)
+    entry = F.struct(answers.alias("c"), F.when(size % 4 == 0, fixed.EXCLUDE_REASONS[5]).otherwise("").alias("reason"),
+                     F.concat(F.lit(" "), "p_name").alias("evidence"), F.lit(None).cast("string").alias("memo"), ext.alias("ext"))
+    rows = t.part.select(F.floor(key / 50).alias("no"), F.concat(F.lit("R"), key.cast("string")).alias("record_id"), entry.alias("e"))
+    # Fifty parts a file by construction.
+    files = rows.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("record_id", "e"))).alias("entries"))
+    kind = F.col("no") % 10
+    text = F.to_json(F.struct(F.when(kind == 9, "other").otherwise("phase4-progress").alias("format"), F.lit(1).alias("version"),
+                              F.when(kind == 8, "r2").otherwise("r1").alias("sheet"), "entries"))
+    return files.select(F.concat(F.lit("F"), F.col("no").cast("string")).alias("file"), text.alias("json"))
+
+
+@query("fulltext_import", f"""WITH {ENTRIES_SQL}, cells AS (
+    {' UNION ALL '.join(f"SELECT file, 'R' || p_partkey AS record_id, '{k}' AS field, {k} AS value FROM said" for k in [*LABEL_CRITERIA, 'reason'])}
+    UNION ALL SELECT file, 'R' || p_partkey, 'evidence', p_name FROM said UNION ALL SELECT file, 'R' || p_partkey, 'memo', '' FROM said
+    UNION ALL SELECT file, 'R' || p_partkey, 'n_total', n_total FROM said WHERE n_total <> 'many'
+    UNION ALL SELECT file, 'R' || p_partkey, 'scale_target', scale_target FROM said WHERE scale_target NOT LIKE '%elsewhere')
+  SELECT 'cell' AS part, * FROM cells
+  UNION ALL SELECT 'violation', file, 'R' || p_partkey, 'n_total', 'not a number' FROM said WHERE n_total = 'many'
+  UNION ALL SELECT 'violation', file, 'R' || p_partkey, 'scale_target', 'not in vocabulary' FROM said WHERE scale_target LIKE '%elsewhere'
+  UNION ALL SELECT 'violation', file, 'R' || p_partkey, 'colour', 'unknown column' FROM said WHERE p_partkey % 101 = 0
+  UNION ALL SELECT DISTINCT 'violation', file, '', '', CASE kind WHEN 8 THEN 'owner' ELSE 'format' END FROM entries WHERE kind >= 8""")
+def _(t):
+    """Progress files of the full-text review, taken apart into cells, and what is refused."""
+    cells, violations = decisions.parse_fulltext(fulltext_files(t), F.lit("r1"))
+    return cells.select(F.lit("cell").alias("part"), "file", "record_id", "field", "value").unionByName(
+        violations.select(F.lit("violation").alias("part"), "file", "record_id", "field", F.col("rule").alias("value")))
+
+
+@query("fulltext_upsert", f"""WITH {ENTRIES_SQL}, good AS (SELECT p_partkey, evidence, reason, n FROM (SELECT p_partkey, p_size, p_name AS evidence, reason,
+      CASE WHEN p_size % 5 = 0 THEN '{fixed.MISSING_TOKENS[0]}' ELSE p_size::VARCHAR END AS n FROM said)),
+  sheet AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'seen before' ELSE '' END AS evidence,
+    CASE WHEN p_partkey % 11 = 0 THEN 'own reason' ELSE '' END AS reason, '' AS n FROM part)
+  SELECT 'forced' AS part, 'R' || s.p_partkey AS record_id, coalesce(g.evidence, s.evidence) AS evidence,
+    CASE WHEN coalesce(g.reason, '') = '' THEN s.reason ELSE g.reason END AS reason, coalesce(g.n, s.n) AS n_total FROM sheet s LEFT JOIN good g USING (p_partkey)
+  UNION ALL SELECT 'refused', 'R' || p_partkey, evidence, reason, n FROM sheet
+  UNION ALL SELECT 'conflict', 'R' || p_partkey, 'evidence', '', '' FROM sheet JOIN good USING (p_partkey) WHERE p_partkey % 7 = 0
+  UNION ALL SELECT 'conflict', 'R' || g.p_partkey, 'reason', '', '' FROM sheet s JOIN good g USING (p_partkey) WHERE s.reason <> '' AND g.reason <> ''
+  UNION ALL SELECT 'warning', 'R' || g.p_partkey, 'reason', '', '' FROM sheet s JOIN good g USING (p_partkey) WHERE s.reason <> '' AND g.reason = ''""")
+def _(t):
+    """The cells written into a sheet that has other values in places: refused, and by force."""
+    cells, errors = decisions.parse_fulltext(fulltext_files(t, sound=True).where("json NOT LIKE '%\"format\":\"other\"%' AND json LIKE '%\"sheet\":\"r1\"%'"), F.lit("r1"))
+    key = F.col("p_partkey")
+    sheet = t.part.select(F.concat(F.lit("R"), key.cast("string")).alias("record_id"), *[F.lit("").alias(k) for k in fixed.CRITERIA],
+                          F.when(key % 7 == 0, "seen before").otherwise("").alias("evidence"), F.when(key % 11 == 0, "own reason").otherwise("").alias("reason"),
+                          F.lit("").alias("memo"), F.lit("").alias("n_total"), F.lit("").alias("scale_target"))
+    pick = lambda name, rows: rows.select(F.lit(name).alias("part"), "record_id", "evidence", "reason", "n_total")
+    refused, findings = decisions.upsert_cells(sheet, cells, errors)
+    forced, _ = decisions.upsert_cells(sheet, cells, errors, force=True)
+    blank = F.lit("")
+    found = findings.select(F.col("severity").alias("part"), "record_id", F.col("field").alias("evidence"), blank.alias("reason"), blank.alias("n_total"))
+    return pick("forced", forced).unionByName(pick("refused", refused)).unionByName(found)
+
+
 @query("latest_decisions", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, arg_max(json_extract_string(props, '$.k'), event_id) AS k
   FROM events GROUP BY ALL""")
 def _(t):

@@ -294,6 +294,34 @@ def _(t):
         "venue", "matched_venue", "source", "rank", "included", "n", "stage", "priority", "alternative")
 
 
+@query("suspect_priority_counts")
+def _(t):
+    """Suspect matches and their records per priority."""
+    rows, a, b = ranked_lines(t)
+    audit = venue_match.classify_matches(matched_groups(rows), a, b)
+    return venue_match.priority_counts(venue_match.suspect_priorities(audit.where("suspect"), a, b))
+
+
+CHECKED_ACRONYMS = ["AL", "BR", "GR", "ZZ"]
+
+
+@query("acronym_checklist", f"""WITH {LISTS_SQL}, v AS (
+    SELECT CASE WHEN p_size < 20 THEN 'Meeting (' || upper(substr(p_name, 1, 2)) || ')' WHEN p_size < 35 THEN upper(substr(p_name, 1, 2)) || ' 2019'
+      ELSE 'The ' || upper(substr(p_name, 1, 2)) || ' of ' || p_type END AS venue, CASE WHEN p_type IN {ON_LIST_A} THEN 'acronym' ELSE 'fuzzy' END AS stage FROM part),
+  g AS (SELECT venue, stage, count(*) AS n FROM v GROUP BY ALL), x AS (SELECT unnest({CHECKED_ACRONYMS}) AS acronym)
+  SELECT acronym, stage, count(venue) AS venues, coalesce(sum(n), 0)::BIGINT AS records
+  FROM x LEFT JOIN g ON contains(venue, '(' || acronym || ')') OR contains(' ' || venue || ' ', ' ' || acronym || ' ') OR contains(upper(venue), acronym || ' 20')
+  GROUP BY ALL""")
+def _(t):
+    """By which stages venues matched that name an acronym of a list; parts stand for matched venues."""
+    two, size = F.upper(F.substring("p_name", 1, 2)), F.col("p_size")
+    venue = F.when(size < 20, F.concat(F.lit("Meeting ("), two, F.lit(")"))).when(size < 35, F.concat(two, F.lit(" 2019"))).otherwise(
+        F.concat(F.lit("The "), two, F.lit(" of "), "p_type"))
+    stage = F.when(F.col("p_type").isin(*ON_LIST_A), "acronym").otherwise("fuzzy")
+    matches = t.part.groupBy(venue.alias("venue"), stage.alias("stage")).agg(F.count("*").alias("n"))
+    return venue_match.acronym_checklist(matches, CHECKED_ACRONYMS)
+
+
 @query("key_collisions", f"""WITH {LISTS_SQL}, space AS (
     SELECT {normalize_sql('title')} AS key, 'CORE' AS source, 'norm_title' AS kind, title, rank, 0 AS l, ord FROM list_a
     UNION ALL SELECT lower(acronym), 'CORE', 'acronym', title, rank, 0, ord FROM list_a

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"venue_ranking", "venue_stage_counts", "rank_distribution", "quartile_losses"}  # same work as venue_resolution
+# The same work as venue_resolution or suspect_priorities.
+SLOW = {"venue_ranking", "venue_stage_counts", "rank_distribution", "quartile_losses", "suspect_priority_counts"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
