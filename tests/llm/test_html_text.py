@@ -104,3 +104,11 @@ def test_rows(spark):
     got = {r["page_id"]: r["text"] for r in extracted(frame).collect()}
     assert got[1] == want and got[2] == got[3] == "" and got[4].count("\n\n") == 19999
     assert extracted(frame).count() == 6 and extracted(frame.limit(0)).collect() == []
+
+
+def test_signs_are_read_from_whole_attributes():
+    text = "The quick brown fox jumps over the lazy dog and then it runs away from the house of the old man in the town."
+    for attrs in ('title="the hidden truth"', 'data-hidden="false"', 'data-role="dialog"', 'aria-label="role=dialog"', "data-x='class=sidebar'"):
+        assert main_text(f"<body><article {attrs}><p>{text}</p></article></body>") == text, attrs
+    for attrs in ("hidden", 'hidden=""', 'role="dialog"', "ROLE=dialog", "class=sidebar", 'x="1"hidden'):
+        assert main_text(f"<body><article><p>{text}</p><div {attrs}><p>{text} Aside.</p></div></article></body>") == text, attrs
