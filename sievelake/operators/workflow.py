@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
@@ -126,20 +131,43 @@ def workload(assignment: DataFrame, by: list[str]) -> DataFrame:
     return assignment.withColumn("reviewer", F.explode(readers)).groupBy("reviewer", *by).agg(F.count("*").alias("n"))
 
 
-def fingerprints(sheet: DataFrame, group: list[str], order: str, limit: int = 100_000) -> DataFrame:
+def fingerprints(sheet: DataFrame, group: list[str], order: str) -> DataFrame:
     """`count:hash` of a sheet's ids in order, the hash being seven characters of SHA-1.
 
-    The hash needs all ids of a sheet in a row. A sheet is what one person reads, so its
-    size is checked: a group above the limit makes the job fail before ids are collected.
+    The ids of a sheet, one a line, are read as a sorted stream and digested on the way: nothing
+    is collected, so a sheet may have any number of ids.
     """
-    sizes = sheet.groupBy(*group).agg(F.count("*").alias("n"))
-    checked = sizes.select(*group, F.when(F.col("n") <= limit, F.col("n")).otherwise(
-        F.raise_error(F.lit(f"a sheet has more than {limit} records"))).alias("n"))
-    rows = sheet.join(checked, group)
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("record_id").alias("r"))))
-    return rows.where("n > 0").groupBy(*group, "n").agg(
-        F.array_join(F.transform(listed, lambda e: e["r"]), "\n").alias("ids")
-    ).select(*group, F.concat(F.col("n").cast("string"), F.lit(":"), F.substring(F.sha1("ids"), 1, 7)).alias("fingerprint"))
+    rows = sheet.select(*group, F.col(order).alias("_order"), F.col("record_id").cast("string").alias("_id"))
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "_order", "_id").drop("_order")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha, n, begun, kinds = None, None, 0, False, None
+        out: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, [*group, "fingerprint"])
+
+        for batch in batches:
+            kinds = [*[batch.schema.field(k).type for k in range(len(group))], pa.string()]
+            for *key, one in zip(*(c.to_pylist() for c in batch.columns)):
+                if sha is None or key != now:
+                    if sha is not None:
+                        out.append((*now, f"{n}:{sha.hexdigest()[:7]}"))
+                    now, sha, n, begun = key, hashlib.sha1(), 0, False
+                n += 1
+                if one is not None:
+                    sha.update((("\n" if begun else "") + one).encode("utf-8"))
+                    begun = True
+            if len(out) >= 1000:
+                yield batch_of()
+        if sha is not None:
+            out.append((*now, f"{n}:{sha.hexdigest()[:7]}"))
+            yield batch_of()
+
+    shape = T.StructType([sheet.schema[g] for g in group] + [T.StructField("fingerprint", T.StringType())])
+    return ordered.mapInArrow(digest, shape)
 
 
 def contamination(examples: DataFrame, targets: DataFrame, key: str = "record_id") -> DataFrame:

@@ -319,7 +319,7 @@ def _(t):
     key = F.col("record_key")
     now = rows.withColumn("calibration", F.when(ids.is_calibration(key), "Y").otherwise("N"))
     had = rows.where(ids.is_calibration(key, 15)).withColumn("reviewer", F.explode(F.array(F.lit("r2"), F.lit("r3"))))
-    return workflow.calibration_supplement(now, had).select("reviewer", "record_id")
+    return workflow.calibration_supplement(now, had, rows).select("reviewer", "record_id")
 
 
 @query("sheet_fingerprints", """WITH s AS (SELECT doc_id // 500 AS sheet, 'D' || doc_id AS record_id, doc_id FROM documents)

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from sievelake.operators import agreement, workflow
@@ -76,8 +78,8 @@ def test_kappa_limits(spark):
     assert got["flat"] != got["flat"] and got["constant"] == 0 and got["equal"] == 1
 
 
-def test_fingerprint_refuses_large_sheets(spark):
-    sheet = spark.range(20).selectExpr("id", "'s' AS sheet", "concat('R', id) AS record_id")
-    assert workflow.fingerprints(sheet, ["sheet"], "id").first().fingerprint.startswith("20:")
-    with pytest.raises(Exception, match="more than 10 records"):
-        workflow.fingerprints(sheet, ["sheet"], "id", limit=10).collect()
+def test_fingerprint_of_a_million_ids(spark):
+    sheet = spark.range(1_000_020).selectExpr("id", "if(id < 20, 's', 'large') AS sheet", "concat('R', id) AS record_id").repartition(7)
+    got = {r.sheet: r.fingerprint for r in workflow.fingerprints(sheet, ["sheet"], "id").collect()}
+    want = lambda ids: hashlib.sha1("\n".join(f"R{i}" for i in ids).encode()).hexdigest()[:7]
+    assert got == {"s": "20:" + want(range(20)), "large": "1000000:" + want(range(20, 1_000_020))}
