@@ -12,6 +12,8 @@ from sievelake.session import cut
 TITLE_PHRASE, TITLE_WORDS, FIRST_PAGE_DOI = "タイトル一致", "タイトル語の一致", "1ページ目の DOI"
 HOW = (TITLE_PHRASE, TITLE_WORDS, FIRST_PAGE_DOI)
 NO_RECORD, SEVERAL = "該当なし", "候補が複数"
+#: Title words are broadcast up to this number, and joined with salted keys beyond it.
+SMALL_VOCABULARY = 100_000
 
 
 def positions(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -22,7 +24,12 @@ def positions(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     text = norm_title(F.regexp_replace("text", r"-\n(?=[a-z])", ""))
     tokens = documents.select("doc_id", F.posexplode(F.split(text, " ")).alias("place", "word")).where("word <> ''")
+    small = vocabulary.limit(SMALL_VOCABULARY + 1).count() <= SMALL_VOCABULARY
+    if small:  # other words go before anything is moved
+        tokens = tokens.join(F.broadcast(vocabulary), "word", "left_semi")
     held = tokens.groupBy("doc_id", "word").agg(F.collect_list("place").alias("places"))
+    if small:
+        return held
     return spread_join(held, vocabulary, ["word"], "inner", "doc_id").select("doc_id", "word", "places")
 
 
