@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +27,14 @@ from sievelake.llm.quality_rules import STOP_WORDS
 
 STOPS = frozenset(STOP_WORDS)
 #: Elements whose content is not text, up to their end tag or the end of the page.
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes annotation annotation-xml".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr img map nobr".split())
+                   "span strike strong sub sup time tt u var wbr img map nobr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot "
+                   "mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 #: Elements that hold no article text wherever they stand.
-ASIDE = frozenset("nav aside footer form head button select option datalist dialog menu template svg math object audio video canvas "
+ASIDE = frozenset("nav aside footer form head button select option datalist dialog menu template svg object audio video canvas "
                   "fieldset figcaption".split()) - {"figcaption"}
 MAIN = frozenset(("article", "main"))
 #: Elements that are parts of a text rather than holders of several.
@@ -50,9 +52,10 @@ LAYOUT = frozenset("with has no without".split())
 #: Names of topics and states that sites give to an article and to what it is in.
 TOPIC = re.compile(r"(?:category|tag)-|.*-(?:open|closed)$")
 
-TAG = re.compile(
-    r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|[!?/][^>]*>)",
-    re.DOTALL)
+START = re.compile(r"<(?:(?P<note>!--)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)|[!?/])")
+NOTE_END = re.compile(r"(?<=<!--)-?>|--!?>")
+#: Attributes up to the end of their tag; a quote without another one after it bounds nothing.
+ATTRS = re.compile(r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>")
 ATTR = re.compile(r"([^\s\"'=<>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMES = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -108,6 +111,33 @@ def _signs(attrs: str, element: str = "") -> tuple[bool, bool, bool, bool, bool]
     return aside, head, part, head_part, telling
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of the tags of a page, comments and the like
+    with an empty name, in time linear in the page.
+
+    What is unfinished when the page ends goes on to its end, but where only quotes hide all later tag ends, quotes
+    bound nothing from there on. An element whose content is not text is one piece without a name.
+    """
+    at, quotes = 0, True
+    while m := START.search(page, at):
+        start, at = m.span()
+        name, ends, attrs = (m["name"] or "").lower(), bool(m["end"]), ""
+        if m["note"]:
+            stop = NOTE_END.search(page, at)
+            at = stop.end() if stop else len(page)
+        else:
+            whole = ATTRS.match(page, at) if name and quotes else None
+            quotes &= not name or bool(whole)
+            stop = whole.end() if whole else page.find(">", at) + 1
+            attrs, at = page[at:stop - 1], stop or len(page)
+            if not stop:
+                name = ""
+        if name in RAW and not ends:
+            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            name, at = "", stop.end() if stop else len(page)
+        yield start, at, name, ends, attrs
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page with text, in its order."""
     found: list[Block] = []
@@ -118,6 +148,7 @@ def blocks_of(page: str) -> list[Block]:
     # an article rather than a main element, holder's number).
     top = ("", False, False, False, False, 0, False, 0)
     open_tags: list[tuple[str, bool, bool, bool, bool, int, bool, int]] = []
+    open_names: Counter[str] = Counter()
     links = articles = holders = 0
     heading = False
 
@@ -139,17 +170,12 @@ def blocks_of(page: str) -> list[Block]:
             parts, linked = [], 0
 
     at = 0
-    while True:
-        m = TAG.search(page, at)
-        if not m:
-            put(page[at:])
-            break
-        put(page[at:m.start()])
-        at = m.end()
-        if not m["name"]:
+    for start, stop, name, ends, attrs in _tags(page):
+        put(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        if ends:
             if name == "a":
                 links = 0
             if name in INLINE:
@@ -157,13 +183,12 @@ def blocks_of(page: str) -> list[Block]:
             close()
             if name[0] == "h" and name[1:].isdigit():
                 heading = False
-            if any(name == t[0] for t in open_tags):
-                while open_tags.pop()[0] != name:
-                    pass
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            if open_names[name]:
+                while True:
+                    gone = open_tags.pop()[0]
+                    open_names[gone] -= 1
+                    if gone == name:
+                        break
             continue
         if name == "br":
             parts.append(" ")
@@ -179,8 +204,9 @@ def blocks_of(page: str) -> list[Block]:
         heading = name[0] == "h" and name[1:].isdigit()
         if name == "p" and open_tags and open_tags[-1][0] == "p":  # one paragraph ends another
             open_tags.pop()
+            open_names["p"] -= 1
         _, aside, weak, told, under, inside, single, holder = open_tags[-1] if open_tags else top
-        own, head, part, head_part, telling = _signs(m["attrs"], name) if m["attrs"] and name not in ("html", "body") else (False,) * 5
+        own, head, part, head_part, telling = _signs(attrs, name) if attrs and name not in ("html", "body") else (False,) * 5
         aside |= own or name in ASIDE - {"form"} or (head or name == "header") and not inside
         if name in MAIN:
             if not aside:
@@ -197,8 +223,10 @@ def blocks_of(page: str) -> list[Block]:
         if name not in PARTS:
             holders += 1
             holder = holders
-        if not m["attrs"].endswith("/") or name not in ("svg", "math"):
+        if not attrs.endswith("/") or name != "svg":
             open_tags.append((name, aside, weak, told, under, inside, single, holder))
+            open_names[name] += 1
+    put(page[at:])
     close()
     return found
 

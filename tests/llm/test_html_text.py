@@ -1,6 +1,7 @@
 """Main text of pages made of known parts."""
 
 import random
+import time
 
 import pytest
 
@@ -112,3 +113,25 @@ def test_signs_are_read_from_whole_attributes():
         assert main_text(f"<body><article {attrs}><p>{text}</p></article></body>") == text, attrs
     for attrs in ("hidden", 'hidden=""', 'role="dialog"', "ROLE=dialog", "class=sidebar", 'x="1"hidden'):
         assert main_text(f"<body><article><p>{text}</p><div {attrs}><p>{text} Aside.</p></div></article></body>") == text, attrs
+
+
+def test_unfinished_and_broken_markup():
+    assert main_text("<article><p>The text of it.</p>An unfinished <b") == "The text of it.\n\nAn unfinished"
+    assert main_text("<article><p>The text.</p>An end </") == "The text.\n\nAn end"
+    assert main_text("<article><p>The text<!--> and<!---> of it</p></article>") == "The text and of it"
+    assert main_text('<article><p title="a>b">It is a > b.</p><p class="x>Don\'t</p></article>') == "It is a > b.\n\nDon't"
+    # Quotes that hide every later tag end bound nothing.
+    assert main_text('<article><p title="a>The text.</p></article>"') == "The text."
+
+
+def test_formulas_are_text():
+    page = "<article><p>Let <math><semantics><mrow><mi>x</mi><mo>&lt;</mo><mn>2</mn></mrow><annotation>x < 2</annotation></semantics></math> be large.</p></article>"
+    assert main_text(page) == "Let x<2 be large."
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "</p", "<a", "<!--", "<a '>", '<a ">"', "<p a= ", "</section>", "<"])
+def test_a_megabyte_of_unfinished_markup_takes_linear_time(piece):
+    page = "<article><p>The text.</p>" + "<div>" * 20_000 + piece * (1_000_000 // len(piece))
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 5
