@@ -51,3 +51,20 @@ def test_few_rows_and_other_lengths(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert nearest(empty, F.col("id") % 100 == 0).collect() == []
     assert nearest(spark.createDataFrame(rows[:1], SCHEMA), F.col("id") % 100 == 0).collect() == []
+
+
+def test_doubles_are_kept(spark):
+    big = 2 ** 60
+    rows = [(big, [1.0, 2.0]), (big + 1, [1.0, 2.0 + 1e-12]), (big + 2, [1.0, 2.0 + 3e-12]), (3, [1e100, -1e100])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == big).orderBy("rank").collect()
+    want = sorted((float(np.sqrt(((np.array(v) - [1.0, 2.0]) ** 2).sum())), i) for i, v in rows if i != big)
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(big, n, i, s) for n, (s, i) in enumerate(want, 1)]
+
+
+def test_a_graph_stays_in_its_task(spark):
+    """Queries go to shards: no graph passes a shuffle after it is built."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist(), "") for i in range(300)]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") % 10 == 0, shard_rows=50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "binary" not in plan and "edges" not in plan and got.count() == 300
