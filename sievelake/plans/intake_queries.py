@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import labels
 from sievelake.operators import workflow
-from sievelake.plans.records import RECORDS_SQL, TOPIC_EXCLUSIONS, norm_title_sql
+from sievelake.plans.records import RECORDS_SQL, TOPIC_EXCLUSIONS, norm_title_sql, records
 from sievelake.plans.registry import query
 from sievelake.plans.text_queries import HAYSTACK, categories_sql, keyword_rows, keywords_sql
 from sievelake.session import shared_folder
@@ -38,6 +38,27 @@ def _(t):
     return rows.select("Source_DB", "id", "lang", "title", "role")
 
 
+@query("bibtex_files", f"""WITH {RECORDS_SQL}, e AS (SELECT key, ord, '@article{{' || key || ',' || chr(10) || '  title={{' || md5(title) || '}}}}' || chr(10) AS body FROM records)
+  SELECT key AS entry_key, md5(arg_min(body, ord)) AS body_md5, count(*) AS copies, count(DISTINCT body) > 1 AS conflict FROM e GROUP BY key""")
+def _(t):
+    """Records written as large BibTeX files, some with no line break between entries, read in blocks and merged."""
+    folder = _folder(t, "bibtex")
+    entry = F.concat(F.lit("@article{"), "key", F.lit(",\n  title={"), F.md5("title"), F.lit("}}"))
+    gap = F.when(F.col("ord") % 2 == 0, "").otherwise("\n")
+    records(t).repartitionByRange("ord").sortWithinPartitions("ord").select(F.concat(entry, gap)).write.option("lineSep", " ").text(folder)
+    merged = readers.merge_bibtex(readers.read_bibtex(t.documents.sparkSession, folder))
+    return merged.select("entry_key", F.md5("body").alias("body_md5"), "copies", "conflict")
+
+
+@query("pages_files", r"""SELECT doc_id::INT AS page, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents""")
+def _(t):
+    """Documents written as the pages of large texts, read in blocks and split."""
+    folder = _folder(t, "pages")
+    t.documents.select(F.concat(F.lit("[p."), F.col("doc_id").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))).write.option("lineSep", "\n").text(folder)
+    pages = readers.read_pages(t.documents.sparkSession, folder)
+    return pages.select("page", F.md5(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("text_md5"))
+
+
 @query("columns_resolved", """SELECT doc_id AS ord, source AS title, lang AS abstract, lang AS venue, '10.1/' || doc_id AS doi, '' AS key, '' AS issn FROM documents""")
 def _(t):
     """The first accepted name of each column that the table has; one it lacks is blank."""

@@ -9,8 +9,6 @@ from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
 from sievelake.functions.text import first_filled, strip
 
-MAX_FILE = 256 * 1024 * 1024
-
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Quoted, multi-line CSV as strings, with blanks for missing values.
@@ -109,13 +107,46 @@ def file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def whole_files(spark: SparkSession, path: str, limit: int = MAX_FILE) -> DataFrame:
-    """(file, value): one row per file; a file above the limit makes the job fail."""
-    size = F.col("_metadata.file_size")
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(
-        file_name().alias("file"),
-        F.when(size <= limit, F.col("value")).otherwise(F.raise_error(F.lit("file too large to read whole"))).alias("value"))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, n, value): the lines of text files, read in blocks by many tasks; (part, n) orders those of a file."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        file_name().alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("n"), "value")
+
+
+def counted_before(lines: DataFrame, count: Column, out: str, chunk: int = 10_000) -> DataFrame:
+    """`lines` with the sum of `count` over all earlier lines of the file.
+
+    Sums are taken per chunk of lines with the totals of the chunks before it carried in, so a long file
+    is not one task.
+    """
+    rows = lines.withColumn("_count", count.cast("bigint")).withColumn(
+        "_chunk", F.struct(F.col("part"), F.floor(F.col("n") / chunk).alias("c")))
+    totals = rows.groupBy("file", "_chunk").agg(F.sum("_count").alias("_total"))
+    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("file", "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy("file", "_chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_seen", F.coalesce(F.sum("_count").over(inside), F.lit(0))).join(carried, ["file", "_chunk"])
+    return seen.withColumn(out, F.col("_carried") + F.col("_seen")).drop("_count", "_chunk", "_carried", "_seen")
+
+
+def parts_of_lines(lines: DataFrame, split: str, start: str, chunk: int = 10_000) -> DataFrame:
+    """(file, place, part): the parts of files, counted from 0, from ordered lines (file, part, n, value).
+
+    `split` cuts a line, and what then matches `start` begins a part, which goes on until the next one in the
+    file begins. What comes before the first is dropped. The line end that closes a file belongs to no part.
+    """
+    pieces = F.split("value", split)
+    begins = F.size(F.filter(pieces, lambda p: p.rlike(start)))
+    numbered = counted_before(lines, begins, "before", chunk)
+    # A line's own end was read with the line before it.
+    first = F.struct(F.lit(-1).alias("place"), F.lit("\n").alias("piece"), F.lit(0).alias("started"))
+    each = F.transform(pieces, lambda p, i: F.struct(
+        i.alias("place"), p.alias("piece"), F.size(F.filter(F.slice(pieces, 1, i + 1), lambda q: q.rlike(start))).alias("started")))
+    rows = numbered.select("file", "part", "n", "before", F.explode(F.concat(F.array(first), each)).alias("x")).select(
+        "file", (F.col("before") + F.col("x.started") - 1).alias("number"), F.struct("part", "n", "x.place", "x.piece").alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "")
+    return rows.where("number >= 0").groupBy("file", "number").agg(text.alias("part")).withColumnRenamed("number", "place")
 
 
 def slice_order(name: Column) -> Column:
@@ -124,6 +155,14 @@ def slice_order(name: Column) -> Column:
     return F.struct((number == "").cast("int").alias("last"), number.try_cast("int").alias("number"), name.alias("name"))
 
 
+def _entries(parts: DataFrame) -> DataFrame:
+    body = F.concat(F.regexp_replace("part", r"(?U)\s+\z", ""), F.lit("\n"))
+    head = r"(?U)^@(\w+)\{([^,]+),"
+    return parts.select(
+        "file", "place", F.regexp_extract("part", head, 1).alias("kind"),
+        strip(F.regexp_extract("part", head, 2)).alias("entry_key"), body.alias("body")).where("entry_key <> ''")
+
+
 def bibtex_entries(files: DataFrame) -> DataFrame:
     """(file, place, kind, entry_key, body) from (file, value).
 
@@ -133,12 +172,14 @@ def bibtex_entries(files: DataFrame) -> DataFrame:
     start = r"[ \t\r\n]*@\w+\{"
     split = F.split("value", rf"(?U)(?:(?<=[}}\n])|\A)(?={start})")
     parts = F.transform(F.filter(split, lambda p: p.rlike(rf"(?U)\A{start}")), lambda p: F.regexp_replace(p, r"\A[ \t\r\n]+", ""))
-    entries = files.select("file", F.posexplode(parts).alias("place", "part"))
-    body = F.concat(F.regexp_replace("part", r"(?U)\s+\z", ""), F.lit("\n"))
-    head = r"(?U)^@(\w+)\{([^,]+),"
-    return entries.select(
-        "file", "place", F.regexp_extract("part", head, 1).alias("kind"),
-        strip(F.regexp_extract("part", head, 2)).alias("entry_key"), body.alias("body")).where("entry_key <> ''")
+    return _entries(files.select("file", F.posexplode(parts).alias("place", "part")))
+
+
+def read_bibtex(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
+    """The same of files of any size, read in blocks: starts are counted over the blocks before."""
+    start = r"[ \t\r]*@\w+\{"
+    parts = parts_of_lines(read_lines(spark, path), rf"(?U)(?:(?<=\}})|\A)(?={start})", rf"(?U)\A{start}", chunk)
+    return _entries(parts.withColumn("part", F.regexp_replace("part", r"\A[ \t\r\n]+", "")))
 
 
 def merge_bibtex(entries: DataFrame) -> DataFrame:
@@ -160,34 +201,39 @@ def ris_keys(lines: DataFrame, chunk: int = 10_000) -> DataFrame:
     """(file, record, doi, title, record_key) from ordered lines (file, part, n, value).
 
     A record ends with its ER line; the number of ER lines before a line is its record. The
-    count is taken per chunk of lines with the chunks' totals carried in, so a long file is
-    not one task. The last DOI and title line of a record count.
+    last DOI and title line of a record count.
     """
-    rows = lines.withColumn("er", F.col("value").startswith("ER").cast("bigint")).withColumn(
-        "chunk", F.struct(F.col("part"), F.floor(F.col("n") / chunk).alias("c")))
-    totals = rows.groupBy("file", "chunk").agg(F.sum("er").alias("t"))
-    before = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("file", "chunk", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("carried"))
-    inside = Window.partitionBy("file", "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("seen", F.coalesce(F.sum("er").over(inside), F.lit(0))).join(carried, ["file", "chunk"])
+    rows = lines.withColumn("er", F.col("value").startswith("ER").cast("bigint"))
+    numbered = counted_before(rows, F.col("er"), "record", chunk)
     place = F.struct("part", "n")
     tag = lambda name: F.max_by(
         F.when(F.col("value").startswith(f"{name}  - "), F.substr("value", F.lit(7))),
         F.when(F.col("value").startswith(f"{name}  - "), place))
-    records = numbered.groupBy("file", (F.col("carried") + F.col("seen")).alias("record")).agg(
+    records = numbered.groupBy("file", "record").agg(
         tag("DO").alias("doi"), tag("TI").alias("title"), F.max("er").alias("closed")).where("closed = 1")
     doi, title = ids.norm_doi(F.col("doi")), ids.norm_title(F.col("title"))
     key = F.when(doi != "", doi).when(title != "", F.concat(F.lit("T:"), title))
     return records.select("file", "record", doi.alias("doi"), title.alias("title"), key.alias("record_key"))
 
 
+PAGE_SPLIT, PAGE_HEAD = r"(?m)(?=^\[p\.\d+\]\s*$)", r"(?m)\A\[p\.(\d+)\]\s*$"
+
+
+def _pages(parts: DataFrame, *keys: str) -> DataFrame:
+    return parts.select(
+        *keys, F.regexp_extract("part", PAGE_HEAD, 1).cast("int").alias("page"), F.regexp_replace("part", PAGE_HEAD, "").alias("text"))
+
+
 def pages_of(files: DataFrame, id_column: str = "record_id") -> DataFrame:
     """(record_id, page, text) from texts with `[p.N]` lines (record_id, value)."""
-    head = r"(?m)\A\[p\.(\d+)\]\s*$"
-    parts = F.filter(F.split("value", r"(?m)(?=^\[p\.\d+\]\s*$)"), lambda p: p.rlike(head))
-    return files.select(id_column, F.explode(parts).alias("part")).select(
-        id_column, F.regexp_extract("part", head, 1).cast("int").alias("page"),
-        F.regexp_replace("part", head, "").alias("text"))
+    parts = F.filter(F.split("value", PAGE_SPLIT), lambda p: p.rlike(PAGE_HEAD))
+    return _pages(files.select(id_column, F.explode(parts).alias("part")), id_column)
+
+
+def read_pages(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
+    """(file, place, page, text) of files of any size with `[p.N]` lines, read in blocks; the line end that closes a
+    file is in no page."""
+    return _pages(parts_of_lines(read_lines(spark, path), PAGE_SPLIT, PAGE_HEAD, chunk), "file", "place")
 
 
 # --- landed search results --------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -39,8 +40,7 @@ def test_bibtex_and_ris_files(spark, tmp_path):
     bib.mkdir()
     (bib / "x (2).bib").write_text("@article{a, t={2}}\n\n@misc{b, note={mail @article{ inside}}")
     (bib / "x (1).bib").write_text("@article{a, t={1}}@inproceedings{c, t={3}}")
-    merged = {r.entry_key: (r.first_file, r.copies, r.conflict) for r in readers.merge_bibtex(
-        readers.bibtex_entries(readers.whole_files(spark, str(bib)))).collect()}
+    merged = {r.entry_key: (r.first_file, r.copies, r.conflict) for r in readers.merge_bibtex(readers.read_bibtex(spark, str(bib))).collect()}
     assert merged == {"a": ("x (1).bib", 2, True), "b": ("x (2).bib", 1, False), "c": ("x (1).bib", 1, False)}
     ris = tmp_path / "ris"
     ris.mkdir()
@@ -49,6 +49,37 @@ def test_bibtex_and_ris_files(spark, tmp_path):
     assert [k.record_key for k in keys] == ["10.1/a", "T:two"]
 
 
+@pytest.mark.parametrize("block", [64, 1000, 1 << 27])
+def test_files_read_in_blocks(spark, tmp_path, block):
+    """Entries and pages are those of the whole text wherever the blocks of a file end."""
+    rng = random.Random(block)
+    ends = ["", "\n", "\n\n", " \r\n\t", "\n  "]
+    texts, paged = {}, {}
+    for f in range(3):
+        entries = [f"@a{{k{rng.randrange(40)}, t = {{{'x' * rng.randrange(30)}" + rng.choice(["", "\n y @b{z}", "} @b{z, c}", "\r\n\u2028w"]) + "}}" + rng.choice(ends) for _ in range(40)]
+        texts[f"e ({f}).bib"] = rng.choice(["", "junk\n", "\n\n "]) + "".join(entries)
+        pages = [f"[p.{i}]" + rng.choice(["", "  ", " x", "\r", "\n\n"]) + "\n" + rng.choice(["a\nb\n", "\n", "[p.7] no\n", "\u2028[p.8]\u2028c\n", "é\n"]) for i in range(40)]
+        paged[f"p{f}.txt"] = rng.choice(["", "head\n"]) + "".join(pages) + "end"
+    paged["none.txt"], texts["none.bib"] = "no page", ""
+    for folder, files in (("e", texts), ("p", paged)):
+        (tmp_path / folder).mkdir()
+        for name, text in files.items():
+            (tmp_path / folder / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        entries = readers.read_bibtex(spark, str(tmp_path / "e"), chunk=7)
+        lines = readers.read_lines(spark, str(tmp_path / "p"))
+        assert block > 64 or lines.select("part").distinct().count() > 5
+        got = sorted(tuple(r) for r in entries.collect())
+        got_pages = sorted(tuple(r) for r in readers.read_pages(spark, str(tmp_path / "p"), chunk=7).drop("place").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = spark.createDataFrame(list(texts.items()), "file string, value string")
+    assert got == sorted(tuple(r) for r in readers.bibtex_entries(whole).collect()) and len(got) > 100
+    whole = spark.createDataFrame(list(paged.items()), "file string, value string")
+    assert got_pages == sorted(tuple(r) for r in readers.pages_of(whole, "file").collect()) and len(got_pages) > 100
+
+
 def test_sinks_guard_what_is_there(spark, tmp_path):
     log, table = str(tmp_path / "log"), str(tmp_path / "table")
     sinks.append_log(spark.range(2), log)
