@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
 from sievelake.functions.text import first_filled, strip
+from sievelake.session import cut
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -19,7 +24,79 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
         .option("sep", sep).option("encoding", "UTF-8").option("inferSchema", False).csv(path)
     )
-    return rows.toDF(*[c.lstrip("﻿") for c in rows.columns]).na.fill("")
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns]).na.fill("")
+
+
+def _line_states(pieces: Column, sep: str) -> tuple[Column, Column]:
+    """Whether a line of CSV, split at its quotes, ends inside a quoted field, when it begins outside one and when it begins inside one.
+
+    A quote opens a field only where one begins; elsewhere in a plain field it is a character. Inside, two are one character.
+    """
+    start, middle, inside, closed = (F.lit(i) for i in range(4))
+    def text(state: Column, piece: Column) -> Column:
+        ends = F.when(F.endswith(piece, F.lit(sep)), start).otherwise(middle)
+        return F.when((state == inside) | (piece == ""), state).otherwise(ends)
+
+    def quote(state: Column) -> Column:
+        return F.when(state == start, inside).when(state == middle, middle).when(state == inside, closed).otherwise(inside)
+
+    def end(state: Column) -> Column:
+        rest = F.slice(pieces, F.lit(2), F.size(pieces))
+        final = F.aggregate(rest, text(state, F.get(pieces, F.lit(0))), lambda st, piece: text(quote(st), piece))
+        return final == inside
+
+    plain = F.size(pieces) == 1
+    return F.when(plain, F.lit(False)).otherwise(end(start)), F.when(plain, F.lit(True)).otherwise(end(inside))
+
+
+def csv_records(spark: SparkSession, paths: list[str] | str, sep: str = ",", chunk: int = 10_000) -> DataFrame:
+    """(path, record, text) of quoted CSV files: every record with its place, 0 for the header, read in blocks of lines.
+
+    Whether a line begins inside a quoted field follows from the lines before it: each line maps the state at
+    its begin to that at its end. These maps are put together per chunk of lines, then over the chunks of a file.
+    A line ends with \\n or \\r\\n, which a field gets as \\n. Blank lines between records are none.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    outside, inside = _line_states(F.col("_pieces"), sep)
+    rows = lines.withColumn("_pieces", F.split("value", '"', -1)).withColumns({"_o": outside, "_i": inside}).drop("_pieces")
+    # Both states lead to the same one (given), or each stays as it is (0 turns), or to the other (1 turn).
+    rows = rows.withColumns({"_given": F.when(F.col("_o") == F.col("_i"), F.col("_o").cast("int")),
+                             "_turns": (F.col("_o") & ~F.col("_i")).cast("int")}).drop("_o", "_i")
+    # Read three times below; taking lines apart is the costly part.
+    rows = cut(rows).withColumn("_chunk", F.struct("part", F.floor(F.col("n") / chunk).alias("c")))
+
+    def scanned(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+        """Adds `_own` (the state before the row, null if no row of the group before it gives one) and `_odd` (turns before it)."""
+        w = Window.partitionBy(*groups).orderBy(order)
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_odd", F.coalesce(F.sum("_turns").over(before), F.lit(0)))
+        # Turns are counted from the begin of the group: a given state is put as the one that would have to hold there.
+        df = df.withColumn("_key", F.when(F.col("_given").isNotNull(), F.pmod(F.col("_given") + F.sum("_turns").over(upto), F.lit(2))))
+        return df.withColumn("_own", F.pmod(F.last("_key", True).over(before) + F.col("_odd"), F.lit(2)))
+
+    inner = scanned(rows, ["file", "_chunk"], "n")
+    totals = inner.groupBy("file", "_chunk").agg(F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("n"))).alias("_last"), F.sum("_turns").alias("_all"))
+    totals = totals.select("file", "_chunk", F.pmod(F.col("_last") + F.col("_all"), F.lit(2)).cast("int").alias("_given"),
+                           F.pmod("_all", F.lit(2)).cast("int").alias("_turns"))
+    entry = scanned(totals, ["file"], "_chunk").select("file", "_chunk", F.coalesce("_own", F.pmod("_odd", F.lit(2))).alias("_entry"))
+    known = inner.join(entry, ["file", "_chunk"]).withColumn(
+        "open", F.coalesce("_own", F.pmod(F.col("_entry") + F.col("_odd"), F.lit(2))) == 1).select("file", "part", "n", "value", "open")
+    known = known.where("open OR value <> ''")
+    numbered = counted_before(known, ~F.col("open"), "before", chunk)
+    record = F.col("before") + F.when(F.col("open"), -1).otherwise(0)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "value"))), lambda x: x["value"]), "\n")
+    return numbered.groupBy(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("path"), record.alias("record")).agg(text.alias("text"))
+
+
+def _parsed(records: DataFrame, header: str, sep: str) -> DataFrame:
+    """The records of files with this header: its columns as strings, blanks for what is missing, and `path`, `record` and `ord`."""
+    names = next(csv.reader([header], delimiter=sep))
+    fields = ", ".join(f"_{i} string" for i in range(len(names)))
+    row = F.from_csv("text", fields, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"})
+    parsed = records.where(F.col("record") > 0).select("path", "record", "ord", row.alias("row"))
+    return parsed.select("path", "record", "ord", *[F.coalesce(f"row._{i}", F.lit("")).alias(name) for i, name in enumerate(names)])
 
 
 def source_of_file(name: Column) -> Column:
@@ -31,25 +108,45 @@ def source_of_file(name: Column) -> Column:
     return F.coalesce(label, stem)
 
 
+def _absolute(path: str) -> str:
+    """A path without the scheme and host of its file system."""
+    bare = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "", path)
+    return bare.rstrip("/") if bare.startswith("/") else os.path.abspath(bare)
+
+
 def concat_exports(spark: SparkSession, paths: list[str], skip: list[str] = fixed.SKIPPED_SOURCES,
                    column: str = "Source_DB") -> DataFrame:
-    """All exports in name order as one table with the union of their columns.
+    """All exports (files, or folders of files) in name order as one table with the union of their columns.
 
     Adds the source, `file_no` and `ord`: rows count from the file's number, which orders
-    the files, and then from their place in it. Input that has the source column already
-    is refused.
+    the files, and then by their place in it. Input that has the source column already
+    is refused. All files are read at once, in blocks; then there is one plan for each different header.
     """
+    if not paths:
+        raise ValueError("no files")
+    given = sorted(paths)
+    # Names of the given exports only, no rows of theirs.
+    numbers = spark.createDataFrame([(n, _absolute(p), p) for n, p in enumerate(given)], "file_no long, at string, export string")
+    records = csv_records(spark, given).withColumn("bare", F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", ""))
+    at = F.explode(F.array("bare", F.regexp_replace("bare", r"/[^/]*\z", "")))
+    named = records.select("path", "record", "text", at.alias("at")).join(F.broadcast(numbers), "at")
+    named = cut(named.select(F.struct("file_no", "path", "export").alias("path"), "record", "text"))
+    # Different headers, not files: exports of one source share theirs.
+    headers = named.where("record = 0").groupBy("text").agg(F.min("path.file_no").alias("first"), F.min("path.export").alias("export")).orderBy("first").collect()
+    files = named.groupBy("path").agg(F.max(F.when(F.col("record") == 0, F.col("text"))).alias("header"), F.max("record").alias("rows"))
+    before = Window.partitionBy("path.file_no").orderBy("path.path").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.shiftleft("path.file_no", 40) + F.coalesce(F.sum("rows").over(before), F.lit(0))
+    tagged = named.join(files.select("path", "header", offset.alias("offset")), "path").withColumn("ord", F.col("offset") + F.col("record"))
     merged = None
-    for number, path in enumerate(sorted(paths)):
-        rows = read_csv(spark, path)
+    for h in headers:
+        rows = _parsed(tagged.where(F.col("header") == h["text"]), h["text"].lstrip("\ufeff"), ",")
         if column in rows.columns:
-            raise ValueError(f"{path} already has a column {column}")
-        place = F.monotonically_increasing_id()
-        tagged = rows.withColumn(column, source_of_file(F.lit(path))).withColumn(
-            "ord", F.lit(number).cast("bigint") * (1 << 40) + place)
-        merged = tagged if merged is None else merged.unionByName(tagged, allowMissingColumns=True)
+            raise ValueError(f"{h['export']} already has a column {column}")
+        rows = rows.withColumn(column, source_of_file(F.col("path.export"))).withColumn("file_no", F.col("path.file_no"))
+        rows = rows.drop("path", "record")
+        merged = rows if merged is None else merged.unionByName(rows, allowMissingColumns=True)
     if merged is None:
-        raise ValueError("no files")
+        raise ValueError("no headers")
     return merged.na.fill("").where(~F.col(column).isin(*skip) if skip else F.lit(True))
 
 

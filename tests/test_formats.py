@@ -1,4 +1,6 @@
+import csv
 import hashlib
+import io
 import random
 
 import pytest
@@ -22,6 +24,37 @@ def test_exports_are_united(spark, tmp_path):
         readers.concat_exports(spark, [*paths, str(tmp_path / "zz.csv")])
 
 
+@pytest.mark.parametrize("block", [400, 1 << 27])
+def test_exports_are_read_in_blocks(spark, tmp_path, block):
+    """Records are those of a sequential reader wherever blocks and chunks of lines end, with quotes inside plain fields too."""
+    rng = random.Random(block)
+    atoms = ["a", " ", ",", '"', "\n", "\n\n", '""', "é", "5", "x,y", ""]
+    want = []
+    for f in range(4):
+        names = ["id", "t", "u"] if f % 2 else ["u", "id", "w"]
+        lines = [",".join(names)]
+        for i in range(60):
+            cells = []
+            for _ in range(3):
+                plain = "".join(rng.choice(['b', 'c"', ' d', '7"" e']) for _ in range(rng.randrange(3))).lstrip('"')
+                cell = "".join(rng.choice(atoms) for _ in range(rng.randrange(6)))
+                cells.append(plain or "z" if rng.random() < 0.4 else '"' + cell.replace('"', '""') + '"')
+            lines.append(",".join(cells))
+        text = ("\ufeff" if f == 2 else "") + "\n".join(lines) + rng.choice(["", "\n", "\n\n"])
+        (tmp_path / f"s{f}.csv").write_text(text, encoding="utf-8", newline="")
+        rows = list(csv.reader(io.StringIO(text.lstrip("\ufeff"), newline="")))
+        want += [(f"s{f}", *[dict(zip(names, r)).get(n, "") for n in ("id", "t", "u", "w")]) for r in rows[1:] if r]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        rows = readers.concat_exports(spark, [str(p) for p in tmp_path.iterdir()]).orderBy("ord").collect()
+        records = readers.csv_records(spark, str(tmp_path), chunk=3)
+        assert records.where("record > 0").count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.Source_DB, r.id, r.t, r.u, r.w) for r in rows] == want
+    assert len({r.ord for r in rows}) == len(rows)
+
+
 def test_gold_rows_take_first_filled_column(spark):
     rows = spark.createDataFrame([(" ", "7", "see https://doi.org/10.1145/abc.1 now"), ("3", "8", "10.5/x")], "`#` string, ID string, DOI_or_URL string")
     assert [(r["#"], r["DOI"]) for r in readers.gold_rows(rows).collect()] == [("7", "10.1145/abc.1"), ("3", "10.5/x")]
