@@ -32,21 +32,21 @@ def _line_states(pieces: Column, sep: str) -> tuple[Column, Column]:
 
     A quote opens a field only where one begins; elsewhere in a plain field it is a character. Inside, two are one character.
     """
-    start, middle, inside, closed = (F.lit(i) for i in range(4))
-    def text(state: Column, piece: Column) -> Column:
-        ends = F.when(F.endswith(piece, F.lit(sep)), start).otherwise(middle)
-        return F.when((state == inside) | (piece == ""), state).otherwise(ends)
-
-    def quote(state: Column) -> Column:
-        return F.when(state == start, inside).when(state == middle, middle).when(state == inside, closed).otherwise(inside)
-
-    def end(state: Column) -> Column:
-        rest = F.slice(pieces, F.lit(2), F.size(pieces))
-        final = F.aggregate(rest, text(state, F.get(pieces, F.lit(0))), lambda st, piece: text(quote(st), piece))
-        return final == inside
-
+    start, middle, inside, closed = range(4)
+    empty, ended, other = range(3)  # kinds of pieces: nothing, one that ends with the separator, another one
+    at_quote = {start: inside, middle: middle, inside: closed, closed: inside}
+
+    def moved(state: int, kind: int) -> int:
+        state = at_quote[state]
+        return state if state == inside or kind == empty else start if kind == ended else middle
+
+    # Both begins are followed at once: a state is 4 times the one and the other.
+    moves = F.array(*[F.lit(4 * moved(a, kind) + moved(b, kind)) for a in range(4) for b in range(4) for kind in range(3)])
+    kind = lambda piece: F.when(piece == "", empty).when(F.endswith(piece, F.lit(sep)), ended).otherwise(other)
+    first = F.when(kind(F.get(pieces, F.lit(0))) == other, 4 * middle + inside).otherwise(4 * start + inside)
+    final = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, lambda state, piece: F.get(moves, state * 3 + kind(piece)))
     plain = F.size(pieces) == 1
-    return F.when(plain, F.lit(False)).otherwise(end(start)), F.when(plain, F.lit(True)).otherwise(end(inside))
+    return ~plain & (F.floor(final / 4) == inside), plain | (final % 4 == inside)
 
 
 def csv_records(spark: SparkSession, paths: list[str] | str, sep: str = ",", chunk: int = 10_000) -> DataFrame:
