@@ -36,21 +36,39 @@ def _letters() -> dict[str, int]:
 
 
 @functools.cache
-def encoder(path: str):
+def _ranks(path: str, marks: tuple[str, ...] = ()) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes to id, and special string to id; `marks` are special strings put after the file's own ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    letters = _letters()
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    free = max([*ranks.values(), *special.values()]) + 1
+    return ranks, special | {m: free + i for i, m in enumerate(marks)}
+
+
+@functools.cache
+def byte_lengths(path: str, marks: tuple[str, ...] = ()) -> np.ndarray:
+    """The number of bytes that each id stands for."""
+    ranks, special = _ranks(path, marks)
+    sizes = {i: len(b) for b, i in ranks.items()} | {i: len(s.encode()) for s, i in special.items()}
+    out = np.zeros(max(sizes) + 1, np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+@functools.cache
+def encoder(path: str, more: tuple[str, ...] = ()):
     """text -> ids, as the `tokenizers` library gives them for a byte-level BPE file without
     special tokens being added; the merges run in `tiktoken`, which is four times as fast.
 
-    Special strings that stand in a text become their ids, as that library has it by default.
+    Special strings (those of the file and `more`) that stand in a text become their ids, as that library has it by default.
     A blank run of any length is one piece of the split but for its last character, which
     belongs to what follows; long ones are cut out there and merged without SPLIT.
     """
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    letters = _letters()
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    ranks, special = _ranks(path, more)
     made = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
     unsplit = tiktoken.Encoding("unsplit", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None

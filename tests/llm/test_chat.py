@@ -45,6 +45,36 @@ def test_chunks_have_the_ids_of_the_whole(spark):
     assert joined[1 << 20] == joined[25]
 
 
+@pytest.mark.parametrize("text", [t or "" for t in TEXTS] + ["a👩‍🚀b ́é中文", " \n\n  x\t"])
+def test_ids_and_offsets_equal_the_library(text):
+    from tokenizers import Tokenizer, processors
+
+    library = Tokenizer.from_file(tokens.vocabulary())
+    library.add_special_tokens(list(chat.MARKS))
+    library.post_processor = processors.ByteLevel(trim_offsets=False)  # offsets keep white space
+    whole, _ = chat.rendered([("user", text), ("assistant", text + " " + text), ("assistant", "")])
+    want = library.encode(whole, add_special_tokens=False)
+    ids, starts, ends = chat.with_offsets(whole, tokens.vocabulary())
+    assert ids.tolist() == want.ids
+    assert list(zip(starts.tolist(), ends.tolist())) == want.offsets
+
+
+def test_hot_conversation_has_many_tasks(spark):
+    """A third of all turns in one conversation: without numbers (ties by role and text), and over a chunk long."""
+    rng = random.Random(5)
+    rows = [(7, None if i % 2 else i, rng.choice(ROLES), f"{rng.random()} {rng.choice(TEXTS)}" * 20) for i in range(3000)]
+    rows += [(100 + i // 4, i % 4, "assistant", f"turn {i}") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    made = chat.formatted(frame, tokens.vocabulary(), chunk=20_000)
+    sizes = {r["task"]: r["n"] for r in made.selectExpr("shiftright(chunk, 32) AS task", "length(formatted) AS n", "conv_id").where("conv_id = 7")
+             .groupBy("task").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert len(sizes) >= 3 and max(sizes.values()) < sum(sizes.values()) / 2
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digested(made).collect()}
+    assert got == expected(rows)
+    # In any order, as from a table that was written.
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.digested(made.repartition(3)).collect()} == got
+
+
 def test_mask_by_every_token():
     spans, starts, ends = [(2, 5), (9, 10)], np.array([0, 2, 4, 5, 9, 9, 10]), np.array([2, 4, 5, 9, 9, 10, 12])
     want = [any(a < e and s < b and s < e for a, b in spans) for s, e in zip(starts, ends)]
