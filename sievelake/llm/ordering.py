@@ -6,6 +6,10 @@ inside, gives its key. Equal ranges of keys are the shards, one task and one fil
 of a record among all keys is its global slot. Ids are made and moved once: the exact number of
 sequences need not be known before they are written.
 
+Where ids of documents repeat or are missing, the index also has a digest of the text, and equal
+rows are numbered, so that no id and no group of copies shares a range of keys. Equal rows are one
+row with a count until they are encoded.
+
 Layout of a folder:
     shards/shard=S/   records (key, doc_id, piece, start, n, ids) in the order of their slots; `ids` has
                       the same stride everywhere: `length` little-endian numbers, padded with `end_id`
@@ -21,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievelake.llm.common import cut
 from sievelake.llm.tokens import cut_places, encoder
+from sievelake.operators.skew import spread_join
 
 ROUNDS = 6
-#: Bytes of text that one shard is made from.
+#: Bytes of text that one shard is made from, until there are `MOST_SHARDS`; then shards grow with the table.
 SHARD_BYTES = 16 << 20
+MOST_SHARDS = 1 << 16
+#: Copies of a row, and bytes of them, that are encoded together; records handed on together.
+COPIES, COPY_BYTES, RECORDS = 256, 1 << 20, 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,61 +60,92 @@ def permuted(index: np.ndarray, domain: int, seed: int) -> np.ndarray:
     return out
 
 
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`rows` with `first` and `copies`: equal rows once per some copies, numbered from `first`, others as they are."""
+    joined = spread_join(rows, repeated.select("digest", "n"), ["digest"])
+    single = joined.where("n IS NULL").select(*rows.columns, F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("copies"))
+    held = joined.where("n IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("key", "text", "n")])
+    step = F.least(F.lit(COPIES), F.greatest(F.lit(1), F.floor(F.lit(COPY_BYTES) / (F.octet_length("text") + 1)))).cast("long")
+    held = held.withColumn("step", step).withColumn("first", F.explode(F.expr("sequence(0L, n - 1, step)")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.select(*rows.columns, "first", F.least(F.col("step"), F.col("n") - F.col("first")).alias("copies"))
+    return single.unionByName(held.repartition(parts, "digest", "first"))
+
+
 def written(docs: DataFrame, folder: str, vocabulary: str, length: int = 256, end_id: int = 50256, seed: int = 0,
             key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the sequences of `docs` to `folder` and return its manifest.
 
     A document is its ids and then `end_id`, cut into sequences of `length`, of which the first
     may be shorter; a null text counts as empty and gives one sequence. The order depends on the
-    seed, the ids of the documents and their pieces, not on partitions. Documents of the same id
-    (a null one too) share indexes; their records stay apart, in the order of id, piece and ids.
-    An empty table gives an empty manifest.
+    seed and on the rows, not on partitions: other rows in the table can change the index space (smallest
+    and largest id, longest text), and with it the order. Where an id repeats or several rows
+    have none, all indexes are hashes of id, piece, text and the number among equal rows. Records of
+    one key are in the order of id, piece and ids. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    doc = F.col(f"`{key}`").cast("long")
-    low, high, longest, total = docs.select(F.min(doc), F.max(doc), F.max(F.octet_length(text)), F.sum(F.octet_length(text))).first()
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("-")), F.lit(":"), "text"), 256)))
+    size = F.octet_length("text").cast("long")
+    groups = rows.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size).alias("total"))
+    per_id = groups.groupBy("key").agg(F.sum("n").alias("rows"), F.max("n").alias("copies"), F.max("longest").alias("longest"), F.sum("total").alias("total"))
+    facts = per_id.agg(F.min("key"), F.max("key"), F.max("longest"), F.sum("total"), F.max("rows"), F.max("copies")).first()
+    low, high, longest, total, of_id, copies = (v or 0 for v in facts)
     # A text has no more ids than bytes, so this many sequences are enough for any document.
-    most = ((longest or 0) + 1 + length - 1) // length
-    low = low or 0
-    domain = ((high or 0) - low + 2) * most
-    hashed = domain >= 1 << 62  # ids too far apart: their hashes are permuted instead
+    most = (longest + 1 + length - 1) // length
+    domain = (high - low + 2) * most
+    hashed = of_id > 1 or domain >= 1 << 62  # ids repeat, or are too far apart: hashes are permuted instead
     domain = 1 << 62 if hashed else domain
-    shards = max(1, -(-(total or 0) // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
     width = -(-domain // shards)
     kind = "<u2" if _size(vocabulary) <= 1 << 16 else "<u4"
+    names = ["shard", "key", "doc_id", "piece", "start", "n", "ids"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(vocabulary)
+        index, salts, records = [], [], []
+
+        def handed_on() -> pa.RecordBatch:
+            places = np.array(index, np.uint64)
+            if hashed:
+                places = _mix(places + _mix(np.array(salts, np.uint64))) >> np.uint64(2)
+            keys = permuted(places, domain, seed).astype(np.int64)
+            columns = [keys // width, keys, *zip(*records)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for held in (index, salts, records):
+                held.clear()
+            return out
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                docs_of, index, piece, start, count, blobs = [], [], [], [], [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.array([*to_ids(t or ""), end_id], dtype=kind)
-                    place = 0 if d is None else d - low + 1
-                    for k, (s, n) in enumerate(cut_places(len(ids), length)):
-                        own = np.full(length, end_id, dtype=kind)
-                        own[:n] = ids[s:s + n]
-                        docs_of.append(d)
+            for d, t, salt, first, copies in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                ids = np.array([*to_ids(t), end_id], dtype=kind)
+                place = 0 if d is None else d - low + 1
+                for k, (s, n) in enumerate(cut_places(len(ids), length)):
+                    own = np.full(length, end_id, dtype=kind)
+                    own[:n] = ids[s:s + n]
+                    record = (d, k, s, n, own.tobytes())
+                    for copy in range(first, first + copies):
                         index.append(place * most + k & 2**64 - 1)
-                        piece.append(k)
-                        start.append(s)
-                        count.append(n)
-                        blobs.append(own.tobytes())
-                places = np.array(index, np.uint64)
-                keys = permuted(_mix(places) >> np.uint64(2) if hashed else places, domain, seed).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys // width, pa.int32()), pa.array(keys), pa.array(docs_of, pa.int64()), pa.array(piece, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(blobs, pa.binary())],
-                    ["shard", "key", "doc_id", "piece", "start", "n", "ids"])
+                        salts.append(salt + copy & 2**64 - 1)
+                        records.append(record)
+                    if len(index) >= RECORDS:
+                        yield handed_on()
+        if index:
+            yield handed_on()
 
     schema = "shard int, key long, doc_id long, piece int, start long, n int, ids binary"
-    rows = docs.select(doc.alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(encode, schema)
+    if copies > 1:
+        rows = _numbered(rows, cut(groups.where("n > 1").select("digest", "n")))
+    else:
+        rows = rows.withColumns({"first": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    salt = F.xxhash64("digest") if hashed else F.lit(0).cast("long")
+    records = rows.select("key", "text", salt.alias("salt"), "first", "copies").mapInArrow(encode, schema)
     order = ["shard", "key", "doc_id", "piece", "ids"]
-    rows.repartitionById(shards, "shard").sortWithinPartitions(*order).write.partitionBy("shard").option(
+    records.repartitionById(shards, "shard").sortWithinPartitions(*order).write.partitionBy("shard").option(
         "compression", "zstd").parquet(f"{folder}/shards")
     sizes = stored(spark, folder).groupBy("shard").agg(F.count("*").alias("records"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_SHARDS rows
     sizes.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -134,7 +174,8 @@ def read(spark: SparkSession, folder: str, first_slot: int = 0, slots: int | Non
     rows = stored(spark, folder).withColumn("position", F.col("_metadata.row_index"))
     if first_slot or slots is not None:
         wanted = wanted.where(F.col("first_slot") < end) if end is not None else wanted
-        rows = rows.where(F.col("shard").isin([r["shard"] for r in wanted.select("shard").collect()]))
+        low, high = wanted.agg(F.min("shard"), F.max("shard")).first()
+        rows = rows.where(F.col("shard").between(low, high) if low is not None else F.lit(False))
     rows = rows.join(wanted.drop("records"), "shard").withColumn("slot", F.col("first_slot") + F.col("position")).drop("first_slot")
     rows = rows.where(F.col("slot") >= first_slot) if first_slot else rows
     return rows.where(F.col("slot") < end) if end is not None else rows

@@ -1,8 +1,10 @@
 """Token ids, packing and training order: against the public library, and as exact round trips."""
 
+import functools
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ TEXTS = [None, "", " ", "Hello, world!", "the  of\n\n\tend ", "é€😀 naïve
          "1234567 don't we'll\u00a0\u2003z", "\x00\x01\x7f", "日本語のテキスト", "Hello, world!"]
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
@@ -151,3 +154,41 @@ def test_training_order_of_far_ids_and_of_nothing(spark):
     assert sorted((r["slot"], r["doc_id"]) for r in ordering.read(spark, folder).collect())[0][0] == 0
     empty = new_folder(spark, "order")
     assert ordering.written(far.limit(0), empty, PATH).collect() == []
+
+
+def test_training_order_of_one_hot_id(spark, monkeypatch):
+    """A third of the rows without id, a third equal rows; keys and slots are computed again for every record."""
+    monkeypatch.setattr(ordering, "COPIES", 7)
+    rows = [(None, f"no id {i} " + "word " * (i % 50)) for i in range(1000)] + [(5, "the same " * 40)] * 1000
+    rows += [(i, f"own {i} " + "text " * (i % 50)) for i in range(100, 1100)]
+    rows += [(3, None), (3, ""), (3, "x"), (None, None)]
+    docs, folder = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), new_folder(spark, "order")
+    manifest = ordering.written(docs, folder, PATH, length=32, shard_bytes=10_000).collect()
+    counts = sorted(r["records"] for r in manifest)
+    assert len(counts) > 30 and counts[-1] < 2 * counts[len(counts) // 2]
+    got = sorted(ordering.read(spark, folder).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in got] == list(range(len(got)))
+    assert [r["key"] for r in got] == sorted(r["key"] for r in got) and len({r["key"] for r in got}) == len(got)
+    made = Counter((r["doc_id"], r["piece"], r["start"], tuple(np.frombuffer(r["ids"], "<u2")[:r["n"]].tolist())) for r in got)
+    want = Counter()
+    for d, t in rows:
+        ids = all_ids(t, 50256)
+        want.update((d, k, s, tuple(ids[s:s + n])) for k, (s, n) in enumerate(tokens.cut_places(len(ids), 32)))
+    assert made == want
+    other = new_folder(spark, "order")
+    monkeypatch.setattr(ordering, "COPIES", 100)
+    ordering.written(docs.repartition(3, "text"), other, PATH, length=32, shard_bytes=10_000)
+    again = sorted(ordering.read(spark, other, 100, 500).collect(), key=lambda r: r["slot"])
+    seen = lambda r: (r["slot"], r["key"], r["doc_id"], r["piece"], r["ids"])
+    assert [seen(r) for r in again] == [seen(r) for r in got[100:600]]
+
+
+def test_training_order_is_the_rank_of_permuted_indexes(spark):
+    """Keys by hand, where ids are unique."""
+    docs, folder = spark.createDataFrame([(i, "a b c d e " * i) for i in range(2, 40)], "doc_id long, text string"), new_folder(spark, "order")
+    ordering.written(docs, folder, PATH, length=32, seed=9, shard_bytes=500)
+    most = (10 * 39 + 32) // 32
+    records = [(i, k) for i in range(2, 40) for k in range(len(tokens.cut_places(len(all_ids("a b c d e " * i, 50256)), 32)))]
+    keys = ordering.permuted(np.array([(i - 2 + 1) * most + k for i, k in records], np.uint64), (39 - 2 + 2) * most, 9).tolist()
+    want = [(slot, *r) for slot, (_, r) in enumerate(sorted(zip(keys, records)))]
+    assert sorted((r["slot"], r["doc_id"], r["piece"]) for r in ordering.read(spark, folder).collect()) == want
