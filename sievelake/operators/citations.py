@@ -9,6 +9,7 @@ from sievelake.functions import identifiers as ids
 from sievelake.functions import screening
 from sievelake.functions.text import strip
 from sievelake.operators.skew import spread_join
+from sievelake.session import spread_work
 
 UNAVAILABLE = "取得不可"
 
@@ -26,19 +27,18 @@ def with_fallback(seeds: DataFrame, primary: DataFrame, secondary: DataFrame,
                   names: tuple[str, str] = ("S2", "Crossref")) -> DataFrame:
     """(seed, found, ref_source): primary edges, else secondary, else one row marked unavailable.
 
-    Which provider a seed uses is one flag per seed, found with mergeable aggregates.
+    Which provider a seed uses is one number per seed, found with a mergeable aggregate; the
+    edges are moved once, to as many tasks as the session has partitions, since keys that
+    pack well would else make few and large ones.
     """
-    first = primary.join(seeds.select("seed"), "seed", "left_semi").select("seed", "found")
-    served = first.select("seed").distinct()
-    second = secondary.join(seeds.select("seed"), "seed", "left_semi").join(served, "seed", "left_anti").select("seed", "found")
-    nothing = seeds.select("seed").join(served, "seed", "left_anti").join(
-        second.select("seed").distinct(), "seed", "left_anti")
-    return (
-        first.withColumn("ref_source", F.lit(names[0]))
-        .unionByName(second.withColumn("ref_source", F.lit(names[1])))
-        .unionByName(nothing.select("seed", F.lit(None).cast(first.schema["found"].dataType).alias("found"),
-                                    F.lit(UNAVAILABLE).alias("ref_source")))
-    )
+    edges = primary.select("seed", "found", F.lit(0).alias("_place")).unionByName(
+        secondary.select("seed", "found", F.lit(1).alias("_place")))
+    served = edges.groupBy("seed").agg(F.min("_place").alias("_place"))
+    chosen = spread_work(seeds.select("seed"), "seed").join(served, "seed", "left")
+    source = F.when(F.col("_place") == 0, names[0]).otherwise(names[1])
+    found = spread_work(edges, "seed", "_place").join(chosen.where("_place IS NOT NULL"), ["seed", "_place"], "left_semi")
+    return found.select("seed", "found", source.alias("ref_source")).unionByName(chosen.where("_place IS NULL").select(
+        "seed", F.lit(None).cast(edges.schema["found"].dataType).alias("found"), F.lit(UNAVAILABLE).alias("ref_source")))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, no_forward: DataFrame | None = None,
