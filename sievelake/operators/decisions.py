@@ -14,7 +14,7 @@ from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
 from sievelake.functions import labels
 from sievelake.functions.text import split_multi, strip
-from sievelake.session import cut
+from sievelake.session import cut, spread_work
 
 VOCABULARY_KINDS = ("vocab", "multi", "ynq")
 
@@ -182,7 +182,16 @@ def paired_rows(assignment: DataFrame, sheet: DataFrame, fields: list[str]) -> D
     side = lambda tag: sheet.where("decision <> ''").select(
         F.col("reviewer").alias(f"reviewer_{tag}"), "record_id",
         *[F.coalesce(F.col(f), F.lit("")).alias(f"{tag}_{f}") for f in fields])
-    return assignment.join(side("a"), ["reviewer_a", "record_id"]).join(side("b"), ["reviewer_b", "record_id"])
+    return beside(beside(assignment, side("a"), "a"), side("b"), "b")
+
+
+def beside(rows: DataFrame, side: DataFrame, tag: str, how: str = "inner") -> DataFrame:
+    """Rows joined to one reviewer's fields, in as many tasks as the session has partitions.
+
+    Sheets repeat the same few answers and pack to almost nothing, so partitions sized by
+    their bytes would be few tasks with very many rows.
+    """
+    return spread_work(rows, f"reviewer_{tag}", "record_id").join(side, [f"reviewer_{tag}", "record_id"], how)
 
 
 def fulltext_worklist(pairs: DataFrame) -> DataFrame:
@@ -219,8 +228,8 @@ def fulltext_final(assignment: DataFrame, sheet: DataFrame, worklist: DataFrame,
         F.col("reason").alias(f"{tag}_reason"))
     agreed_list = worklist.select("record_id", strip(F.col("final_decision")).alias("w_decision"),
                                   strip(F.col("final_reason")).alias("w_reason"), F.col("consensus_note").alias("w_note"))
-    rows = assignment.join(side("a"), ["reviewer_a", "record_id"], "left").join(
-        side("b"), ["reviewer_b", "record_id"], "left").join(agreed_list, "record_id", "left")
+    rows = beside(beside(assignment, side("a"), "a", "left"), side("b"), "b", "left")
+    rows = spread_work(rows, "record_id").join(agreed_list, "record_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     da, db, w = text("a_decision"), text("b_decision"), text("w_decision")
     agreed = (da == db) & da.isin("Include", "Exclude") & (w == "")
@@ -248,7 +257,8 @@ def fulltext_final(assignment: DataFrame, sheet: DataFrame, worklist: DataFrame,
 def extraction_table(final: DataFrame, assignment: DataFrame, sheet: DataFrame, extraction=fixed.EXTRACTION) -> DataFrame:
     """Included records with the assigned extractor's columns, and how many required ones are blank."""
     kept = final.where("final_decision = 'Include'").select("record_id")
-    rows = assignment.join(kept, "record_id", "left_semi").select("record_id", "extractor", "title").join(
+    rows = spread_work(assignment, "record_id").join(kept, "record_id", "left_semi").select("record_id", "extractor", "title")
+    rows = spread_work(rows, "extractor", "record_id").join(
         sheet.select(F.col("reviewer").alias("extractor"), "record_id", *extraction), ["extractor", "record_id"], "left")
     filled = rows.select("record_id", "extractor", "title", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in extraction])
     required = [c for c, (need, _, _) in extraction.items() if need]
