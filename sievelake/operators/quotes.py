@@ -91,12 +91,14 @@ def occurrences(needles: DataFrame, text: DataFrame) -> DataFrame:
     The joined text is cut at every 16th character. A needle of 31 characters or more
     holds one of these blocks whole, at one of its first 16 shifts, so blocks and needles
     are joined on their content; shorter needles use smaller blocks. Every match of a
-    block is one place to compare.
+    block is one place to compare. The needle's own text joins only different places: not
+    its 16 shifts, and not every block that tells the same place.
     """
     strips = cut(strips_of(text.join(needles.select("record_id").distinct(), "record_id", "left_semi")))
-    sized = needles.withColumn("size", F.length("q")).withColumn("seed", seed_size(F.length("q")))
+    named = needles.select("id", "record_id", "q", F.xxhash64("q").alias("mark"))
+    sized = named.withColumn("size", F.length("q")).withColumn("seed", seed_size(F.length("q")))
     probes = sized.withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("seed") - 1))).withColumn(
-        "gram", F.substring("q", F.col("shift") + 1, F.col("seed")))
+        "gram", F.substring("q", F.col("shift") + 1, F.col("seed"))).drop("q")
     seeds = sized.groupBy("record_id").agg(F.collect_set("seed").alias("seeds"))  # at most five
     cutting = spread_join(strips, seeds, ["record_id"], "inner", "strip").withColumn("seed", F.explode("seeds"))
     # STRIP is a multiple of every seed, so blocks start at the strip's own beginning.
@@ -105,8 +107,8 @@ def occurrences(needles: DataFrame, text: DataFrame) -> DataFrame:
     ).select("record_id", "seed", (F.col("strip") * STRIP + F.col("i")).alias("block_at"),
              F.substring("chars", F.col("i") + 1, F.col("seed")).alias("gram"))
     places = grams.join(probes, ["record_id", "seed", "gram"]).select(
-        "id", "record_id", "q", "size", (F.col("block_at") - F.col("shift")).alias("at")).where("at >= 0").distinct()
-    return _compare(places, strips, text)
+        "id", "record_id", "mark", "size", (F.col("block_at") - F.col("shift")).alias("at")).where("at >= 0").distinct()
+    return _compare(places.join(named, ["id", "record_id", "mark"]).drop("mark"), strips, text)
 
 
 def _compare(places: DataFrame, strips: DataFrame, text: DataFrame) -> DataFrame:
