@@ -11,18 +11,19 @@ SPREAD = 64
 
 
 def spread_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                salt_by: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                salt_by: str | None = None, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Join facts to a table with one row per key; hot keys are spread over many tasks.
 
     A key is hot when it holds both `hot_rows` rows and one thousandth of all rows, so
     there are fewer than a thousand hot keys whatever the data: that list, and nothing
     else, is broadcast. Facts of a hot key get one of `SPREAD` salts and its single
     dimension row is repeated once per salt. Rows with a NULL key match nothing and are
-    salted too, so they do not pile up in one task.
+    salted too, so they do not pile up in one task. `sizes` has the keys with their number of
+    rows in `_rows`, if the caller knows them.
     """
     salt_source = F.col(salt_by) if salt_by else F.monotonically_increasing_id()
     salt = F.pmod(F.xxhash64(salt_source), F.lit(SPREAD)).cast("int")
-    sizes = facts.groupBy(*on).agg(F.count("*").alias("_rows"))
+    sizes = facts.groupBy(*on).agg(F.count("*").alias("_rows")) if sizes is None else sizes
     total = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("t"))
     hot = F.broadcast(
         sizes.where((F.col("_rows") >= hot_rows) & (F.col("_rows") > total.scalar() * F.lit(HOT_SHARE)))

@@ -26,10 +26,8 @@ CORE_ACRONYM, CORE_FUZZY = 80, 90
 
 def _features(names: DataFrame) -> DataFrame:
     venue = F.col("venue")
-    spellings = names.select(
-        F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("issn", F.lit("")).alias("issn")).distinct()
     return (
-        spread_work(spellings, "venue", "issn")
+        spread_work(names.select("venue").distinct(), "venue")
         .withColumn("norm", venues.normalize_venue(venue))
         .withColumn("low", F.lower(strip(venue)))
         .withColumn("short", venues.is_short_key(F.col("norm")))
@@ -39,22 +37,21 @@ def _features(names: DataFrame) -> DataFrame:
 
 
 # What tells candidates of a stage apart: the table asked, its list, stage and note, and whether it needs no guard.
-CANDIDATE = ["venue", "issn", "low", "place", "pos", "source", "stage", "label", "title", "entry_acronym", "rank", "exempt"]
+CANDIDATE = ["venue", "low", "place", "pos", "source", "stage", "label", "title", "entry_acronym", "rank", "exempt"]
 
 
 def _asked(kind: str, keys: Column, source: str, stage: str, label: str, first_place: int, exempt: bool = False) -> Column:
     """The questions of one stage: `keys` is an array of keys, tried in order."""
-    apart = stage != "sjr_issn"  # of several ISSNs the first that is known counts, in one place
     return F.transform(keys, lambda k, n: F.struct(
-        F.lit(kind).alias("kind"), k.alias("key"), (F.lit(first_place) + (n if apart else F.lit(0))).alias("place"), n.alias("pos"),
+        F.lit(kind).alias("kind"), k.alias("key"), (F.lit(first_place) + n).alias("place"), n.alias("pos"),
         F.lit(source).alias("source"), F.lit(stage).alias("stage"), F.lit(label).alias("label"), F.lit(exempt).alias("exempt")))
 
 
 def key_table(a: Lists, b: Lists) -> DataFrame:
-    """(kind, key, title, entry_acronym, rank): the keys of both lists that exact stages ask for, in one table."""
+    """(kind, key, title, entry_acronym, rank): the keys of both lists that exact stages ask for by name, in one table."""
     parts = [rows.select(F.lit(kind).alias("kind"), "key", F.col("entry.title").alias("title"),
                          F.col("entry.acronym").alias("entry_acronym"), F.col("entry.rank").alias("rank"))
-             for kind, rows in (("a", a["keys"]), ("a typed", a["typed"]), ("b", b["keys"]), ("b typed", b["typed"]), ("b issn", b["issn"]))]
+             for kind, rows in (("a", a["keys"]), ("a typed", a["typed"]), ("b", b["keys"]), ("b typed", b["typed"]))]
     table = parts[0]
     for more in parts[1:]:
         table = table.unionByName(more)
@@ -81,7 +78,7 @@ def _guarded(candidates: DataFrame) -> DataFrame:
                     F.lit("/cont="), two(F.col("cont")), F.lit(")"))
     back_note = F.concat(F.lit("core_acronym:'"), title, F.lit("'(back_cont="), two(F.col("back")), F.lit(")"))
     notes = F.when(backward, F.array(note, back_note)).otherwise(F.array(note))
-    columns = ["venue", "issn", "place", "pos", "source", "stage", "title", "rank"]
+    columns = ["venue", "place", "pos", "source", "stage", "title", "rank"]
     sure = judged.where("known").select(*columns, F.lit(True).alias("passes"), F.lit(None).cast("array<string>").alias("notes"))
     return sure.unionByName(rest.select(*columns, passes.alias("passes"), F.when(~passes, notes).alias("notes")))
 
@@ -103,9 +100,12 @@ def resolve_venues(names: DataFrame, a: Lists, b: Lists,
 
     Every exact stage of both lists comes before similarity. Short names may only match
     by their exact title, ISSN or acronym. A match on a key has to be sane: similar
-    enough as written, or its words nearly all present.
+    enough as written, or its words nearly all present. All stages but the ISSN's look at
+    the venue alone, so they are asked once per venue, however many ISSNs it comes with.
     """
-    features = cut(_features(names))
+    asked_names = cut(names.select(
+        F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("issn", F.lit("")).alias("issn")).distinct())
+    features = cut(_features(asked_names))
     one = lambda c: F.array(c)
     none = F.array().cast("array<string>")
     long_key = (F.col("norm") != "") & ~F.col("short")
@@ -124,64 +124,73 @@ def resolve_venues(names: DataFrame, a: Lists, b: Lists,
         _asked("a", low, "CORE", "core_exact_raw", "", CORE_RAW, True),
         _asked("a typed", typed, "CORE", "core_exact_typed", "core_typed", CORE_TYPED),
         _asked("a", plain, "CORE", "core_exact_norm", "core_norm", CORE_NORM),
-        _asked("b issn", issn_list(F.col("issn")), "SJR", "sjr_issn", "", SJR_ISSN, True),
         _asked("b", low, "SJR", "sjr_exact_raw", "", SJR_RAW, True),
         _asked("b typed", typed, "SJR", "sjr_exact_typed", "sjr_typed", SJR_TYPED),
         _asked("b", plain, "SJR", "sjr_exact_norm", "sjr_norm", SJR_NORM),
         _asked("a", acronyms, "CORE", "core_acronym", "core_acronym", CORE_ACRONYM),
     )
-    asked = features.select("venue", "issn", "low", F.explode(questions).alias("q")).select("venue", "issn", "low", "q.*")
+    asked = features.select("venue", "low", F.explode(questions).alias("q")).select("venue", "low", "q.*")
     raw = F.col("stage").isin("core_exact_raw", "sjr_exact_raw")
     everything = asked.join(key_table(a, b), ["kind", "key"]).where(~raw | F.coalesce(raw_is_title, F.lit(False))).select(*CANDIDATE)
     judged = cut(_guarded(everything))
-    choice = F.struct("source", "title", "rank", "stage")
+    choice = F.struct("place", "source", "title", "rank", "stage")
     order = F.struct("place", "pos")
-    winners = judged.where("passes").select("venue", "issn").distinct()
+    winners = judged.where("passes").select("venue").distinct()
+    by_issn = cut(issn_answers(asked_names, b))
 
-    open_names = features.join(winners.select("venue", "issn"), ["venue", "issn"], "left_anti")
+    # Similarity is asked for venues that no exact stage answers, in at least one of their rows.
+    unanswered = asked_names.where("issn <> ''").join(by_issn, "issn", "left_anti")
+    left_open = asked_names.where("issn = ''").unionByName(unanswered).select("venue").distinct()
+    open_names = features.join(winners, "venue", "left_anti").join(left_open, "venue", "left_semi")
     hopeful = open_names.where(long_key)
     best = fuzzy_best(hopeful.select("norm").distinct(), a["keys"], fuzzy_threshold)
     near = hopeful.join(best.select("norm", "key"), "norm").join(a["keys"], "key").select(
-        "venue", "issn", "low", F.lit(CORE_FUZZY).alias("place"), F.lit(0).alias("pos"), F.lit("CORE").alias("source"),
+        "venue", "low", F.lit(CORE_FUZZY).alias("place"), F.lit(0).alias("pos"), F.lit("CORE").alias("source"),
         F.lit("core_fuzzy").alias("stage"), F.lit("core_fuzzy").alias("label"),
         F.col("entry.title").alias("title"), F.col("entry.acronym").alias("entry_acronym"),
         F.col("entry.rank").alias("rank"), F.lit(False).alias("exempt"),
     )
     judged_near = _guarded(near)
-    all_judged = cut(judged.unionByName(judged_near))
-    # At most three winners' fields and, per name, one entry per stage: small by construction.
-    outcome = all_judged.groupBy("venue", "issn").agg(
+    # At most three winners' fields and, per venue, one entry per stage: small by construction.
+    outcome = judged.unionByName(judged_near).groupBy("venue").agg(
         F.min_by(choice, F.when(F.col("passes"), order)).alias("w"),
-        F.bool_or("passes").alias("matched"),
         F.array_sort(F.collect_list(F.when(~F.col("passes"), F.struct("place", "notes")))).alias("failed"),
     )
-    joined = features.join(outcome, ["venue", "issn"], "left")
-    matched = F.coalesce("matched", F.lit(False))
     failed = F.slice(F.flatten(F.transform(F.coalesce("failed", F.array()), lambda f: f["notes"])), 1, 3)
     guard = F.when(F.col("short") & (F.col("norm") != ""),
                    F.concat(F.lit("短キーガード(tokens<=2: '"), "norm", F.lit("')")))
     refused = F.when(F.size(failed) > 0, F.concat(F.lit("サニティ棄却 "), F.array_join(failed, "; ")))
-    return joined.select(
-        "venue", "issn",
-        F.when(matched, F.col("w.source")).alias("source"),
-        F.when(matched, F.col("w.title")).alias("matched_title"),
-        F.when(matched, F.col("w.rank")).alias("rank"),
-        F.when(matched, F.col("w.stage")).otherwise("unmatched").alias("stage"),
-        F.when(matched, "").otherwise(F.concat_ws(" / ", guard, refused)).alias("rejected"),
+    by_venue = cut(features.join(outcome, "venue", "left").select(
+        "venue", "w", F.concat_ws(" / ", guard, refused).alias("rejected")))
+    answered = spread_join(
+        spread_join(asked_names, by_venue, ["venue"], "inner", "issn"), by_issn, ["issn"], "left", "venue")
+    exact = F.col("w.place") < SJR_ISSN
+    won = F.when(F.coalesce(exact, F.lit(False)) | F.col("by_issn").isNull(), F.col("w")).otherwise(
+        F.struct(F.lit(SJR_ISSN).alias("place"), F.lit("SJR").alias("source"), F.col("by_issn.title").alias("title"),
+                 F.col("by_issn.rank").alias("rank"), F.lit("sjr_issn").alias("stage")))
+    return answered.withColumn("w", won).select(
+        "venue", "issn", "w.source", F.col("w.title").alias("matched_title"), "w.rank",
+        F.coalesce("w.stage", F.lit("unmatched")).alias("stage"),
+        F.when(F.col("w").isNotNull(), "").otherwise(F.col("rejected")).alias("rejected"),
     )
 
 
-def rank_records(records: DataFrame, a: Lists, b: Lists, aliases: Lists | None = None,
-                 resolved: DataFrame | None = None) -> DataFrame:
-    """Records with their ranking columns and `included`; the alias list is asked first."""
+def issn_answers(names: DataFrame, b: Lists) -> DataFrame:
+    """(issn, by_issn): per ISSN cell the entry of list B of its first number that is known."""
+    numbers = names.select("issn").where("issn <> ''").distinct().select("issn", F.posexplode(issn_list(F.col("issn"))).alias("pos", "key"))
+    return spread_join(numbers, b["issn"].select("key", "entry"), ["key"], "inner", "issn").groupBy("issn").agg(
+        F.min_by(F.struct("entry.title", "entry.rank"), "pos").alias("by_issn"))
+
+
+def rank_names(names: DataFrame, a: Lists, b: Lists, aliases: Lists | None = None,
+               resolved: DataFrame | None = None) -> DataFrame:
+    """(venue, issn, ranking columns, included) per distinct name; the alias list is asked first, once per venue."""
     from sievelake.operators.ranking import alias_lookup
 
-    rows = records.withColumn("venue", F.coalesce("venue", F.lit(""))).withColumn(
-        "issn", F.coalesce("issn", F.lit("")))
-    names = rows.select("venue", "issn").distinct()
     answers = resolve_venues(names, a, b) if resolved is None else resolved
     if aliases is not None:
-        answers = alias_lookup(answers, aliases)
+        known = alias_lookup(names.select("venue").distinct(), aliases).where("alias IS NOT NULL").select("venue", "alias")
+        answers = spread_join(answers, known, ["venue"], "left", "issn")
     else:
         answers = answers.withColumn("alias", F.lit(None).cast("struct<canonical:string,source:string,rank:string>"))
     by_alias = F.col("alias").isNotNull()
@@ -196,7 +205,7 @@ def rank_records(records: DataFrame, a: Lists, b: Lists, aliases: Lists | None =
         .when(source == "CORE", F.concat(F.lit("CORE Rank '"), rank, F.lit("' < A")))
         .otherwise(F.concat(F.lit("SJR Quartile '"), rank, F.lit("' is not Q1")))
     )
-    columns = answers.select(
+    return answers.select(
         "venue", "issn",
         F.coalesce("alias.canonical", "matched_title", F.lit("")).alias("matched_venue"),
         F.when(by_alias, F.concat(source, F.lit("(alias)"))).otherwise(F.coalesce(source, F.lit(""))).alias("ranking_source"),
@@ -207,7 +216,21 @@ def rank_records(records: DataFrame, a: Lists, b: Lists, aliases: Lists | None =
         F.when(by_alias, "").otherwise(F.col("rejected")).alias("match_guard_note"),
         high.alias("included"),
     )
-    return spread_join(rows, columns, ["venue", "issn"], "left")
+
+
+def counted_names(records: DataFrame) -> DataFrame:
+    """(venue, issn, n): the distinct names of the records, missing ones empty, with the number of records."""
+    return records.groupBy(F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("issn", F.lit("")).alias("issn")).agg(F.count("*").alias("n"))
+
+
+def rank_records(records: DataFrame, a: Lists, b: Lists, aliases: Lists | None = None,
+                 resolved: DataFrame | None = None) -> DataFrame:
+    """Records with their ranking columns and `included`; the alias list is asked first."""
+    rows = records.withColumn("venue", F.coalesce("venue", F.lit(""))).withColumn(
+        "issn", F.coalesce("issn", F.lit("")))
+    names = cut(counted_names(rows))
+    columns = rank_names(names, a, b, aliases, resolved)
+    return spread_join(rows, columns, ["venue", "issn"], "left", sizes=names.withColumnRenamed("n", "_rows"))
 
 
 # --- audits ------------------------------------------------------------------------------------
@@ -230,12 +253,13 @@ def unmatched_report(unmatched: DataFrame, a: Lists, b: Lists, top: int = 50,
                      flag_at: float = 0.85) -> DataFrame:
     """The most frequent unmatched venue names with their nearest entries on both lists.
 
-    `unmatched` has one row per record; counting comes first, so only the report's own
-    top-N names are compared.
+    `unmatched` has one row per record, or names with their number of records in `n`; counting
+    comes first, so only the report's own top-N names are compared.
     """
+    records = F.sum("n") if "n" in unmatched.columns else F.count("*")
     name = F.when(strip(F.col("venue")) == "", "(空欄)").otherwise(strip(F.col("venue")))
     counted = (
-        unmatched.groupBy(name.alias("venue_raw")).agg(F.count("*").alias("record_count"))
+        unmatched.groupBy(name.alias("venue_raw")).agg(records.alias("record_count"))
         .orderBy(F.desc("record_count"), "venue_raw").limit(top)
     )
     listed = cut(counted.withColumn(

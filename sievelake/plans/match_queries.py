@@ -212,43 +212,50 @@ def _(t):
     return venue_match.resolve_venues(line_venues(t).select("venue", "issn"), a, b)
 
 
-def ranked_lines(t):
+def list_tables(t):
     a, b = lists(t)
-    aliases = {k: cut(v) for k, v in ranking.alias_lists(part_aliases(t)).items()}
-    return cut(venue_match.rank_records(line_venues(t), a, b, aliases)), a, b
+    return a, b, {k: cut(v) for k, v in ranking.alias_lists(part_aliases(t)).items()}
+
+
+def ranked_names(t):
+    """The lines' distinct names with their number of lines `n` and their ranking columns, for reports, and both lists."""
+    a, b, aliases = list_tables(t)
+    names = cut(venue_match.counted_names(line_venues(t)))
+    ranked = names.join(venue_match.rank_names(names, a, b, aliases), ["venue", "issn"])
+    return cut(ranked), a, b
 
 
 @query("venue_ranking")
 def _(t):
-    return ranked_lines(t)[0]
+    return venue_match.rank_records(line_venues(t), *list_tables(t))
 
 
 @query("venue_stage_counts")
 def _(t):
     """Match stages of the records, and how often a stage other than an exact one decided."""
-    rows, _, _ = ranked_lines(t)
+    rows, _, _ = ranked_names(t)
     return rows.groupBy("ranking_source", "match_stage", "included").agg(
-        F.count("*").alias("records"), F.count_if(F.col("match_guard_note") != "").alias("guard_notes"))
+        F.sum("n").alias("records"), F.sum(F.when(F.col("match_guard_note") != "", F.col("n")).otherwise(0)).alias("guard_notes"))
 
 
 @query("rank_distribution")
 def _(t):
     """Records per rank in rank order, and per reason of exclusion."""
-    rows, _, _ = ranked_lines(t)
+    rows, _, _ = ranked_names(t)
     order = {r: i for i, r in enumerate(fixed.RANK_ORDER + fixed.QUARTILE_ORDER)}
     places = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     rank = F.concat("core_rank", "sjr_quartile")
     return rows.where(rank != "").groupBy("ranking_source", rank.alias("rank")).agg(
-        F.count("*").alias("records"), F.count_if("included").alias("included")
+        F.sum("n").alias("records"), F.sum(F.when(F.col("included"), F.col("n")).otherwise(0)).alias("included")
     ).withColumn("place", F.coalesce(places[F.col("rank")], F.lit(99)))
 
 
 @query("quartile_losses")
 def _(t):
     """Venues lost to the first-quartile rule, with the number of records."""
-    rows, _, _ = ranked_lines(t)
+    rows, _, _ = ranked_names(t)
     return rows.where((F.col("sjr_quartile") != "") & ~F.col("included")).groupBy(
-        "matched_venue", "sjr_quartile").agg(F.count("*").alias("record_count"))
+        "matched_venue", "sjr_quartile").agg(F.sum("n").alias("record_count"))
 
 
 @query("fuzzy_venue_best")
@@ -265,8 +272,8 @@ def _(t):
 @query("unmatched_nearest")
 def _(t):
     """The fifty most frequent unmatched venues with their nearest ranked entries."""
-    rows, a, b = ranked_lines(t)
-    return venue_match.unmatched_report(rows.where("match_stage = 'unmatched'").select("venue"), a, b).drop("norm")
+    rows, a, b = ranked_names(t)
+    return venue_match.unmatched_report(rows.where("match_stage = 'unmatched'").select("venue", "n"), a, b).drop("norm")
 
 
 def matched_groups(rows):
@@ -274,13 +281,13 @@ def matched_groups(rows):
         F.trim("venue").alias("venue"), "matched_venue",
         F.regexp_replace("ranking_source", r"\(alias\)", "").alias("source"),
         F.concat("core_rank", "sjr_quartile").alias("rank"), "included",
-    ).agg(F.count("*").alias("n"), F.max("issn").alias("issn"))
+    ).agg(F.sum("n").alias("n"), F.max("issn").alias("issn"))
 
 
 @query("match_stage_audit")
 def _(t):
     """Stage by which each matched venue would match today, and which matches look suspect."""
-    rows, a, b = ranked_lines(t)
+    rows, a, b = ranked_names(t)
     audit = venue_match.classify_matches(matched_groups(rows), a, b)
     return audit.groupBy("source", "stage", "included", "suspect").agg(
         F.count("*").alias("venues"), F.sum("n").alias("records"))
@@ -288,7 +295,7 @@ def _(t):
 
 @query("suspect_priorities")
 def _(t):
-    rows, a, b = ranked_lines(t)
+    rows, a, b = ranked_names(t)
     audit = venue_match.classify_matches(matched_groups(rows), a, b)
     return venue_match.suspect_priorities(audit.where("suspect"), a, b).select(
         "venue", "matched_venue", "source", "rank", "included", "n", "stage", "priority", "alternative")
@@ -297,7 +304,7 @@ def _(t):
 @query("suspect_priority_counts")
 def _(t):
     """Suspect matches and their records per priority."""
-    rows, a, b = ranked_lines(t)
+    rows, a, b = ranked_names(t)
     audit = venue_match.classify_matches(matched_groups(rows), a, b)
     return venue_match.priority_counts(venue_match.suspect_priorities(audit.where("suspect"), a, b))
 

@@ -185,3 +185,22 @@ def test_fallback_moves_edges_once_to_all_partitions(spark):
     none = citations.UNAVAILABLE
     assert got == sorted([(1, "a", "S2"), (1, "a", "S2"), (2, "c", "Crossref"), (3, "b", "S2"), (4, None, none), (4, None, none), (None, None, none)], key=str)
     assert df.rdd.getNumPartitions() == 2 * wanted
+
+
+def test_a_venue_is_asked_once_however_many_issns_it_has(spark):
+    rows = [("Journal of Old Rings", f"{n:04d}-000X") for n in range(40)] * 3 + [(None, None), ("", "")]
+    records = spark.createDataFrame(rows, "venue string, issn string")
+    names = venue_match.counted_names(records)
+    assert sorted((r.n for r in names.collect())) == [2] + [3] * 40
+    assert venue_match._features(names).count() == 2
+    b = {"issn": spark.createDataFrame([("0007000X", {"title": "Rings", "rank": "Q1"})], "key string, entry struct<title:string,rank:string>")}
+    got = venue_match.issn_answers(names, b).collect()
+    assert [(r.issn, r.by_issn.title, r.by_issn.rank) for r in got] == [("0007-000X", "Rings", "Q1")]
+
+
+def test_a_report_counts_names_as_it_counts_records(spark):
+    from sievelake.plans import match_queries
+
+    columns = "venue string, issn string, matched_venue string, ranking_source string, core_rank string, sjr_quartile string, included boolean, n long"
+    rows = spark.createDataFrame([(" Ring", "1", "Rings", "SJR", "", "Q1", True, 5), ("Ring", "2", "Rings", "SJR", "", "Q1", True, 2)], columns)
+    assert [(r.venue, r.n, r.issn) for r in match_queries.matched_groups(rows).collect()] == [("Ring", 7, "2")]
