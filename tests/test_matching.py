@@ -204,3 +204,9 @@ def test_a_report_counts_names_as_it_counts_records(spark):
     columns = "venue string, issn string, matched_venue string, ranking_source string, core_rank string, sjr_quartile string, included boolean, n long"
     rows = spark.createDataFrame([(" Ring", "1", "Rings", "SJR", "", "Q1", True, 5), ("Ring", "2", "Rings", "SJR", "", "Q1", True, 2)], columns)
     assert [(r.venue, r.n, r.issn) for r in match_queries.matched_groups(rows).collect()] == [("Ring", 7, "2")]
+
+
+def test_a_list_in_one_small_file_is_spread_before_its_titles_are_normalised(spark):
+    rows = spark.range(2000).coalesce(1).selectExpr("id AS ord", "concat('Title ', id) AS title", "'' AS acronym", "'A' AS rank", "'' AS issn")
+    for tables in (ranking.list_a(rows), ranking.list_b(rows)):
+        assert "REPARTITION_BY_NUM" in tables["keys"]._jdf.queryExecution().executedPlan().toString()
