@@ -27,26 +27,38 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns]).na.fill("")
 
 
-def _line_states(pieces: Column, sep: str) -> tuple[Column, Column]:
-    """Whether a line of CSV, split at its quotes, ends inside a quoted field, when it begins outside one and when it begins inside one.
+def _line_states(lines: DataFrame, sep: str) -> DataFrame:
+    """Adds `_o` and `_i`: whether a line of CSV ends inside a quoted field when it begins outside one, and when it begins inside one.
 
     A quote opens a field only where one begins; elsewhere in a plain field it is a character. Inside, two are one character.
+    Lines without quotes, and those of quoted fields without quotes inside, are told by plain tests; only others are followed.
     """
     start, middle, inside, closed = range(4)
-    empty, ended, other = range(3)  # kinds of pieces: nothing, one that ends with the separator, another one
+    empty, ended, other = range(3)  # kinds of pieces between quotes: nothing, one that ends with the separator, another one
     at_quote = {start: inside, middle: middle, inside: closed, closed: inside}
 
     def moved(state: int, kind: int) -> int:
         state = at_quote[state]
         return state if state == inside or kind == empty else start if kind == ended else middle
 
+    value, pieces = F.col("value"), F.col("_pieces")
+    plain = ~F.contains(value, F.lit('"'))
+    between = F.replace(F.substr(value, F.lit(2), F.length(value) - 2), F.lit(f'"{sep}"'), F.lit(""))
+    quoted = (F.length(value) > 1) & value.startswith('"') & value.endswith('"') & ~F.contains(between, F.lit('"'))
+    # Begun inside, the first filled field that does not end with the separator brings such a line back into step.
+    in_step = value.rlike(f'[^"{re.escape(sep)}]"')
     # Both begins are followed at once: a state is 4 times the one and the other.
     moves = F.array(*[F.lit(4 * moved(a, kind) + moved(b, kind)) for a in range(4) for b in range(4) for kind in range(3)])
     kind = lambda piece: F.when(piece == "", empty).when(F.endswith(piece, F.lit(sep)), ended).otherwise(other)
     first = F.when(kind(F.get(pieces, F.lit(0))) == other, 4 * middle + inside).otherwise(4 * start + inside)
     final = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), first, lambda state, piece: F.get(moves, state * 3 + kind(piece)))
-    plain = F.size(pieces) == 1
-    return ~plain & (F.floor(final / 4) == inside), plain | (final % 4 == inside)
+    simple = F.when(plain, "plain").when(quoted if len(sep) == 1 else F.lit(False), "quoted").otherwise("")
+    rows = lines.withColumn("_simple", simple).withColumn("_pieces", F.when(F.col("_simple") == "", F.split("value", '"', -1)))
+    rows = rows.withColumn("_final", F.when(F.col("_simple") == "", final))
+    return rows.withColumns({
+        "_o": (F.col("_simple") == "") & (F.floor(F.col("_final") / 4) == inside),
+        "_i": F.when(F.col("_simple") == "plain", True).when(F.col("_simple") == "quoted", ~in_step).otherwise(F.col("_final") % 4 == inside),
+    }).drop("_simple", "_pieces", "_final")
 
 
 def csv_records(spark: SparkSession, paths: list[str] | str, sep: str = ",", chunk: int = 10_000) -> DataFrame:
@@ -54,20 +66,23 @@ def csv_records(spark: SparkSession, paths: list[str] | str, sep: str = ",", chu
 
     Whether a line begins inside a quoted field follows from the lines before it: each line maps the state at
     its begin to that at its end. These maps are put together per chunk of lines, then over the chunks of a file.
+    In a chunk that begins outside fields and whose every line is a whole record, a record's number is the line's, and no line
+    is moved; lines of the other chunks are put in order and together.
     A line ends with \\n or \\r\\n, which a field gets as \\n. Blank lines between records are none.
     """
     lines = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r\z", "").alias("value"))
-    outside, inside = _line_states(F.col("_pieces"), sep)
-    rows = lines.withColumn("_pieces", F.split("value", '"', -1)).withColumns({"_o": outside, "_i": inside}).drop("_pieces")
+    rows = _line_states(lines, sep)
     # Both states lead to the same one (given), or each stays as it is (0 turns), or to the other (1 turn).
     rows = rows.withColumns({"_given": F.when(F.col("_o") == F.col("_i"), F.col("_o").cast("int")),
-                             "_turns": (F.col("_o") & ~F.col("_i")).cast("int")}).drop("_o", "_i")
-    # Read three times below; taking lines apart is the costly part.
-    rows = cut(rows).withColumn("_chunk", F.struct("part", F.floor(F.col("n") / chunk).alias("c")))
+                             "_turns": (F.col("_o") & ~F.col("_i")).cast("int"), "_whole": ~F.col("_o") & (F.col("value") != "")}).drop("_o", "_i")
+    # Read several times below; taking lines apart is the costly part.
+    rows = cut(rows).withColumn("_c", F.floor(F.col("n") / chunk))
+    key = ["file", "part", "_c"]
+    place = F.struct("part", "_c")
 
-    def scanned(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+    def scanned(df: DataFrame, groups: list[str], order: Column) -> DataFrame:
         """Adds `_own` (the state before the row, null if no row of the group before it gives one) and `_odd` (turns before it)."""
         w = Window.partitionBy(*groups).orderBy(order)
         upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,27 +91,42 @@ def csv_records(spark: SparkSession, paths: list[str] | str, sep: str = ",", chu
         df = df.withColumn("_key", F.when(F.col("_given").isNotNull(), F.pmod(F.col("_given") + F.sum("_turns").over(upto), F.lit(2))))
         return df.withColumn("_own", F.pmod(F.last("_key", True).over(before) + F.col("_odd"), F.lit(2)))
 
-    inner = scanned(rows, ["file", "_chunk"], "n")
-    totals = inner.groupBy("file", "_chunk").agg(F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("n"))).alias("_last"), F.sum("_turns").alias("_all"))
-    totals = totals.select("file", "_chunk", F.pmod(F.col("_last") + F.col("_all"), F.lit(2)).cast("int").alias("_given"),
-                           F.pmod("_all", F.lit(2)).cast("int").alias("_turns"))
-    entry = scanned(totals, ["file"], "_chunk").select("file", "_chunk", F.coalesce("_own", F.pmod("_odd", F.lit(2))).alias("_entry"))
-    known = inner.join(entry, ["file", "_chunk"]).withColumn(
-        "open", F.coalesce("_own", F.pmod(F.col("_entry") + F.col("_odd"), F.lit(2))) == 1).select("file", "part", "n", "value", "open")
-    known = known.where("open OR value <> ''")
-    numbered = counted_before(known, ~F.col("open"), "before", chunk)
-    record = F.col("before") + F.when(F.col("open"), -1).otherwise(0)
+    chunks = cut(rows.groupBy(*key).agg(
+        F.min("n").alias("_first"), F.count("*").alias("_lines"), F.bool_and("_whole").alias("_even"), F.min("_given").alias("_ends")))
+    uneven = rows.select(*key, "n", "_given", "_turns").join(chunks.where("NOT _even").select(*key), key)
+    totals = scanned(uneven, key, F.col("n")).groupBy(*key).agg(
+        F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("n"))).alias("_last"), F.sum("_turns").alias("_all"))
+    totals = totals.select(*key, F.pmod(F.col("_last") + F.col("_all"), F.lit(2)).cast("int").alias("_given"), F.pmod("_all", F.lit(2)).cast("int").alias("_turns"))
+    # Lines that are whole records begun outside lead there from both states or leave both as they are.
+    totals = totals.unionByName(chunks.where("_even").select(*key, F.col("_ends").alias("_given"), F.lit(0).alias("_turns")))
+    entry = scanned(totals, ["file"], place).select(*key, F.coalesce("_own", F.pmod("_odd", F.lit(2))).alias("_entry"))
+    entry = cut(chunks.join(entry, key).withColumn("_even", F.col("_even") & (F.col("_entry") == 0)))
+
+    inner = scanned(rows.join(entry.where("NOT _even").select(*key, "_entry"), key), key, F.col("n"))
+    known = inner.withColumn("open", F.coalesce("_own", F.pmod(F.col("_entry") + F.col("_odd"), F.lit(2))) == 1)
+    known = cut(known.where("open OR value <> ''").select(*key, "n", "value", "open"))
+    begun = known.groupBy(*key).agg(F.count_if(~F.col("open")).alias("_records"))
+    counts = entry.join(begun, key, "left").withColumn("_records", F.when(F.col("_even"), F.col("_lines")).otherwise(F.coalesce("_records", F.lit(0))))
+    before = Window.partitionBy("file").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select(*key, "_even", "_first", F.coalesce(F.sum("_records").over(before), F.lit(0)).alias("_carried"),
+                               F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("path")))
+
+    alone = rows.select(*key, "n", "value").join(starts.where("_even"), key).select(
+        "path", (F.col("_carried") + F.col("n") - F.col("_first")).alias("record"), F.col("value").alias("text"))
+    upto = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = known.withColumn("_seen", F.sum((~F.col("open")).cast("long")).over(upto)).join(starts.where("NOT _even"), key)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "value"))), lambda x: x["value"]), "\n")
-    return numbered.groupBy(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))).alias("path"), record.alias("record")).agg(text.alias("text"))
+    together = cut(numbered.groupBy("path", (F.col("_carried") + F.col("_seen") - 1).alias("record")).agg(text.alias("text")))
+    return alone.unionByName(together)
 
 
 def _parsed(records: DataFrame, header: str, sep: str) -> DataFrame:
-    """The records of files with this header: its columns as strings, blanks for what is missing, and `path`, `record` and `ord`."""
+    """Records of files with this header: its columns as strings, blanks for what is missing, with `ord` and their file in `_file`."""
     names = next(csv.reader([header], delimiter=sep))
     fields = ", ".join(f"_{i} string" for i in range(len(names)))
     row = F.from_csv("text", fields, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"})
-    parsed = records.where(F.col("record") > 0).select("path", "record", "ord", row.alias("row"))
-    return parsed.select("path", "record", "ord", *[F.coalesce(f"row._{i}", F.lit("")).alias(name) for i, name in enumerate(names)])
+    parsed = records.select(F.struct("label", "file_no").alias("_file"), "ord", row.alias("row"))
+    return parsed.select("_file", "ord", *[F.coalesce(f"row._{i}", F.lit("")).alias(name) for i, name in enumerate(names)])
 
 
 def source_of_file(name: Column) -> Column:
@@ -125,29 +155,33 @@ def concat_exports(spark: SparkSession, paths: list[str], skip: list[str] = fixe
     if not paths:
         raise ValueError("no files")
     given = sorted(paths)
-    # Names of the given exports only, no rows of theirs.
+    # Names of the given exports only, no rows of theirs; what follows from a name is worked out once for it.
     numbers = spark.createDataFrame([(n, _absolute(p), p) for n, p in enumerate(given)], "file_no long, at string, export string")
-    records = csv_records(spark, given).withColumn("bare", F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", ""))
+    numbers = numbers.withColumn("label", source_of_file(F.col("export")))
+    records = csv_records(spark, given)
+    sizes = records.groupBy("path").agg(F.max("record").alias("rows"))
+    heads = records.where("record = 0").select("path", F.col("text").alias("header"))
+    bare = F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
     at = F.explode(F.array("bare", F.regexp_replace("bare", r"/[^/]*\z", "")))
-    named = records.select("path", "record", "text", at.alias("at")).join(F.broadcast(numbers), "at")
-    named = cut(named.select(F.struct("file_no", "path", "export").alias("path"), "record", "text"))
+    files = sizes.join(heads, "path").withColumn("bare", bare).withColumn("at", at).join(F.broadcast(numbers), "at")
+    before = Window.partitionBy("file_no").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.shiftleft("file_no", 40) + F.coalesce(F.sum("rows").over(before), F.lit(0))
+    files = cut(files.select("path", "file_no", "export", "label", "header", offset.alias("offset")))
     # Different headers, not files: exports of one source share theirs.
-    headers = named.where("record = 0").groupBy("text").agg(F.min("path.file_no").alias("first"), F.min("path.export").alias("export")).orderBy("first").collect()
-    files = named.groupBy("path").agg(F.max(F.when(F.col("record") == 0, F.col("text"))).alias("header"), F.max("record").alias("rows"))
-    before = Window.partitionBy("path.file_no").orderBy("path.path").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.shiftleft("path.file_no", 40) + F.coalesce(F.sum("rows").over(before), F.lit(0))
-    tagged = named.join(files.select("path", "header", offset.alias("offset")), "path").withColumn("ord", F.col("offset") + F.col("record"))
+    headers = files.groupBy("header").agg(F.min("file_no").alias("first"), F.min("export").alias("export")).orderBy("first").collect()
+    wanted = files.where(~F.col("label").isin(*skip) if skip else F.lit(True))
     merged = None
     for h in headers:
-        rows = _parsed(tagged.where(F.col("header") == h["text"]), h["text"].lstrip("\ufeff"), ",")
+        own = wanted.where(F.col("header") == h["header"]).select("path", "file_no", "label", "offset")
+        rows = records.where("record > 0").join(own, "path").withColumn("ord", F.col("offset") + F.col("record"))
+        rows = _parsed(rows, h["header"].lstrip("\ufeff"), ",")
         if column in rows.columns:
             raise ValueError(f"{h['export']} already has a column {column}")
-        rows = rows.withColumn(column, source_of_file(F.col("path.export"))).withColumn("file_no", F.col("path.file_no"))
-        rows = rows.drop("path", "record")
+        rows = rows.withColumn(column, F.col("_file.label")).withColumn("file_no", F.col("_file.file_no")).drop("_file")
         merged = rows if merged is None else merged.unionByName(rows, allowMissingColumns=True)
     if merged is None:
         raise ValueError("no headers")
-    return merged.na.fill("").where(~F.col(column).isin(*skip) if skip else F.lit(True))
+    return merged.na.fill("")
 
 
 def resolve_columns(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:

@@ -55,6 +55,50 @@ def test_exports_are_read_in_blocks(spark, tmp_path, block):
     assert len({r.ord for r in rows}) == len(rows)
 
 
+def _ends_inside(line, inside):
+    """Character by character: 0 at the begin of a field, 1 in a plain one, 2 in a quoted one, 3 after a quote in it."""
+    state = 2 if inside else 0
+    for c in line:
+        state = {0: 2, 1: 1, 2: 3, 3: 2}[state] if c == '"' else state if state == 2 else 0 if c == "," else 1
+    return state == 2
+
+
+def test_lines_that_plain_tests_tell_end_as_if_followed(spark):
+    rng = random.Random(8)
+    lines = ["", '"', '""', '"""', '",","', '","', '"a","b"', '"","a,",""', '"a,"', '"a,","b,"']
+    lines += ["".join(rng.choice(['"', ",", "a", '","', " "]) for _ in range(rng.randrange(9))) for _ in range(2000)]
+    lines += [",".join('"' + rng.choice(["", ",", "a", "a,", ",a"]) + '"' for _ in range(rng.randrange(1, 5))) for _ in range(500)]
+    rows = readers._line_states(spark.createDataFrame([(x,) for x in lines], "value string"), ",").collect()
+    assert [(r._o, r._i) for r in rows] == [(_ends_inside(x, False), _ends_inside(x, True)) for x in lines]
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_records_of_several_lines_among_whole_ones(spark, tmp_path, chunk):
+    """Lines that look like whole records stand in quoted fields too; chunks of whole lines lie between."""
+    rng = random.Random(chunk)
+    for f in range(3):
+        cells = [[rng.choice(["x", "a,b", "", 'l1\n"m","n"\n,"o"', "p\n\nq"] if i % 23 == 5 else ["x", "a,b", ""]), f"{i}"] for i in range(150)]
+        gaps = [rng.choice(["", "\n"]) if i % 31 == 7 else "" for i in range(150)]
+        text = "".join(gap + ",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n" for gap, row in zip(gaps, cells))
+        (tmp_path / f"m{f}.csv").write_text(text, encoding="utf-8", newline="")
+    got = {}
+    for r in readers.csv_records(spark, str(tmp_path), chunk=chunk).orderBy("path", "record").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.record, next(csv.reader(io.StringIO(r.text, newline="")))))
+    for name, records in got.items():
+        want = [r for r in csv.reader(io.StringIO((tmp_path / name).read_text(encoding="utf-8"), newline="")) if r]
+        assert records == list(enumerate(want))
+    assert len(got) == 3
+
+
+def test_sources_are_named_once_per_export(spark, tmp_path):
+    """No row of an export has its source taken out of the file's name by patterns, and rows of skipped exports are not parsed first."""
+    (tmp_path / "acm.csv").write_text("Key\nk1\n")
+    (tmp_path / "pubmed.csv").write_text("Key\nk2\n")
+    rows = readers.concat_exports(spark, [str(p) for p in tmp_path.iterdir()])
+    assert [(r.Source_DB, r.Key) for r in rows.collect()] == [("ACM", "k1")]
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_gold_rows_take_first_filled_column(spark):
     rows = spark.createDataFrame([(" ", "7", "see https://doi.org/10.1145/abc.1 now"), ("3", "8", "10.5/x")], "`#` string, ID string, DOI_or_URL string")
     assert [(r["#"], r["DOI"]) for r in readers.gold_rows(rows).collect()] == [("7", "10.1145/abc.1"), ("3", "10.5/x")]
