@@ -1,5 +1,9 @@
 import random
+import re
 
+from pyspark.sql import functions as F
+
+from sievelake.functions import text
 from sievelake.operators import dedup
 from sievelake.operators.skew import record_breaking, spread_join
 
@@ -59,6 +63,29 @@ def test_merge_takes_longest_and_fills_gaps(spark):
     assert counts == filled
 
 
+def test_merge_counts_read_the_texts_once(spark):
+    """Lengths and blanks are taken in one pass over the records; what counts them reads numbers only."""
+    rows = spark.createDataFrame(random_rows(random.Random(6), 40), COLUMNS)
+    counts = dedup.merge_counts(rows, dedup.greedy_dedup(rows))
+    assert not re.search(r"\babstract#", counts._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_identifiers_of_one_record_are_left_out(spark):
+    ids = spark.createDataFrame([(4, 0, "a"), (2, 0, "a"), (2, 1, "a"), (3, 1, "b"), (9, 1, "b"), (5, 2, "c")], "ord bigint, kind int, value string")
+    got = sorted(map(tuple, dedup.shared_identifiers(ids).select("ord", "kind", "value").collect()))
+    assert got == [(2, 0, 2), (3, 1, 3), (4, 0, 2), (9, 1, 3)]
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    """Every character of the first plane at both ends, by the pattern and by its list; strip runs no pattern over the text."""
+    one = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    rows = spark.range(1, 65536).where("id < 55296 OR id > 57343").select(F.concat(one, F.lit("a b"), one, one).alias("c"))
+    by_pattern = F.regexp_replace("c", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    assert rows.where(text.strip(F.col("c")) != by_pattern).isEmpty()
+    assert rows.where(by_pattern == "a b").count() == len(text.SPACES) == len(set(text.SPACES))
+    assert "regexp" not in rows.select(text.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_record_breaking_over_chunks(spark):
     rng = random.Random(1)
     rows = [("a" if i % 3 else "b", i, rng.randrange(1000)) for i in range(300)]
