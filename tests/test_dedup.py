@@ -63,6 +63,14 @@ def test_merge_takes_longest_and_fills_gaps(spark):
     assert counts == filled
 
 
+def test_merge_reads_only_records_that_give(spark):
+    """Givers are found from lengths and blanks: no text is compared in an aggregate, a group is a row per field at most."""
+    rows = spark.createDataFrame([(i, "d", "", "", "x" * (i % 7), "" if i < 5 else f"s{i}") for i in range(100)], COLUMNS)
+    merged = dedup.merge_fields(rows, dedup.greedy_dedup(rows))
+    assert [(r.ord, r.doi, r.abstract, r.issn) for r in merged.collect()] == [(0, "d", "x" * 6, "s5")]
+    assert "max_by(" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merge_counts_read_the_texts_once(spark):
     """Lengths and blanks are taken in one pass over the records; what counts them reads numbers only."""
     rows = spark.createDataFrame(random_rows(random.Random(6), 40), COLUMNS)

@@ -26,6 +26,17 @@ def test_pretest_loses_no_hit(spark):
     assert [p for p, n in zip(patterns, wrong) if n] == []
 
 
+def test_alternatives_are_tested_one_by_one(spark):
+    """Each has its literal start, also where letters are the same but for their case; the pattern as a whole is not tried."""
+    patterns = [r"\bsix\b", r"\bfat(?:ter)?\b|\bsix\b", r"\bidiot\b|six", r"(s)ix\1|fat", "fat|[ab]c"]
+    rows = spark.createDataFrame([(t,) for t in ["fatter", "a six", "a \u017fix", "\u0131d\u0131ot", "fa six", "ac", "fats", ""]], "t string")
+    text = F.col("t")
+    for p in patterns:
+        assert rows.where(hits(text, p) != screening.hits_lowered(text, p)).isEmpty(), p
+    plan = rows.select(screening.hits_lowered(text, patterns[1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(t" in plan and r"\b|\b" not in plan
+
+
 def test_names_of_categories_are_free(spark):
     categories = [("a::b", [r"\bab(c)|d(e)\b"]), ("x\u0001y", ["zz", "yy"])]
     rows = spark.createDataFrame([("xx de yy", "")], "title string, abstract string")
