@@ -14,7 +14,7 @@ from sievelake.functions import fixed_values as fixed
 from sievelake.functions import identifiers as ids
 from sievelake.functions import labels
 from sievelake.functions.text import split_multi, strip
-from sievelake.session import cut, spread_work
+from sievelake.session import cut, not_broadcast, spread_work
 
 VOCABULARY_KINDS = ("vocab", "multi", "ynq")
 
@@ -189,9 +189,14 @@ def beside(rows: DataFrame, side: DataFrame, tag: str, how: str = "inner") -> Da
     """Rows joined to one reviewer's fields, in as many tasks as the session has partitions.
 
     Sheets repeat the same few answers and pack to almost nothing, so partitions sized by
-    their bytes would be few tasks with very many rows.
+    their bytes would be few tasks with very many rows, or broadcast. Records are dealt by their
+    id alone, and the reviewer is compared in two halves, so that this is the join's only key.
     """
-    return spread_work(rows, f"reviewer_{tag}", "record_id").join(side, [f"reviewer_{tag}", "record_id"], how)
+    key = f"reviewer_{tag}"
+    own = side.withColumnRenamed("record_id", "_of").withColumnRenamed(key, "_by")
+    same = (F.col("record_id") == F.col("_of")) & (F.col(key) >= F.col("_by")) & (F.col(key) <= F.col("_by"))
+    joined = spread_work(rows, "record_id").join(not_broadcast(own), same, how)
+    return joined.select(key, "record_id", *[c for c in joined.columns if c not in (key, "record_id", "_of", "_by")])
 
 
 def fulltext_worklist(pairs: DataFrame) -> DataFrame:
@@ -229,7 +234,7 @@ def fulltext_final(assignment: DataFrame, sheet: DataFrame, worklist: DataFrame,
     agreed_list = worklist.select("record_id", strip(F.col("final_decision")).alias("w_decision"),
                                   strip(F.col("final_reason")).alias("w_reason"), F.col("consensus_note").alias("w_note"))
     rows = beside(beside(assignment, side("a"), "a", "left"), side("b"), "b", "left")
-    rows = spread_work(rows, "record_id").join(agreed_list, "record_id", "left")
+    rows = spread_work(rows, "record_id").join(not_broadcast(agreed_list), "record_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     da, db, w = text("a_decision"), text("b_decision"), text("w_decision")
     agreed = (da == db) & da.isin("Include", "Exclude") & (w == "")
@@ -257,9 +262,9 @@ def fulltext_final(assignment: DataFrame, sheet: DataFrame, worklist: DataFrame,
 def extraction_table(final: DataFrame, assignment: DataFrame, sheet: DataFrame, extraction=fixed.EXTRACTION) -> DataFrame:
     """Included records with the assigned extractor's columns, and how many required ones are blank."""
     kept = final.where("final_decision = 'Include'").select("record_id")
-    rows = spread_work(assignment, "record_id").join(kept, "record_id", "left_semi").select("record_id", "extractor", "title")
+    rows = spread_work(assignment, "record_id").join(not_broadcast(kept), "record_id", "left_semi").select("record_id", "extractor", "title")
     rows = spread_work(rows, "extractor", "record_id").join(
-        sheet.select(F.col("reviewer").alias("extractor"), "record_id", *extraction), ["extractor", "record_id"], "left")
+        not_broadcast(sheet.select(F.col("reviewer").alias("extractor"), "record_id", *extraction)), ["extractor", "record_id"], "left")
     filled = rows.select("record_id", "extractor", "title", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in extraction])
     required = [c for c, (need, _, _) in extraction.items() if need]
     blank = sum(((F.col(c) == "").cast("int") for c in required), F.lit(0))

@@ -11,7 +11,7 @@ from sievelake.plans.report_queries import kappa_sql, rounded
 from sievelake.plans.text_queries import ANSWERS_SQL, part_answers
 from sievelake.sources import readers, sinks
 from sievelake.functions import screening
-from sievelake.session import cut, spread_work
+from sievelake.session import cut, not_broadcast, spread_work
 
 P_REASON, OTHER = fixed.EXCLUDE_REASONS[0], fixed.REASON_OTHER
 REASON_LIST = ", ".join(string_sql(r) for r in fixed.EXCLUDE_REASONS)
@@ -197,7 +197,7 @@ def full_text(t):
         F.when(size == 50, "N").otherwise("Y").alias("distributed"), F.col("p_name").alias("title"),
         "p_size", "p_retailprice",
     ).withColumn("pair", F.concat("reviewer_a", F.lit("×"), "reviewer_b")).withColumn("extractor", F.col("reviewer_a"))
-    base = spread_work(assignment, "record_id").join(part_answers(t).withColumnRenamed("p_partkey", "record_id"), "record_id")
+    base = spread_work(assignment, "record_id").join(not_broadcast(part_answers(t).withColumnRenamed("p_partkey", "record_id")), "record_id")
     blank = [n for n in fixed.EXTRACTION if n not in ("n_total", "scale_target")]
     empty = [F.lit("").alias(n) for n in blank]
     a = base.select(
@@ -298,7 +298,7 @@ def full_final(t):
     size = F.col("p_size")
     given = lambda tag: sheet.select("record_id", F.col("reviewer").alias(f"reviewer_{tag}"), F.col("decision").alias(f"d{tag}"))
     both = decisions.beside(decisions.beside(assignment, given("a"), "a"), given("b"), "b")
-    entered = t.part.join(both.where("da <> db").select(F.col("record_id").alias("p_partkey")), "p_partkey", "left_semi")
+    entered = t.part.join(not_broadcast(both.where("da <> db").select(F.col("record_id").alias("p_partkey"))), "p_partkey", "left_semi")
     worklist = entered.select(
         F.col("p_partkey").alias("record_id"), F.when(size % 3 == 0, "Include").when(size % 3 == 1, "Exclude").otherwise("").alias("final_decision"),
         F.when((size % 3 == 1) & (size % 2 == 0), fixed.EXCLUDE_REASONS[5]).otherwise("").alias("final_reason"), F.lit("").alias("consensus_note"))

@@ -70,3 +70,12 @@ def spread_work(df: DataFrame, *columns: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *columns)
+
+
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that is sorted and merged, whatever its size looks like.
+
+    Rows that repeat the same few values pack to almost nothing, so by the bytes of its file a
+    table of millions of rows would be broadcast, and be unpacked in the driver.
+    """
+    return df.hint("merge")
