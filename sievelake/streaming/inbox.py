@@ -44,13 +44,13 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def _passed(last: tuple, given: tuple, ahead: list[tuple], watermark: int) -> tuple[tuple, tuple, list[tuple], list[tuple]]:
     """(last, given, looks still ahead, looks to hand on) of one path when the watermark has come so far.
 
-    `last` is the last look behind the watermark, `given` the one that was handed on last. A size or
-    a time of change that is not known (NaN) is like no other.
+    `last` is the last look behind the watermark, `given` the one that was handed on last. Sizes or
+    times of change that are not known agree with each other.
     """
-    ahead, out, n = sorted(ahead, key=lambda r: tuple(r[:3])), [], 0
+    ahead, out, n = sorted(ahead, key=lambda r: [(v is not None, v or 0) for v in r[:3]]), [], 0
     while n < len(ahead) and ahead[n][0] // 1000 <= watermark:
         now = tuple(ahead[n][1:3])
-        if last == now and given != last and now[0] == now[0] and now[1] == now[1]:
+        if last == now and given != last:
             out.append(ahead[n])
             given = last
         last = now
@@ -60,7 +60,7 @@ def _passed(last: tuple, given: tuple, ahead: list[tuple], watermark: int) -> tu
 
 def _looks(rows: pd.DataFrame) -> Iterator[tuple]:
     """(seen, size, changed, text, first_page); where others of the frame are NULL, numbers come as doubles."""
-    whole = lambda c: [int(v) if v == v else v for v in rows[c].tolist()]
+    whole = lambda c: [None if v is None or v != v else int(v) for v in rows[c].tolist()]
     return zip(whole("seen"), whole("size"), whole("changed"), rows["text"].tolist(), rows["first_page"].tolist())
 
 
@@ -86,7 +86,7 @@ def _settle(key: tuple, looks: Iterator[pd.DataFrame], state: GroupState) -> Ite
     state.update((*last, *given, json.dumps(ahead)))
     if ahead:
         _wait(ahead[0][0], watermark, state)
-    yield pd.DataFrame([(key[0], r[1], r[2], r[0], *r[3:]) for r in out], columns=HANDED)
+    yield pd.DataFrame([(key[0], r[1], r[2], r[0], *r[3:]) for r in out], columns=HANDED, dtype=object)
 
 
 def _settle_bucket(key: tuple, looks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,7 @@ def _settle_bucket(key: tuple, looks: Iterator[pd.DataFrame], state: GroupState)
     state.update((json.dumps(paths, ensure_ascii=False),))
     if first is not None:
         _wait(first, watermark, state)
-    yield pd.DataFrame(out, columns=HANDED)
+    yield pd.DataFrame(out, columns=HANDED, dtype=object)
 
 
 def settled_files(looks: DataFrame, late: str = LATE) -> DataFrame:
